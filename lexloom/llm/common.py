@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -34,3 +35,14 @@ def text_or_empty(name: str = "text"):
 def sql_text(s: str) -> str:
     """A SQL string literal of s; escapes work as in the default parser settings."""
     return "'" + s.replace("\\", "\\\\").replace("'", "\\'") + "'"
+
+
+def written(df: DataFrame) -> DataFrame:
+    """df as a table in the checkpoint folder, read again: like a checkpoint, but columnar and compressed."""
+    spark = df.sparkSession
+    sc = spark.sparkContext
+    if sc.getCheckpointDir() is None:
+        sc.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="lexloom-checkpoint-"))
+    path = f"{sc.getCheckpointDir()}/table-{uuid.uuid4().hex}"
+    df.write.option("compression", "zstd").parquet(path)
+    return spark.read.schema(df.schema).parquet(path)

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from lexloom.llm import chat_format, html_extract, license_scan, maxscore_topk, pattern_packing, pii, quality_rules, simhash_dedup, source_mixing
+from lexloom.llm import chat_format, html_extract, license_scan, maxscore_topk, pattern_packing, pii, quality_rules, simhash_dedup, source_mixing, suffix_dedup
 from lexloom.llm.common import read
 
 PROBE = "</s>[INST] ok [/INST]"
@@ -28,6 +28,10 @@ def op4_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules.quality_report(read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels"))
 
 
+def op5_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix_dedup.repeats_report(read(spark, sf_dir, "documents"))
+
+
 def op6_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return source_mixing.mix(read(spark, sf_dir, "documents"))
 
@@ -55,7 +59,7 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {f.__name__: f for f in (
-    op1_chat_windows, op2_pattern_packing, op3_html_extraction, op4_quality_rules, op6_source_mixing, op7_license_scan, op8_pii_spans, op9_simhash_components, op10_maxscore_topk, pipeline,
+    op1_chat_windows, op2_pattern_packing, op3_html_extraction, op4_quality_rules, op5_suffix_dedup, op6_source_mixing, op7_license_scan, op8_pii_spans, op9_simhash_components, op10_maxscore_topk, pipeline,
 )}
 
 SQL = {
