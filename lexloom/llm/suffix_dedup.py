@@ -366,10 +366,10 @@ def remove_repeats(docs: DataFrame, buckets: int | None = None) -> DataFrame:
     all strings are judged on the input. A null or empty text has no bytes. Rows that repeat a doc_id are cut one by one
     and take nothing from each other; rows without doc_id neither lose nor cover anything. An empty table gives none.
 
-    buckets: four for each shuffle partition by default; a task holds one bucket of runs, open runs or documents.
+    buckets: two for each shuffle partition by default; a task holds one bucket of runs, open runs or documents.
     """
     spark = docs.sparkSession
-    buckets = buckets or 4 * int(spark.conf.get("spark.sql.shuffle.partitions"))
+    buckets = buckets or 2 * int(spark.conf.get("spark.sql.shuffle.partitions"))
     base = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
     named, blobs = base.where("doc_id is not null"), "bucket int, blob binary"
     dealt = lambda df: df.repartition("bucket").sortWithinPartitions("bucket")
