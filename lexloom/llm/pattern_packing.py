@@ -7,16 +7,15 @@ whatever the number of documents. Tasks then look up each piece's place by its l
 from __future__ import annotations
 
 import bisect
+import re
 import unicodedata
 import zlib
-from array import array
 from collections import Counter
 from collections.abc import Iterator
 from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
-import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -29,7 +28,7 @@ BINS, DEPTH = 64, 4
 #: Salts by which equal lengths are ranked, so that a frequent length is no single task.
 SALTS = 64
 #: Distinct words whose ids a task keeps.
-KEPT_WORDS = 1_000_000
+KEPT_WORDS = 600_000
 
 
 def tokenizer_path(name: str = "word_bpe_49k.json") -> str:
@@ -38,41 +37,48 @@ def tokenizer_path(name: str = "word_bpe_49k.json") -> str:
     return public_tokenizers.path(name)
 
 
-#: What the tokenizer itself parts words by. Runs beyond plain Latin script are left to it whole.
-_WORD = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+")
-_PLAIN = regex.compile(r"[\x21-\x7E\u00A1-\u00AC\u00AE-\u024F]+")
+# What the tokenizer parts lower-cased words by, spelt out for letters and numbers below U+0250. Texts with
+# other characters are left to it whole.
+_LETTERS, _NUMBERS = "a-zªµºß-öø-\u024F", "0-9²³¹¼-¾"
+_WORD = re.compile(f"[{_LETTERS}]+|[{_NUMBERS}]|'(?:s|t|re|ve|m|ll|d)|[^\\s{_LETTERS}{_NUMBERS}]+")
+_PLAIN = re.compile(r"[\t\n\r\x20-\x7E\u00A1-\u00AC\u00AE-\u012F\u0131-\u024F]*+")
 
 
 class WordIds:
-    """Ids of texts by a tokenizer that lower-cases and never joins what blanks or line ends part.
-
-    Each distinct run between blanks is kept, and so is each distinct word in it, so a word is tokenized once a task.
-    """
+    """Ids of texts by a tokenizer that lower-cases, joins nothing over the bounds of words, and marks each word's last
+    token by a suffix. Distinct words are kept, so a word is tokenized about once a task."""
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.runs: dict[str, bytes] = {"": b""}
-        self.words: dict[str, bytes] = {}
-
-    def learn(self, runs: set[str]) -> None:
-        if len(self.runs) + len(runs) > KEPT_WORDS:
-            self.runs = {"": b""}
-        if len(self.words) > KEPT_WORDS:
-            self.words = {}
-        parted = {r: _WORD.findall(r.lower()) if _PLAIN.fullmatch(r) and "<|" not in r and unicodedata.is_normalized("NFC", r) else [r] for r in runs}
-        if new := list({w for ws in parted.values() for w in ws if w not in self.words}):
-            for w, e in zip(new, self.tokenizer.encode_batch_fast(new, add_special_tokens=False), strict=True):
-                self.words[w] = array("I", e.ids).tobytes()
-        for r, ws in parted.items():
-            self.runs[r] = b"".join([self.words[w] for w in ws])
+        self.known: dict[str, bytes] = {}
+        self.last = np.zeros(self.tokenizer.get_vocab_size(), bool)
+        for token, number in self.tokenizer.get_vocab().items():
+            self.last[number] = token.endswith("</w>")
+
+    def learn(self, words: list[str]) -> None:
+        """All in one call, parted again after each last token."""
+        ids = np.array(self.tokenizer.encode_batch_fast([" ".join(words)], add_special_tokens=False)[0].ids, "<u4")
+        ends = (4 * (np.flatnonzero(self.last[ids]) + 1)).tolist()
+        data, at = ids.tobytes(), 0
+        for word, end in zip(words, ends, strict=True):
+            self.known[word] = data[at:end]
+            at = end
 
     def __call__(self, texts: list[str]) -> list[bytes]:
-        parted = [t.replace("\n", " ").split(" ") for t in texts]
-        new = set().union(*parted)
-        self.learn({r for r in new if r not in self.runs} if len(new) + len(self.runs) <= KEPT_WORDS else new)
-        return [b"".join([self.runs[r] for r in runs]) for runs in parted]
+        plain = [_PLAIN.fullmatch(t) is not None and "<|" not in t and unicodedata.is_normalized("NFC", t) for t in texts]
+        parted = [_WORD.findall(t.lower()) if p else () for t, p in zip(texts, plain, strict=True)]
+        words = set().union(*parted)
+        if len(self.known) + len(words) > KEPT_WORDS:
+            self.known = {}
+        if new := list(words - self.known.keys()):
+            self.learn(new)
+        known = self.known
+        return [
+            b"".join([known[w] for w in words]) if p else np.array(self.tokenizer.encode(t, add_special_tokens=False).ids, "<u4").tobytes()
+            for t, p, words in zip(texts, plain, parted, strict=True)
+        ]
 
 
 @lru_cache(maxsize=2)
