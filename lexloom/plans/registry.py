@@ -2,5 +2,7 @@
 
 from __future__ import annotations
 
-QUERIES: dict = {}
-SQL: dict[str, str] = {}
+from lexloom.plans import statements
+
+QUERIES: dict = dict(statements.QUERIES)
+SQL: dict[str, str] = dict(statements.SQL)
