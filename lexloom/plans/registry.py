@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from lexloom.plans import statements
+from lexloom.plans import retrieval, statements
 
-QUERIES: dict = dict(statements.QUERIES)
-SQL: dict[str, str] = dict(statements.SQL)
+QUERIES: dict = dict(retrieval.QUERIES) | dict(statements.QUERIES)
+SQL: dict[str, str] = dict(retrieval.SQL) | dict(statements.SQL)

@@ -60,7 +60,7 @@ _add("cost_breakdown", f"""WITH {TURNS}, {PRICES},
         LEFT JOIN prices p ON p.pattern LIKE '%*' AND e.model LIKE concat(substring(p.pattern, 1, length(p.pattern) - 1), '%')),
     priced AS (SELECT model, tokens, least(tokens, greatest(latency, 0)) AS cached, coalesce(ep, pp, 0.1E0) AS price, coalesce(eo, po, 0.4E0) AS out_price FROM ranked WHERE r = 1),
     cost AS (SELECT model, ((tokens - cached) * price + cached * price * 0.1E0) / 1E6 AS input_usd, tokens * 0.25E0 * out_price / 1E6 AS output_usd FROM priced)
-    SELECT model, round(sum(input_usd), 8) AS input_usd, round(sum(output_usd), 8) AS output_usd, round(sum(input_usd + output_usd), 8) AS usd FROM cost GROUP BY model""")
+    SELECT model, round(sum(input_usd), 11) AS input_usd, round(sum(output_usd), 11) AS output_usd, round(sum(input_usd + output_usd), 11) AS usd FROM cost GROUP BY model""")
 _add("fx_convert", "SELECT o_orderkey, floor(o_totalprice * 0.92E0 * 1E6 + 0.5) / 1E6 AS eur, round(o_totalprice * 0.92E0 * 107, 2) AS rub FROM {orders}")
 _add("user_rollup", f"""WITH {RUNS}, by_owner AS (SELECT owner, count(DISTINCT run) AS runs, CAST(sum(tokens) AS BIGINT) AS tokens, sum(cost) AS cost FROM facts GROUP BY owner)
     SELECT c.c_custkey AS user_id, coalesce(b.runs, 0) AS runs, coalesce(b.tokens, 0) AS tokens, round(coalesce(b.cost, 0.0E0), 4) AS cost FROM {{customer}} c LEFT JOIN by_owner b ON b.owner = c.c_custkey""")
