@@ -28,7 +28,8 @@ BINS, DEPTH = 64, 4
 #: Salts by which equal lengths are ranked, so that a frequent length is no single task.
 SALTS = 64
 #: Distinct words whose ids a task keeps.
-KEPT_WORDS = 600_000
+KEPT_WORDS = 400_000
+TEXTS_AT_ONCE = 256
 
 
 def tokenizer_path(name: str = "word_bpe_49k.json") -> str:
@@ -86,23 +87,26 @@ def word_ids(path: str) -> WordIds:
     return WordIds(path)
 
 
-def pieces(docs: DataFrame, tokenizer: str, end_id: int = 1, size: int = SIZE) -> DataFrame:
-    """doc_id, piece, start, length, ids (binary, little-endian unsigned 32-bit) of every document's ids and the end id;
-    only documents longer than `size` are cut. A null or empty text has the end id alone."""
+def pieces(docs: DataFrame, tokenizer: str, end_id: int = 1, size: int = SIZE, ids: bool = True) -> DataFrame:
+    """doc_id, piece, start, length, ids_crc32 and, if asked for, ids (binary, little-endian unsigned 32-bit) of every
+    document's ids and the end id; only documents longer than `size` are cut. A null or empty text has the end id alone."""
     end = np.array([end_id], "<u4").tobytes()
+    fields = [("doc_id", pa.int64()), ("piece", pa.int32()), ("start", pa.int64()), ("length", pa.int64()), ("ids_crc32", pa.int64()), ("ids", pa.binary())][: 5 + ids]
 
     def batches(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         ids_of = word_ids(tokenizer)
         for b in it:
-            rows = []
-            texts = (x for at in range(0, len(b), 256) for x in ids_of([t or "" for t in b.column(1).slice(at, 256).to_pylist()]))
-            for doc, ids in zip(b.column(0).to_pylist(), texts, strict=True):
-                ids += end
-                rows += [(doc, n, at // 4, len(ids[at : at + 4 * size]) // 4, ids[at : at + 4 * size]) for n, at in enumerate(range(0, len(ids), 4 * size))]
-            if rows:
-                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), (pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.binary()), strict=True)], names=["doc_id", "piece", "start", "length", "ids"])
+            for first in range(0, len(b), TEXTS_AT_ONCE):
+                part, rows = b.slice(first, TEXTS_AT_ONCE), []
+                for doc, data in zip(part.column(0).to_pylist(), ids_of([t or "" for t in part.column(1).to_pylist()]), strict=True):
+                    data += end
+                    cut = ((at // 4, data[at : at + 4 * size]) for at in range(0, len(data), 4 * size))
+                    rows += [(doc, n, at, len(x) // 4, zlib.crc32(x), x) for n, (at, x) in enumerate(cut)]
+                columns = list(zip(*rows, strict=True))
+                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, (_, k) in zip(columns, fields, strict=False)], names=[n for n, _ in fields])
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(batches, "doc_id long, piece int, start long, length long, ids binary")
+    schema = "doc_id long, piece int, start long, length long, ids_crc32 long" + ", ids binary" * ids
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(batches, schema)
 
 
 def patterns(bins: int = BINS, depth: int = DEPTH, spare: int = 0) -> np.ndarray:
@@ -257,19 +261,9 @@ def pack(made: DataFrame, size: int = SIZE) -> DataFrame:
     return ranked.withColumn("__at", place("length", "__rank")).select(*made.columns, "__at.sequence_id", "__at.offset")
 
 
-def _crc(ids: str):
-    @F.pandas_udf("long")
-    def crc(values):
-        return values.map(lambda v: zlib.crc32(bytes(v)))
-
-    return crc(ids)
-
-
 def packed_report(docs: DataFrame, tokenizer: str | None = None) -> DataFrame:
     """A row per piece with its crc and place; the tokens' table is written once, as numbers only."""
-    made = pieces(docs, tokenizer or tokenizer_path())
-    small = checkpointed(made.select("doc_id", "piece", "start", "length", _crc("ids").alias("ids_crc32")))
-    return pack(small).select("doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset")
+    return pack(checkpointed(pieces(docs, tokenizer or tokenizer_path(), ids=False))).select("doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset")
 
 
 def sequences(docs: DataFrame, tokenizer: str | None = None, size: int = SIZE) -> DataFrame:
