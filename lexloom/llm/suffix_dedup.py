@@ -116,10 +116,14 @@ def _gathered(blobs: list[bytes], kind: np.dtype) -> tuple[np.ndarray, np.ndarra
     return known, rows
 
 
+def _spans(starts: np.ndarray, n: int) -> Iterator[tuple[int, int]]:
+    """From each start to the next, the last to n; none if there is no start."""
+    return zip(starts.tolist(), [*starts[1:].tolist(), n][: len(starts)], strict=True)
+
+
 def _dealt(docs: np.ndarray, rows: np.ndarray, to: np.ndarray) -> Iterator[tuple[int, bytes]]:
     order = np.argsort(to, kind="stable")
-    cuts = np.flatnonzero(np.diff(to[order], prepend=-1)) if len(to) else []
-    for a, b in zip(cuts, [*cuts[1:], len(to)], strict=True):
+    for a, b in _spans(np.flatnonzero(np.diff(to[order], prepend=-1)), len(to)):
         yield int(to[order[a]]), _pack(docs, rows[order[a:b]])
 
 
@@ -231,9 +235,8 @@ def _fetch(buckets: int):
             data = {(i, c): t for i, c, t in zip(*(texts.column(c).to_pylist() for c in ("doc_id", "crc", "text")), strict=True)}
             rows = rows[np.argsort(to := rows["key"] % np.uint64(buckets), kind="stable")]
             to = (rows["key"] % np.uint64(buckets)).astype(np.int64)
-            cuts = np.flatnonzero(np.diff(to, prepend=-1)) if len(to) else []
             kept: dict[int, bytes] = {}
-            for a, b in zip(cuts, [*cuts[1:], len(to)], strict=True):
+            for a, b in _spans(np.flatnonzero(np.diff(to, prepend=-1)), len(to)):
                 part, body = rows[a:b], []
                 for d, at, n in zip(part["doc"].tolist(), part["at"].tolist(), part["n"].tolist(), strict=True):
                     if d not in kept:
@@ -328,8 +331,7 @@ def _cut(texts: pa.Table, ranges: pa.Table) -> pa.Table:
         docs, rows = _gathered(ranges.column("blob").to_pylist(), RANGE)
         rows = rows[rows["open"] == 0]
         rows = rows[np.argsort(rows["doc"], kind="stable")]
-        cuts = np.flatnonzero(_first_in(rows, ("doc",)))
-        for a, b in zip(cuts, [*cuts[1:], len(rows)], strict=True):
+        for a, b in _spans(np.flatnonzero(_first_in(rows, ("doc",))), len(rows)):
             d = docs[rows["doc"][a]]
             found[int(d["id"]), int(d["crc"])] = rows[a:b]
     out = []
