@@ -39,6 +39,8 @@ _AT = {n: i for i, n in enumerate(FEATURES)}
 PRIOR = np.array([{"bias_element": 0.0, "links": -2.0, "len3": 0.5, "copyright": -2.0, "landmark": 12.0}.get(n, -6.0 if n in OTHER_TAGS else 4.0 * NAMES[int(n[4:])][1] if re.fullmatch(r"name\d+", n) else 0.0) for n in FEATURES])
 #: Log potentials by child kind (element, text), parent's and child's label.
 PRIOR_EDGES = np.array([[[1.0, -1.0], [0.0, 0.0]], [[2.0, -2.0], [-2.0, 2.0]]])
+#: The same where nothing can be trained: children of content lean to content.
+UNTRAINED_EDGES = np.array([[[1.0, -1.0], [-0.5, 0.5]], [[2.0, -2.0], [-2.0, 2.0]]])
 
 
 @dataclass
@@ -218,7 +220,7 @@ def train(pages: list[Page], rounds: int = 60, rate: float = 0.3, pull: float =
     messages expect. Every second page is seen with its landmarks hidden, so that names, text and neighbours are learnt."""
     weights, edges = PRIOR.copy(), PRIOR_EDGES.copy()
     if not pages:
-        return Model(weights, edges)
+        return Model(weights, UNTRAINED_EDGES.copy())
     batch = Batch(pages)
     hidden = np.repeat(np.arange(len(pages)) % 2 == 1, np.diff(batch.first))
     batch.x[np.ix_(hidden, [_AT[t] for t in ("landmark", *OTHER_TAGS)])] = 0
