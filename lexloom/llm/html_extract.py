@@ -36,7 +36,7 @@ _NAMES = [re.compile(p, re.I) for p, _ in NAMES]
 FEATURES = ["bias_element", "bias_text", "landmark", *OTHER_TAGS, *(f"name{i}" for i in range(len(NAMES))), *(f"in_{t}" for t in TEXT_TAGS), "len1", "len2", "len3", "links", "stops", "copyright"]
 _AT = {n: i for i, n in enumerate(FEATURES)}
 #: The prior's mean: names and landmarks speak for themselves where no labelled page has them.
-PRIOR = np.array([{"bias_element": 0.0, "links": -2.0, "len3": 0.5, "copyright": -2.0, "landmark": 12.0}.get(n, -6.0 if n in OTHER_TAGS else 4.0 * NAMES[int(n[4:])][1] if re.fullmatch(r"name\d+", n) else 0.0) for n in FEATURES])
+PRIOR = np.array([{"bias_element": 0.0, "links": -2.0, "len3": 0.5, "copyright": -2.0, "landmark": 20.0}.get(n, -6.0 if n in OTHER_TAGS else 4.0 * NAMES[int(n[4:])][1] if re.fullmatch(r"name\d+", n) else 0.0) for n in FEATURES])
 #: Log potentials by child kind (element, text), parent's and child's label.
 PRIOR_EDGES = np.array([[[1.0, -1.0], [0.0, 0.0]], [[2.0, -2.0], [-2.0, 2.0]]])
 #: The same where nothing can be trained: children of content lean to content.
