@@ -265,7 +265,9 @@ def fit(pages: DataFrame, max_pages: int = 300, max_chars: int = 100_000) -> Mod
     """Train on at most `max_pages` pages of at most `max_chars` characters that label themselves by an article or main
     element, those of least hash. Without any the prior is the model."""
     own = pages.where(F.col("html").rlike("(?i)<(?:article|main)[ >]") & (F.length("html") <= max_chars))
-    rows = own.orderBy(F.xxhash64("page_id"), "page_id").limit(max_pages).select("html").collect()
+    # only ids are ordered; the pages themselves are fetched for the chosen ones
+    ids = [r.page_id for r in own.select("page_id").distinct().orderBy(F.xxhash64("page_id"), "page_id").limit(max_pages).collect()]
+    rows = own.where(F.col("page_id").isin(ids)).select("page_id", "html").dropDuplicates(["page_id"]).orderBy("page_id").collect() if ids else []
     return train([parse(x) for x in augmented([r.html for r in rows])])
 
 
