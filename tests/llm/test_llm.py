@@ -156,6 +156,36 @@ def test_bucket_links_equal_all_pairs():
     assert len(set(zip(group, label))) == len(set(group)) == len(set(label))
 
 
+def test_bit_counts():
+    rows = np.random.default_rng(4).integers(0, 2**63, (1000, 3), dtype=np.uint64)
+    assert not simhash_dedup.bit_counts(rows[:0]).any()
+    for n in (1, 2, 3, 24, 25, 1000):
+        want = np.unpackbits(rows[:n].astype(">u8").view(np.uint8).reshape(n, -1), axis=1).sum(axis=0)
+        assert (simhash_dedup.bit_counts(rows[:n]) == want).all()
+
+
+def test_one_of_near_copies_stays(spark):
+    rng = np.random.default_rng(5)
+    vocabulary = [f"w{i}" for i in range(3000)]
+    rows = []
+    for group in range(12):
+        base = rng.choice(vocabulary, 300).tolist()
+        rows.append((10 * group, " ".join(base)))
+        for k in range(1, 5):  # one to four words changed: similarities from 0.97 down to 0.87
+            w = list(base)
+            for at in rng.choice(np.arange(10, 290), k, replace=False):
+                w[at] = "new"
+            rows.append((10 * group + k, " ".join(w)))
+        rows.append((10 * group + 9, " ".join(base[:150] + rng.choice(vocabulary, 150).tolist())))  # half of it shared
+    rows += [(None, "no id"), (None, "no id"), (500, None), (501, ""), (500, None)]
+    df = spark.createDataFrame([(i, t, "clash") for i, t in rows], "doc_id long, text string, fp string")
+    kept = simhash_dedup.keep_one(df)
+    assert kept.columns == df.columns
+    ids = [r.doc_id for r in kept.collect()]
+    assert sorted(i for i in ids if i is not None) == sorted([10 * g + d for g in range(12) for d in (0, 9)] + [500]) and ids.count(None) == 2
+    assert simhash_dedup.keep_one(df.limit(0)).count() == 0
+
+
 def test_topk_by_brute_force(spark):
     rng = np.random.default_rng(2)
     v = rng.normal(size=(120, 8)).astype("float32")
