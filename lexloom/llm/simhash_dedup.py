@@ -12,6 +12,7 @@ from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -151,34 +152,50 @@ class Bucket:
         return out
 
 
+def worth_indexing(codes: np.ndarray, starts: np.ndarray, radius: int) -> np.ndarray:
+    """Which buckets (rows from starts[i] on) to index: those over a leaf's size, and smaller ones that hold a close pair.
+    Rows of all small buckets are compared at once, each with the next, the second next and so on."""
+    sizes = np.diff(starts, append=len(codes))
+    left = np.repeat(starts + sizes, sizes) - np.arange(len(codes))  # rows of the bucket from here on, own included
+    bucket, found = np.repeat(np.arange(len(starts)), sizes), sizes > LEAF
+    left[found[bucket]] = 0
+    for step in range(1, LEAF):
+        rows = np.flatnonzero(left > step)
+        if not len(rows):
+            break
+        near = np.bitwise_count(codes[rows] ^ codes[rows + step]).sum(axis=1, dtype=np.int64) <= radius
+        found[bucket[rows[near]]] = True
+    return found
+
+
 def _links(radius: int):
-    def partition(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """Rows come sorted by key, so a bucket's rows follow each other; only one bucket is held at a time."""
-        key, fps, ids = None, [], []
-
-        def flush() -> pa.RecordBatch | None:
-            if len(fps) < 2:
-                return None
-            codes = np.frombuffer(b"".join(fps), ">u8").astype(np.uint64).reshape(len(fps), -1)
-            if len(fps) == 2 and int(np.bitwise_count(codes[0] ^ codes[1]).sum()) > radius:
-                return None  # most buckets hold two that only share the block
-            group = Bucket(codes, radius).groups()
-            own = np.array(ids, np.int64)
+    def links(t: pa.Table, starts: np.ndarray) -> Iterator[pa.RecordBatch]:
+        codes = np.frombuffer(b"".join(t.column(1).to_pylist()), ">u8").astype(np.uint64).reshape(t.num_rows, -1)
+        ids, ends = t.column(2).to_numpy(), np.append(starts[1:], t.num_rows)
+        for i in np.flatnonzero(worth_indexing(codes, starts, radius)):
+            own, group = ids[starts[i] : ends[i]], Bucket(codes[starts[i] : ends[i]], radius).groups()
             least = np.full(len(own), np.iinfo(np.int64).max)
             np.minimum.at(least, group, own)
             far = own != least[group]
-            return pa.RecordBatch.from_arrays([pa.array(own[far]), pa.array(least[group][far])], names=["a", "b"]) if far.any() else None
+            if far.any():
+                yield pa.RecordBatch.from_arrays([pa.array(own[far]), pa.array(least[group][far])], names=["a", "b"])
 
+    def partition(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Rows come sorted by key, so a bucket's rows follow each other; a batch and the bucket that it ends are held."""
+        held = []  # parts of the last bucket, which may go on
         for b in it:
-            for k, f, i in zip(*(c.to_pylist() for c in b.columns), strict=True):
-                if k != key:
-                    if (out := flush()) is not None:
-                        yield out
-                    key, fps, ids = k, [], []
-                fps.append(f)
-                ids.append(i)
-        if (out := flush()) is not None:
-            yield out
+            if not b.num_rows:
+                continue
+            held.append(b)
+            if held[0].column(0)[0] == b.column(0)[-1]:
+                continue
+            t = pa.Table.from_batches(held).combine_chunks()
+            key = t.column(0)
+            starts = np.append(0, 1 + np.flatnonzero(pc.not_equal(key[1:], key[:-1]).to_numpy()))
+            yield from links(t.slice(0, starts[-1]), starts[:-1])
+            held = t.slice(starts[-1]).to_batches()
+        if held:
+            yield from links(pa.Table.from_batches(held), np.array([0]))
 
     return partition
 

@@ -186,6 +186,25 @@ def test_one_of_near_copies_stays(spark):
     assert simhash_dedup.keep_one(df.limit(0)).count() == 0
 
 
+@pytest.mark.parametrize("batch", [1, 7, 1000])
+def test_links_over_batches(batch):
+    import pyarrow as pa
+
+    rng = np.random.default_rng(6)
+    keys = sorted(f"{k:02d}" for k in np.concatenate([rng.integers(0, 40, 150), np.full(100, 50)]))
+    codes = rng.integers(0, 2**63, 8, dtype=np.uint64)[rng.integers(0, 8, 250)] ^ (np.uint64(1) << rng.integers(0, 64, 250).astype(np.uint64))
+    rows = pa.table({"key": keys, "fp": pa.array([int(c).to_bytes(8, "big") for c in codes], pa.binary()), "rep": np.arange(250)})
+    got = {tuple(x) for b in simhash_dedup._links(2)(iter(rows.to_batches(max_chunksize=batch))) for x in zip(b["a"].to_pylist(), b["b"].to_pylist())}
+    label = np.arange(250)
+    for _ in range(250):
+        near = [[j for j in range(250) if keys[i] == keys[j] and int(codes[i] ^ codes[j]).bit_count() <= 2] for i in range(250)]
+        new = np.array([label[n].min() for n in near])
+        if (new == label).all():
+            break
+        label = new
+    assert got == {(i, int(r)) for i, r in enumerate(label) if i != r}
+
+
 def test_topk_by_brute_force(spark):
     rng = np.random.default_rng(2)
     v = rng.normal(size=(120, 8)).astype("float32")
