@@ -4,7 +4,7 @@ A suffix (here: the `SPAN` bytes from a position on) is filed under the least ha
 suffixes meet in one bucket. Neighbouring suffixes with the same least string form a run, about one in nineteen bytes.
 
 1. Runs go to buckets by their key. Runs of equal bytes are settled by a hash of the run: all but those of the smallest
-   document are repeats. Runs that share a key but not all bytes stay open.
+   document are repeats. Those of the smallest document stay open where runs of other bytes share their key.
 2. The bytes of open runs go to the buckets, and each bucket's suffixes are sorted, one bucket at a time: by words of 8
    bytes first; the long ties that remain are resolved by ranks precomputed at the positions of a difference cover.
 3. The covered ranges meet their documents again.
@@ -201,7 +201,7 @@ def _by_bucket(work):
 def _settle_runs(buckets: int):
     def work(blobs: list[bytes]) -> Iterator[pa.RecordBatch]:
         docs, rows = _gathered(blobs, RUN)  # docs are in order of doc_id
-        rows = rows[np.lexsort((rows["doc"], rows["seg"], rows["key"]))]
+        rows = rows[np.lexsort((rows["at"], rows["doc"], rows["seg"], rows["key"]))]
         sure = (rows["key"] == 0) & (rows["seg"] == 0)
         ids = docs["id"][rows["doc"]]
         seg, key = _first_in(rows, ("key", "seg")), _first_in(rows, ("key",))
@@ -210,8 +210,9 @@ def _settle_runs(buckets: int):
         starts = np.flatnonzero(key)
         several = np.add.reduceat(seg.astype(int), starts)[of_key] > 1 if len(starts) else np.zeros(0, bool)
         apart = (np.minimum.reduceat(ids, starts) < np.maximum.reduceat(ids, starts))[of_key] if len(starts) else several
-        # of runs of equal bytes the first stands for all: what repeats in the others is settled
-        is_open = seg & several & apart & ~sure
+        # of runs of equal bytes only those of the smallest document stay open, all of them: the others are repeats as they
+        # are. Rows that repeat doc_id and text have the same ranges, so one stands for all
+        is_open = ~repeat & several & apart & _first_in(rows, ("key", "seg", "doc", "at"))
         out = np.zeros(len(rows), RANGE)
         for c in ("key", "doc", "at", "n"):
             out[c] = rows[c]

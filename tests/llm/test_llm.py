@@ -102,6 +102,29 @@ def test_repeats_by_brute_force(spark):
         assert (r.n_bytes, r.n_removed, r.kept_sha256) == (len(b), len(gone), hashlib.sha256(kept).hexdigest())
 
 
+def test_repeats_of_a_passage_that_a_document_holds_twice(spark):
+    rng = np.random.default_rng(8)
+    made = lambda n: "".join(rng.choice(list("abcdefghijklmnopqrstuvwxyz "), n))
+    texts = {}
+    for i in range(0, 120, 3):
+        passage, around = made(50 + i % 21), (made(80), made(80))
+        twice = around[0] + passage + around[1]
+        texts[i] = made(70) + passage + made(70)
+        texts[i + 1] = twice + made(60) + twice
+        texts[i + 2] = made(30) + twice + made(60) + twice + twice
+    rows = [*texts.items(), (1, texts[1]), (1, made(40) + texts[1])]  # repeated rows, and another text of the same doc_id
+    first = {}
+    for i, t in rows:
+        for p in range(len(t) - 49):
+            first[t[p : p + 50]] = min(i, first.get(t[p : p + 50], i))
+    want = []
+    for i, t in rows:
+        gone = {q for p in range(len(t) - 49) if first[t[p : p + 50]] < i for q in range(p, p + 50)}
+        want.append((i, len(t), len(gone), hashlib.sha256("".join(x for q, x in enumerate(t) if q not in gone).encode()).hexdigest()))
+    got = suffix_dedup.repeats_report(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert sorted((r.doc_id, r.n_bytes, r.n_removed, r.kept_sha256) for r in got) == sorted(want)
+
+
 def test_mixture_stays_in_budget(spark, docs):
     rows = source_mixing.mix(docs).collect()
     assert len(rows) == len(TEXTS)
