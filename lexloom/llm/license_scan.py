@@ -11,7 +11,10 @@ from pyspark.sql import DataFrame
 # The base phrases and their labels.
 BASE = (("mit license", "mit"), ("apache license", "apache"), ("general public license", "gpl"))
 #: Words that every signature needs at least one of; texts without any are not scanned by signature.
-KEYWORDS = (b"licen", b"copyright", b"copying", b"warrant", b"public domain", b"redistribut", b"spdx", b"cc by", b"cc0", b"unlicense")
+KEYWORDS = (
+    b"licen", b"copyright", b"copying", b"warrant", b"public domain", b"redistribut", b"spdx", b"cc by", b"cc0", b"unlicense", b"all rights reserved", b"permission is hereby granted", b"permission to use",
+    b"released under", b"distributed under", b"available under", b"published under",
+)
 # Licences as name, expression of its words, versions ('' for none).
 NAMES = (
     ("mit", "mit|expat", ("",)), ("apache", "apache(?: software)?", ("", "1 0", "1 1", "2 0")), ("gpl", "gnu general public|general public|gnu gpl|gpl", ("", "1", "2", "3")),

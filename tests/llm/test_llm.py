@@ -148,6 +148,43 @@ def test_licenses(docs):
     assert len(license_scan.rules()) >= 200
 
 
+def examples(pattern):
+    """Texts that the expression matches: each alternative once, each repeat as few times as it may be."""
+    from re import _parser as parser
+
+    def of(items):
+        out = [""]
+        for op, x in items:
+            if op is parser.LITERAL:
+                more = [chr(x)]
+            elif op is parser.IN:
+                more = [chr(x[0][1] if x[0][0] is parser.LITERAL else x[0][1][0])]
+            elif op is parser.BRANCH:
+                more = [y for branch in x[1] for y in of(branch)]
+            elif op is parser.SUBPATTERN:
+                more = of(x[3])
+            elif op is parser.MAX_REPEAT:
+                more = [y * x[0] for y in of(x[2])] if x[0] else [""]
+            else:
+                assert op is parser.ASSERT_NOT
+                more = [""]
+            out = list(dict.fromkeys(a + b for a in out for b in more))
+        return out
+
+    return of(parser.parse(pattern.pattern.decode()))
+
+
+def test_every_signature_passes_the_prefilter():
+    signatures = license_scan.rules()
+    for rule in signatures:
+        for text in examples(rule[0]):
+            assert rule[0].search(f" {text} ".encode()), text
+            found = license_scan.scan(text, signatures)
+            assert found[5] and found[6] > 0, (rule[1], text)
+    assert license_scan.scan("All rights reserved.", signatures)[4:] == ("", "proprietary", 0.5)
+    assert license_scan.scan("Distributed under the terms of the MPL 2.0", signatures)[5] == "mpl-2.0"
+
+
 def test_personal_data(docs, spark):
     rows = {r.doc_id: r for r in pii.span_report(docs).collect()}
     assert (rows[4].n_email, rows[4].n_phone, rows[2].spans) == (1, 1, "")
