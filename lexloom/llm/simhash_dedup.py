@@ -56,17 +56,25 @@ def hashes(h: np.ndarray, words64: int) -> np.ndarray:
     return x
 
 
-def fingerprint(text: str, shingle: int, words64: int) -> bytes:
-    """Big-endian fingerprint: a bit is 1 if set in over half of the hashes of the word shingles, repeats included."""
+def shingle_hashes(text: str, shingle: int) -> np.ndarray:
+    """Hashes of the word shingles in order, repeats included; of fewer words than a shingle, one; without words, none."""
     words = text.encode("utf-8", "surrogatepass").lower().split()  # bytes: A-Z lowered, parted at the six blanks of ASCII
     if not words:
-        return bytes(8 * words64)
+        return np.zeros(0, np.uint64)
     joined = b" ".join(words)
     ends = np.cumsum(np.fromiter(map(len, words), np.int64, len(words)) + 1) - 1
     starts = np.concatenate([[0], ends[:-1] + 1])
     n = max(len(words) - shingle + 1, 1)
     digest, view = xxhash.xxh64_intdigest, memoryview(joined)
-    h = np.fromiter((digest(view[a:b], 42) for a, b in zip(starts[:n].tolist(), ends[min(shingle, len(words)) - 1 :].tolist())), np.uint64, n)
+    return np.fromiter((digest(view[a:b], 42) for a, b in zip(starts[:n].tolist(), ends[min(shingle, len(words)) - 1 :].tolist())), np.uint64, n)
+
+
+def fingerprint(text: str, shingle: int, words64: int) -> bytes:
+    """Big-endian fingerprint: a bit is 1 if set in over half of the hashes of the word shingles, repeats included."""
+    h = shingle_hashes(text, shingle)
+    n = len(h)
+    if not n:
+        return bytes(8 * words64)
     ones = sum(bit_counts(hashes(h[i : i + CHUNK], words64)) for i in range(0, n, CHUNK))
     return np.packbits(2 * ones > n).tobytes()
 
@@ -233,16 +241,8 @@ def simhash_report(docs: DataFrame) -> DataFrame:
     return near_duplicates(docs).select("doc_id", F.lower(F.hex("fp")).alias("fingerprint"), F.col("component_id").cast("long").alias("component_id"))
 
 
-#: For deduplication: five-word shingles; 1024 bits, of which 155 differ at a similarity of 0.8 on average, with a standard
-#: deviation of 12, so 172 takes nearly all such pairs; 32 bands of 16 bits from the first half.
-DEDUP = {"shingle": 5, "words64": 16, "radius": 172, "blocks": 32, "kept": 1, "block_bits": 512}
-
+def keep_one(docs: DataFrame) -> DataFrame:
+    """docs without near duplicates of a smaller doc_id, by the exact similarity of the texts (see exact_near)."""
+    from lexloom.llm import exact_near
 
-def keep_one(docs: DataFrame, **parameters) -> DataFrame:
-    """docs without those that have a near duplicate of smaller doc_id in their component. doc_id names documents: of rows
-    that repeat it one stays; rows without doc_id all stay."""
-    found = near_duplicates(docs, **(DEDUP | parameters))
-    gone = found.where("doc_id <> component_id").select(F.col("doc_id").alias("__gone"))
-    stays = docs.join(gone, docs.doc_id == F.col("__gone"), "left_anti")
-    named, unnamed = stays.where("doc_id is not null"), stays.where("doc_id is null")
-    return named.dropDuplicates(["doc_id"]).unionByName(unnamed)
+    return exact_near.keep_one(docs)

@@ -246,6 +246,33 @@ def test_one_of_near_copies_stays(spark):
     assert simhash_dedup.keep_one(df.limit(0)).count() == 0
 
 
+def test_near_duplicates_by_brute_force(spark):
+    from lexloom.llm import exact_near
+
+    rng = np.random.default_rng(9)
+    vocabulary = [f"w{i}" for i in range(2000)]
+    rows = [(0, None), (1, ""), (2, "one two"), (3, "One  two")]
+    for group in range(25):  # similarities around 0.8; a group of over SMALL copies
+        base = rng.choice(vocabulary, 60 + 4 * group).tolist()
+        for k in range(48 if group == 3 else 6):
+            w = list(base)
+            for at in rng.choice(len(w), rng.integers(1, 4), replace=False):
+                w[at] = rng.choice(vocabulary)
+            rows.append((len(rows), " ".join(w)))
+    sets = {i: {tuple(w[j : j + 5]) for w in [words((t or "").lower())] if w for j in range(max(1, len(w) - 4))} for i, t in rows}
+    label = {i: i for i, _ in rows}
+    alike = [(i, j) for i in label for j in label if i < j and 5 * len(sets[i] & sets[j]) >= 4 * len(sets[i] | sets[j])]
+    for _ in rows:
+        before = dict(label)
+        for i, j in alike:
+            label[i] = label[j] = min(label[i], label[j])
+        if before == label:
+            break
+    got = {r.doc_id: r.component_id for r in exact_near.near_classes(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == label
+    assert sorted(r.doc_id for r in simhash_dedup.keep_one(spark.createDataFrame(rows, "doc_id long, text string")).collect()) == sorted(set(label.values()))
+
+
 @pytest.mark.parametrize("batch", [1, 7, 1000])
 def test_links_over_batches(batch):
     import pyarrow as pa
