@@ -19,11 +19,14 @@ from pyspark.sql import functions as F
 
 # Element kinds of HTML.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-RAW = frozenset("script style textarea title noscript template iframe svg math select button option".split())
-INLINE = frozenset("a abbr b bdi bdo big cite code data del dfn em font i img ins kbd label mark q rp rt ruby s samp small span strike strong sub sup time tt u var wbr acronym br".split())
-CLOSES = {"li": ("li",), "dt": ("dt", "dd"), "dd": ("dt", "dd"), "tr": ("tr", "td", "th"), "td": ("td", "th"), "th": ("td", "th")}
+RAW = frozenset("script style textarea title noscript iframe".split())
+NESTED = frozenset("svg template".split())  # left out up to their own end tag
+HELD = frozenset("button select datalist".split())  # inside a text run, which goes on behind them
+MATH = frozenset("math mi mo mn ms mtext mspace mrow mfrac msqrt mroot mstyle merror mpadded mphantom msub msup msubsup munder mover munderover mmultiscripts mprescripts mtable mtr mtd maction semantics annotation annotation-xml".split())
+INLINE = MATH | frozenset("a abbr b bdi bdo big cite code data del dfn em font i img ins kbd label mark q rp rt ruby s samp small span strike strong sub sup time tt u var wbr acronym br".split())
+CLOSES = {"li": ("li",), "dt": ("dt", "dd"), "dd": ("dt", "dd"), "tr": ("tr", "td", "th"), "td": ("td", "th"), "th": ("td", "th"), "option": ("option",)}
 CONTENT_TAGS = ("article", "main")
-OTHER_TAGS = ("nav", "header", "footer", "aside", "form", "dialog", "menu", "fieldset")
+OTHER_TAGS = ("nav", "header", "footer", "aside", "form", "dialog", "menu", "fieldset", "button", "select", "datalist", "option")
 TEXT_TAGS = ("p", "h1", "h2", "h3", "blockquote", "pre", "li", "td", "div", "section", "ul", "body")
 #: Parts of class, id and role that tell what an element is for, with the prior's sign.
 NAMES = (
@@ -88,13 +91,26 @@ def _run(tag: str, text: str, linked: int) -> list[int]:
     return out
 
 
+def _end_of(tag: str, source: str, at: int) -> int:
+    """Behind the end tag of an element whose start tag ends at `at`, inner elements of its name counted; -1 if none."""
+    depth = 1
+    for m in re.compile(rf"<!--.*?(?:-->|\Z)|<(/?){tag}(?=[\s/>])((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>", re.I | re.S).finditer(source, at):
+        if not m[0].startswith("<!--"):
+            depth += -1 if m[1] else not m[2].endswith("/")
+            if not depth:
+                return m.end()
+    return -1
+
+
 def parse(source: str) -> Page:
-    """The tree of a page: block elements and text runs. Comments, scripts, styles and other raw elements are left out,
-    character references decoded, white space in a run made one blank; unclosed elements end where HTML says they do."""
+    """The tree of a page: block elements and text runs. Comments, scripts, styles, other raw elements, drawings and
+    templates are left out, formulas are text, character references decoded, white space in a run made one blank; unclosed
+    elements end where HTML says they do, and the tag of an unclosed drawing, template, button or list is passed over."""
     page = Page()
     stack = [("#root", page.add(-1, [_AT["bias_element"]], None, False), False)]  # tag, node of the nearest block, gold
     buffer: list[str] = []
     linked, anchors, at = 0, 0, 0
+    held: list[tuple[int, list[str], int]] = []  # runs that go on behind an element: depth of the stack, buffer, linked
 
     def flush() -> None:
         nonlocal linked
@@ -106,11 +122,19 @@ def parse(source: str) -> Page:
             buffer.clear()
         linked = 0
 
+    def resume() -> None:
+        nonlocal linked
+        while held and held[-1][0] >= len(stack):
+            _, before, of_links = held.pop()
+            buffer[:0] = before
+            linked += of_links
+
     def close(tags: tuple[str, ...], barrier: tuple[str, ...] = ()) -> None:
         for k in range(len(stack) - 1, 0, -1):
             if stack[k][0] in tags:
                 flush()
                 del stack[k:]
+                resume()
                 return
             if stack[k][0] in barrier:
                 return
@@ -145,12 +169,29 @@ def parse(source: str) -> Page:
             end = re.compile(rf"</{re.escape(tag)}\s*>", re.I).search(source, at)
             at = end.end() if end else len(source)
             continue
+        if tag in NESTED:
+            if not m[3].endswith("/"):
+                at = max(at, _end_of(tag, source, at))
+            continue
+        if tag in HELD:
+            after = re.compile(rf"<(/?){tag}(?=[\s/>])", re.I).search(source, at)
+            if after and after[1]:
+                held.append((len(stack), buffer[:], linked))
+                buffer.clear()
+                linked = 0
+                # a tree of its own: what a button is tells nothing of the paragraph around it
+                stack.append((tag, page.add(-1, _element(tag, m[3]), None, False), False))
+            continue
         if tag in VOID:
             if tag in ("br", "hr"):
                 buffer.append(" ")
             if tag == "hr":
                 flush()
             continue
+        if tag in ("mtr", "mtd"):
+            buffer.append(" ")
+        if tag in MATH and m[3].endswith("/"):
+            continue
         if tag in INLINE:
             anchors += tag == "a"
             stack.append((tag, stack[-1][1], stack[-1][2]))
@@ -158,8 +199,9 @@ def parse(source: str) -> Page:
         flush()
         anchors = 0
         if tag in CLOSES:
-            close(CLOSES[tag], ("ul", "ol", "dl", "table"))
-        close(("p",), ("td", "th", "li", "div", "article", "section", "body"))
+            close(CLOSES[tag], ("ul", "ol", "dl", "table", *HELD))
+        for ended in ("option", "p"):
+            close((ended,), ("td", "th", "li", "div", "article", "section", "body", *HELD))
         features = _element(tag, m[3])
         signs = [PRIOR[f] for f in features if abs(PRIOR[f]) > 3]
         _, above, gold = stack[-1]
@@ -169,6 +211,10 @@ def parse(source: str) -> Page:
         else:
             stack.append((tag, page.add(above, features, None, gold), gold))
     flush()
+    if held:
+        del stack[held[0][0] :]
+        resume()
+        flush()
     return page
 
 
@@ -178,8 +224,7 @@ class Batch:
     def __init__(self, pages: list[Page]):
         sizes = np.array([len(p.parent) for p in pages])
         first = np.concatenate([[0], np.cumsum(sizes)])
-        self.parent = np.concatenate([np.array(p.parent) + f for p, f in zip(pages, first, strict=False)]) if pages else np.zeros(0, int)
-        self.parent[first[:-1]] = -1
+        self.parent = np.concatenate([np.where(np.array(p.parent) < 0, -1, np.array(p.parent) + f) for p, f in zip(pages, first, strict=False)]) if pages else np.zeros(0, int)
         self.depth = np.array([d for p in pages for d in p.depth], int)
         self.is_text = np.array([t is not None for p in pages for t in p.text], int)
         self.gold = np.array([g for p in pages for g in p.gold], int)

@@ -59,6 +59,18 @@ def test_html_keeps_the_article():
     assert html_extract.main_texts([page, None, "", page], model) == ["T & U\nOne two three.\nFour.", "", "", "T & U\nOne two three.\nFour."]
 
 
+@pytest.mark.parametrize("inside, want", [
+    ('<p>One.</p><svg/><p>Two.</p>', "One.\nTwo."), ('<p>One <math/> more.</p><p>Two.</p>', "One more.\nTwo."), ('<p>One.</p><svg viewBox="0 0 1 1"><svg><text>in</text></svg><text>out</text></svg><p>Two.</p>', "One.\nTwo."),
+    ('<p>One.</p><svg><path d="M0"><p>Two.</p>', "One.\nTwo."), ('<p>One.</p><datalist><option>a<option>b</datalist><p>Two.</p>', "One.\nTwo."), ('<p>One.</p><select><option>a<option>b</select><p>Two.</p>', "One.\nTwo."),
+    ('<p>One <button>Copy</button> more.</p><p>Two.</p>', "One more.\nTwo."), ('<p>So <math><mi>x</mi><mo>=</mo><mn>2</mn></math> holds.</p>', "So x=2 holds."), ('<p>One.</p><template><p>t</p></template><p>Two.</p>', "One.\nTwo."),
+    ('<p>One.</p><button>Go<p>Two.</p><button>More</button><p>Three.</p>', "One.\nGo\nTwo.\nThree."),
+])
+def test_html_drops_no_text_behind_foreign_elements(inside, want):
+    page = f"<body><nav>menu</nav><article>{inside}</article><footer>foot</footer></body>"
+    for model in (html_extract.train([]), html_extract.train([html_extract.parse("<nav>a</nav><article><p>One text.</p><p>Two.</p></article><footer>b</footer>")] * 20)):
+        assert html_extract.main_texts([page], model) == [want]
+
+
 def test_marginals_equal_enumeration():
     page = html_extract.parse("<article><p>one.</p><div class=ad>two</div></article><p>three</p>")
     batch = html_extract.Batch([page])
