@@ -1,42 +1,56 @@
-"""Near-duplicate classes by exact Jaccard similarity of word shingles: a prefix filter, then the sets themselves.
-
-Shingles have one order for all texts, frequent ones last. Of n shingles two sets of similarity NUM / DEN or more share one
-among the first n - ceil(n * NUM / DEN) + 1 of each, whatever the order, so no link is lost. Texts of equal sets are one
-class before any search. Shingles stand for their 64-bit hashes.
+"""Near-duplicate classes of texts: SimHash candidates by the Gray-order index, settled by the exact similarity.
+
+A link is a Jaccard similarity of NUM / DEN or more of the texts' distinct word shingles. The SimHash index finds most of
+them; what its bands miss is found by a prefix filter that loses no link: shingles have one order for all texts, frequent
+ones last, and of n shingles two linked sets share one among the first n - ceil(n * NUM / DEN) + 1 of each. Sets that meet
+there are compared by sketches first: a sketch holds for each of SKETCH cells whether an odd number of shingles falls into
+it, so two sketches differ in no more cells than the sets in shingles, and no link is lost here either. Every candidate is
+settled by the sets themselves before components are made. Shingles stand for their 64-bit hashes, texts of equal sets are
+one class before any search.
 """
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from lexloom.llm import simhash_dedup
 from lexloom.llm.common import checkpointed, written
 from lexloom.llm.components import components
-from lexloom.llm.simhash_dedup import shingle_hashes
 
 SHINGLE, NUM, DEN = 5, 4, 5
-#: Classes of a shingle that are paired all with all at once; larger groups first meet PIVOTS of theirs, ROUNDS times.
-SMALL, PIVOTS, ROUNDS = 32, 8, 2
-#: Documents whose shingles are counted to order them, and how many frequent shingles are told apart.
-SAMPLE, FREQUENT = 4000, 100_000
+#: Words of 64 bits of a fingerprint, and how many of its bits may differ in a candidate (about those of similarity 0.8).
+WORDS64, RADIUS = 4, 40
+#: Cells of a sketch.
+SKETCH = 512
+#: Most shingles whose counts order them; this many rows are broadcast. It changes what is compared, never what is linked.
+FREQUENT = 500_000
+#: Classes of a shingle that a task compares at once; larger groups are compared block by block.
+BLOCK = 4096
+#: Classes of a shingle up to which all groups are compared together.
+SMALL = 32
 
 
 def distinct(text: str | None) -> np.ndarray:
-    return np.unique(shingle_hashes(text or "", SHINGLE))
+    return np.unique(simhash_dedup.shingle_hashes(text or "", SHINGLE))
 
 
 def class_id(h: np.ndarray) -> int:
     return int(np.int64(np.uint64(xxhash.xxh3_64_intdigest(h.tobytes())).view(np.int64)))
 
 
+def sketch(h: np.ndarray) -> bytes:
+    return np.packbits(np.bincount((h % np.uint64(SKETCH)).astype(np.int64), minlength=SKETCH) & 1).tobytes()
+
+
 def prefix(h: np.ndarray, frequent: np.ndarray, counts: np.ndarray) -> np.ndarray:
-    """The first shingles of a set in the common order: by count in the sample, then by hash. frequent is sorted."""
+    """The first shingles of a set in the common order: by count where it is known, then by hash. frequent is sorted."""
     count = np.zeros(len(h), np.int64)
     if len(frequent) and len(h):
         at = np.minimum(np.searchsorted(frequent, h), len(frequent) - 1)
@@ -44,116 +58,171 @@ def prefix(h: np.ndarray, frequent: np.ndarray, counts: np.ndarray) -> np.ndarra
     return h[np.lexsort((h, count))[: len(h) - -(-len(h) * NUM // DEN) + 1]]
 
 
-def _frequent(named: DataFrame) -> tuple[np.ndarray, np.ndarray]:
-    def batches(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in it:
-            for t in b.column(0).to_pylist():
-                yield pa.RecordBatch.from_arrays([pa.array(distinct(t).view(np.int64))], names=["token"])
-
-    some = named.where(F.pmod(F.xxhash64("doc_id"), F.lit(max(1, named.count() // SAMPLE))) == 0).select("text")
-    rows = some.mapInArrow(batches, "token long").groupBy("token").count().where("count > 2").orderBy(F.desc("count"), "token").limit(FREQUENT).collect()
-    tokens, counts = np.array([r[0] for r in rows], np.int64).view(np.uint64), np.array([r[1] for r in rows], np.int64)
-    order = np.argsort(tokens)
-    return tokens[order], counts[order]
+def _sets(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """doc_id, class, size, fingerprint, sketch and the set itself; the last three only where a class is first met in the
+    task, so that copies cost no more than their names."""
+    seen: set[int] = set()
+    for b in it:
+        columns: list[list] = [[], [], [], [], []]
+        for t in b.column(1).to_pylist():
+            h = distinct(t)
+            cid = class_id(h)
+            new = cid not in seen
+            seen.add(cid)
+            row = (cid, len(h), simhash_dedup.majority(h, WORDS64) if new else None, sketch(h) if new else None, h.view(np.int64) if new else None)
+            for column, value in zip(columns, row, strict=True):
+                column.append(value)
+        kinds = (pa.int64(), pa.int64(), pa.binary(), pa.binary(), pa.list_(pa.int64()))
+        yield pa.RecordBatch.from_arrays([b.column(0), *(pa.array(c, k) for c, k in zip(columns, kinds, strict=True))], names=["doc_id", "cid", "n", "fp", "sketch", "hashes"])
+
+
+def _frequent(sets: DataFrame) -> tuple[np.ndarray, np.ndarray]:
+    """The most frequent shingles of all sets and their counts: those over the least power of two that leaves at most FREQUENT."""
+    tokens = sets.select(F.explode("hashes").alias("token"))
+    counts = written(tokens.groupBy("token").count().where("count > 3"))
+    sizes = sorted(((r["p"], r["n"]) for r in counts.groupBy(F.floor(F.log2("count")).alias("p")).agg(F.count("*").alias("n")).collect()), reverse=True)  # at most 64
+    total, least = 0, 64
+    for p, n in sizes:
+        if (total := total + n) > FREQUENT:
+            break
+        least = p
+    rows = counts.where(F.col("count") >= 2**least).toArrow() if total else counts.limit(0).toArrow()
+    tokens, n = (rows.column(c).to_numpy() for c in ("token", "count"))
+    order = np.argsort(tokens.view(np.uint64))
+    return tokens.view(np.uint64)[order], n[order]
 
 
 def _filed(frequent: np.ndarray, counts: np.ndarray):
     def batches(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in it:
-            sets = [distinct(t) for t in b.column(1).to_pylist()]
-            first = [prefix(h, frequent, counts).view(np.int64) for h in sets]
-            columns = [pa.array(map(class_id, sets), pa.int64()), pa.array(map(len, sets), pa.int64()), pa.array(first, pa.list_(pa.int64()))]
-            yield pa.RecordBatch.from_arrays([b.column(0), *columns], names=["doc_id", "cid", "n", "prefix"])
+            ends, values = b.column(1).offsets.to_numpy(), b.column(1).values.to_numpy().view(np.uint64)
+            first = [prefix(values[i:j], frequent, counts) for i, j in zip(ends[:-1].tolist(), ends[1:].tolist())]
+            cid = np.repeat(b.column(0).to_numpy(), [len(x) for x in first])
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate([np.zeros(0, np.uint64), *first]).view(np.int64)), pa.array(cid)], names=["token", "cid"])
 
     return batches
 
 
-def _whole(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for b in it:
-        sets = [distinct(t) for t in b.column(0).to_pylist()]
-        yield pa.RecordBatch.from_arrays([pa.array(map(class_id, sets), pa.int64()), pa.array([h.tobytes() for h in sets], pa.binary())], names=["cid", "hashes"])
-
-
-def _group_pairs(cid: np.ndarray, n: np.ndarray, label: np.ndarray, turn: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """Pairs of a shingle's classes (sorted by n) whose sizes allow a link and which are not connected yet."""
-    m = len(cid)
-    if m < 2 or (turn and m <= SMALL) or (label == label[0]).all():
-        return
-    full = m <= SMALL or turn == ROUNDS
-    for i in range(m) if full else range(turn * (m // PIVOTS // 2), m, m // PIVOTS):
-        a = i + 1 if full else np.searchsorted(n * DEN, n[i] * NUM)
-        b = np.searchsorted(n * NUM, n[i] * DEN, "right")
-        other = cid[a:b][label[a:b] != label[i]]
-        if len(other):
-            yield np.minimum(other, cid[i]), np.maximum(other, cid[i])
-
-
-def _pairs(turn: int):
-    def partition(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """Rows come sorted by token; a batch and the group that it ends are held."""
-
-        def paired(t: pa.Table) -> Iterator[pa.RecordBatch]:
-            token, cid, n, label = (t.column(c).to_numpy() for c in range(4))
-            ends = np.append(np.flatnonzero(token[1:] != token[:-1]) + 1, len(token))
-            a = 0
-            for e in ends.tolist():
-                for x, y in _group_pairs(cid[a:e], n[a:e], label[a:e], turn):
-                    yield pa.RecordBatch.from_arrays([pa.array(x), pa.array(y)], names=["a", "b"])
-                a = e
-
-        held: list[pa.RecordBatch] = []
-        for b in it:
-            if not b.num_rows:
-                continue
-            held.append(b)
-            if held[0].column(0)[0] == b.column(0)[-1]:
-                continue
-            t = pa.Table.from_batches(held).combine_chunks()
-            last = pc.index(t.column(0), t.column(0)[-1]).as_py()
-            yield from paired(t.slice(0, last))
-            held = t.slice(last).to_batches()
-        if held:
-            yield from paired(pa.Table.from_batches(held))
-
-    return partition
-
-
-def _linked(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _shared(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Of rows sorted by token and class those of tokens with several classes, each once; a single row is held."""
+    last, given = None, False  # the row before this batch, and whether it was given out
     for b in it:
-        good = []
-        for x, y in zip(b.column(2).to_pylist(), b.column(3).to_pylist(), strict=True):
-            x, y = np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)
-            both = len(np.intersect1d(x, y, assume_unique=True))
-            good.append(DEN * both >= NUM * (len(x) + len(y) - both))
-        yield pa.RecordBatch.from_arrays([b.column(0), b.column(1)], names=["a", "b"]).filter(pa.array(good, pa.bool_()))
+        if not b.num_rows:
+            continue
+        token, cid = b.column(0).to_numpy(), b.column(1).to_numpy()
+        if last is not None:
+            token, cid = np.append(last[0], token), np.append(last[1], cid)
+        new = np.append(True, (token[1:] != token[:-1]) | (cid[1:] != cid[:-1]))
+        token, cid = token[new], cid[new]
+        alike = token[1:] == token[:-1]
+        keep = np.append(False, alike) | np.append(alike, False)
+        if given:
+            keep[0] = False
+        given = bool(keep[-1]) or (given and len(token) == 1)
+        last = (token[-1], cid[-1])
+        yield pa.RecordBatch.from_arrays([pa.array(token[keep]), pa.array(cid[keep])], names=["token", "cid"])
+
+
+def _possible(n: np.ndarray, cells: np.ndarray, i: np.ndarray, j: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Of the pairs (i, j) those whose sizes and sketches allow a link, and in how many cells they differ."""
+    fits = (n[j] * DEN >= n[i] * NUM) & (n[j] * NUM <= n[i] * DEN)
+    i, j = i[fits], j[fits]
+    apart = np.bitwise_count(cells[j] ^ cells[i]).sum(axis=1, dtype=np.int64)
+    needed = -(-(n[i] + n[j]) * NUM // (NUM + DEN))
+    fits = apart <= n[i] + n[j] - 2 * needed
+    return i[fits], j[fits], apart[fits]
+
+
+def _in_small(starts: np.ndarray, sizes: np.ndarray, label: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Pairs of unlike labels in small groups, all groups at once: each row with the next, the second next and so on."""
+    at = np.arange(sizes.sum()) + np.repeat(starts - np.cumsum(sizes) + sizes, sizes)
+    left = np.repeat(starts + sizes, sizes) - at  # rows of the group from here on, own included
+    for step in range(1, int(sizes.max(initial=0))):
+        i = at[left > step]
+        yield (i := i[label[i] != label[i + step]]), i + step
+
+
+def _in_large(label: np.ndarray, half: np.ndarray, split: bool) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Pairs of unlike labels in one group; where it is two blocks (split), only pairs across. Rows of the commonest label
+    are not compared among themselves, so what is connected costs no more."""
+    names, own = np.unique(label, return_inverse=True)
+    common = own == np.argmax(np.bincount(own))
+    for i in np.flatnonzero(~common) if len(names) > 1 else ():
+        other = (own != own[i]) & (common | (np.arange(len(label)) > i))
+        j = np.flatnonzero(other & (half != half[i]) if split else other)
+        yield np.full(len(j), i), j
+
+
+def _pairs(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Candidates of each group; rows come sorted by group, and one group, of at most two blocks, is held."""
+
+    def paired(t: pa.Table) -> Iterator[pa.RecordBatch]:
+        group = np.stack([t.column(c).to_numpy() for c in ("token", "low", "high")])
+        cid, n, label, half = (t.column(c).to_numpy() for c in ("cid", "n", "label", "block"))
+        cells = np.frombuffer(b"".join(t.column("sketch").to_pylist()), np.uint64).reshape(len(cid), -1)
+        starts = np.flatnonzero(np.append(True, (group[:, 1:] != group[:, :-1]).any(axis=0)))
+        sizes = np.diff(starts, append=len(cid))
+        small = (sizes <= SMALL) & (group[1, starts] == group[2, starts])
+
+        def found() -> Iterator[tuple[np.ndarray, np.ndarray]]:
+            yield from _in_small(starts[small], sizes[small], label)
+            for a, m in zip(starts[~small].tolist(), sizes[~small].tolist(), strict=True):
+                for i, j in _in_large(label[a : a + m], half[a : a + m], group[1, a] != group[2, a]):
+                    yield a + i, a + j
+
+        for i, j in found():
+            i, j, apart = _possible(n, cells, i, j)
+            if len(i):
+                yield pa.RecordBatch.from_arrays([pa.array(np.minimum(cid[i], cid[j])), pa.array(np.maximum(cid[i], cid[j])), pa.array(apart)], names=["a", "b", "apart"])
+
+    yield from simhash_dedup.by_group(it, ["token", "low", "high"], paired)
+
+
+def _settled(pairs: DataFrame, sets: DataFrame) -> DataFrame:
+    """The pairs (a, b) of classes that are links, by their sets."""
+    pairs = written(pairs.select("a", "b").distinct())
+    wanted = pairs.select(F.col("a").alias("cid")).union(pairs.select("b")).distinct()
+    own = sets.where("hashes is not null").select("cid", "hashes").join(wanted, "cid", "left_semi").dropDuplicates(["cid"])
+    both = pairs.join(own.toDF("a", "x"), "a").join(own.toDF("b", "y"), "b")
+    shared = f"size(array_intersect(x, y)) * {NUM + DEN} >= {NUM} * (size(x) + size(y))"
+    return checkpointed(both.where(shared).select("a", "b"))
 
 
 def near_classes(docs: DataFrame) -> DataFrame:
     """doc_id and component_id, the smallest doc_id reachable over links (its own included), of every row with a doc_id.
 
-    Texts link if NUM / DEN or more of their distinct shingles are shared. Null texts and texts without words have no
-    shingles and are one class; texts of fewer words than a shingle are one shingle.
+    Null texts and texts without words have no shingles and are one class; texts of fewer words than a shingle are one
+    shingle. Repeated rows are all returned; other columns are ignored; an empty table gives an empty result.
     """
     named = docs.where("doc_id is not null").select("doc_id", "text")
-    own = written(named.mapInArrow(_filed(*_frequent(named)), f"doc_id {dict(docs.dtypes)['doc_id']}, cid long, n long, prefix array<long>"))
-    classes = own.groupBy("cid").agg(F.min("doc_id").alias("rep"), F.first("n").alias("n"), F.first("prefix").alias("prefix"))
-    every = classes.select(F.explode("prefix").alias("token"), "cid", "n")
-    several = every.groupBy("token").count().where("count > 1").select("token")
-    filed = written(every.join(several, "token", "left_semi"))
-    ids = filed.select("cid").distinct()
-    reps = own.groupBy("cid").agg(F.min("doc_id").alias("doc_id")).join(ids, "cid", "left_semi").select("doc_id")
-    sets = written(named.join(reps, "doc_id", "left_semi").select("text").mapInArrow(_whole, "cid long, hashes binary").dropDuplicates(["cid"]))
-    links = found = None
-    for turn in range(ROUNDS + 1):
-        rows = filed.withColumn("label", F.col("cid")) if found is None else filed.join(found, filed.cid == found.id, "left").select("token", "cid", "n", F.coalesce("component", "cid").alias("label"))
-        dealt = rows.select("token", "cid", "n", "label").repartition("token").sortWithinPartitions("token", "n", "cid")
-        pairs = dealt.mapInArrow(_pairs(turn), "a long, b long").distinct()
-        x, y = sets.toDF("a", "x"), sets.toDF("b", "y")
-        more = checkpointed(pairs.join(x, "a").join(y, "b").select("a", "b", "x", "y").mapInArrow(_linked, "a long, b long"))
-        links = more if links is None else links.unionByName(more)
-        if found is None or not more.isEmpty():
+    sets = written(named.mapInArrow(_sets, f"doc_id {dict(docs.dtypes)['doc_id']}, cid long, n long, fp binary, sketch binary, hashes array<long>"))
+    rows = sets.count()
+
+    # SimHash: keys of as many bits as tell the corpus' texts apart, so that buckets stay small whatever its size
+    digits = max(4, math.ceil((math.log2(max(rows, 1)) + 2) / 4))
+    blocks = 16 * WORDS64 // digits
+    prints = sets.where("fp is not null").select("fp", F.col("cid").alias("rep")).dropDuplicates(["rep"])
+    links = _settled(simhash_dedup.close_pairs(prints, RADIUS, 4 * digits * blocks, blocks, 1), sets)
+    found = components(links)
+
+    # what the bands miss
+    filed = sets.where("hashes is not null").select("cid", "hashes").mapInArrow(_filed(*_frequent(sets)), "token long, cid long")
+    filed = written(filed.repartition("token").sortWithinPartitions("token", "cid").mapInArrow(_shared, "token long, cid long"))
+    blocked = filed.join(filed.groupBy("token").agg(F.expr(f"cast(ceil(count(*) / {BLOCK}) as int)").alias("k")), "token")
+    blocked = blocked.withColumn("block", F.expr("cast(pmod(xxhash64(cid), k) as int)")).withColumn("other", F.explode(F.expr("sequence(0, k - 1)")))
+    sized = sets.where("sketch is not null").select("cid", "n", "sketch").join(filed.select("cid").distinct(), "cid", "left_semi").dropDuplicates(["cid"])
+    ready = written(blocked.join(sized, "cid").select("token", F.least("block", "other").alias("low"), F.greatest("block", "other").alias("high"), "block", "cid", "n", "sketch"))
+    for closest in (True, False):  # first each class with the one that is closest to it, then all that are not connected yet
+        labelled = ready.join(found, ready.cid == found.id, "left").select(*ready.columns, F.coalesce("component", "cid").alias("label"))
+        pairs = labelled.repartition("token", "low", "high").sortWithinPartitions("token", "low", "high", "n", "cid").mapInArrow(_pairs, "a long, b long, apart long")
+        if closest:
+            ends = pairs.select("a", "b", "apart").union(pairs.select("b", "a", "apart"))
+            pairs = ends.groupBy("a").agg(F.min_by("b", F.struct("apart", "b")).alias("b")).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
+        more = _settled(pairs, sets)
+        if not more.isEmpty():
+            links = links.unionByName(more)
             found = components(links)
-    named_by = own.join(found, own.cid == found.id, "left").select("doc_id", F.coalesce("component", "cid").alias("component"))
+    named_by = sets.join(found, sets.cid == found.id, "left").select("doc_id", F.coalesce("component", "cid").alias("component"))
     least = named_by.groupBy("component").agg(F.min("doc_id").alias("component_id"))
     return named_by.join(least, "component").select("doc_id", "component_id")
 
@@ -161,7 +230,7 @@ def near_classes(docs: DataFrame) -> DataFrame:
 def keep_one(docs: DataFrame) -> DataFrame:
     """docs without those that have a near duplicate of smaller doc_id in their component. doc_id names documents: of rows
     that repeat it one stays; rows without doc_id all stay."""
-    gone = near_classes(docs).where("doc_id <> component_id").select(F.col("doc_id").alias("__gone"))
+    gone = near_classes(docs).where("doc_id <> component_id").select(F.col("doc_id").alias("__gone")).distinct()
     stays = docs.join(gone, docs.doc_id == F.col("__gone"), "left_anti")
     named, unnamed = stays.where("doc_id is not null"), stays.where("doc_id is null")
     return named.dropDuplicates(["doc_id"]).unionByName(unnamed)

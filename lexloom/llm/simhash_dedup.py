@@ -69,9 +69,8 @@ def shingle_hashes(text: str, shingle: int) -> np.ndarray:
     return np.fromiter((digest(view[a:b], 42) for a, b in zip(starts[:n].tolist(), ends[min(shingle, len(words)) - 1 :].tolist())), np.uint64, n)
 
 
-def fingerprint(text: str, shingle: int, words64: int) -> bytes:
-    """Big-endian fingerprint: a bit is 1 if set in over half of the hashes of the word shingles, repeats included."""
-    h = shingle_hashes(text, shingle)
+def majority(h: np.ndarray, words64: int) -> bytes:
+    """Big-endian fingerprint: a bit is 1 if set in over half of the hashes; all zero if there are none."""
     n = len(h)
     if not n:
         return bytes(8 * words64)
@@ -79,6 +78,11 @@ def fingerprint(text: str, shingle: int, words64: int) -> bytes:
     return np.packbits(2 * ones > n).tobytes()
 
 
+def fingerprint(text: str, shingle: int, words64: int) -> bytes:
+    """The fingerprint of a text's word shingles, repeats included."""
+    return majority(shingle_hashes(text, shingle), words64)
+
+
 def fingerprints(docs: DataFrame, shingle: int = 3, words64: int = 1) -> DataFrame:
     """doc_id and fp (binary) of every row. Texts of fewer words than a shingle are one shingle; without words, fp is zero."""
 
@@ -105,6 +109,7 @@ class Bucket:
         self.order = gray_rank(codes)
         self.codes, self.radius = codes[self.order], radius
         self.parent = np.arange(len(codes))
+        self.edges: list[tuple[int, int]] = []  # close pairs that span the groups
         self.levels = []  # from the leaves up: first row, ones shared, zeros shared
         at = np.arange(0, len(codes), LEAF)
         ones, zeros = np.bitwise_and.reduceat(self.codes, at), np.bitwise_and.reduceat(~self.codes, at)
@@ -151,13 +156,12 @@ class Bucket:
                 r, s = self.root(a[0] + x), self.root(b[0] + y)
                 if r != s:
                     self.parent[max(r, s)] = min(r, s)
+                    self.edges.append((a[0] + x, b[0] + y))
 
-    def groups(self) -> np.ndarray:
-        """For each code, in the order given, the number of its group."""
+    def spanning(self) -> np.ndarray:
+        """Close pairs that connect all that are connected, as rows (n, 2) of numbers in the order given."""
         self.search()
-        out = np.empty(len(self.order), np.int64)
-        out[self.order] = [self.root(i) for i in range(len(self.order))]
-        return out
+        return self.order[np.array(self.edges, np.int64).reshape(-1, 2)]
 
 
 def worth_indexing(codes: np.ndarray, starts: np.ndarray, radius: int) -> np.ndarray:
@@ -176,34 +180,37 @@ def worth_indexing(codes: np.ndarray, starts: np.ndarray, radius: int) -> np.nda
     return found
 
 
+def by_group(it: Iterator[pa.RecordBatch], names: list[str], work) -> Iterator[pa.RecordBatch]:
+    """Calls work(table) on whole groups; rows come sorted by the names, so a batch and the group that it ends are held."""
+    held: list[pa.RecordBatch] = []  # parts of the last group, which may go on
+    for b in it:
+        if not b.num_rows:
+            continue
+        held.append(b)
+        if all(held[0].column(c)[0] == b.column(c)[-1] for c in names):
+            continue
+        t = pa.Table.from_batches(held).combine_chunks()
+        same = np.logical_and.reduce([pc.equal(t.column(c), t.column(c)[-1]).to_numpy() for c in names])
+        first = int(np.flatnonzero(~same)[-1]) + 1
+        yield from work(t.slice(0, first))
+        held = t.slice(first).to_batches()
+    if held:
+        yield from work(pa.Table.from_batches(held).combine_chunks())
+
+
 def _links(radius: int):
-    def links(t: pa.Table, starts: np.ndarray) -> Iterator[pa.RecordBatch]:
-        codes = np.frombuffer(b"".join(t.column(1).to_pylist()), ">u8").astype(np.uint64).reshape(t.num_rows, -1)
-        ids, ends = t.column(2).to_numpy(), np.append(starts[1:], t.num_rows)
+    def links(t: pa.Table) -> Iterator[pa.RecordBatch]:
+        key = t.column("key")
+        starts = np.append(0, 1 + np.flatnonzero(pc.not_equal(key[1:], key[:-1]).to_numpy()))
+        codes = np.frombuffer(b"".join(t.column("fp").to_pylist()), ">u8").astype(np.uint64).reshape(t.num_rows, -1)
+        ids, ends = t.column("rep").to_numpy(), np.append(starts[1:], t.num_rows)
         for i in np.flatnonzero(worth_indexing(codes, starts, radius)):
-            own, group = ids[starts[i] : ends[i]], Bucket(codes[starts[i] : ends[i]], radius).groups()
-            least = np.full(len(own), np.iinfo(np.int64).max)
-            np.minimum.at(least, group, own)
-            far = own != least[group]
-            if far.any():
-                yield pa.RecordBatch.from_arrays([pa.array(own[far]), pa.array(least[group][far])], names=["a", "b"])
+            pairs = ids[starts[i] : ends[i]][Bucket(codes[starts[i] : ends[i]], radius).spanning()]
+            if len(pairs):
+                yield pa.RecordBatch.from_arrays([pa.array(pairs[:, 0]), pa.array(pairs[:, 1])], names=["a", "b"])
 
     def partition(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """Rows come sorted by key, so a bucket's rows follow each other; a batch and the bucket that it ends are held."""
-        held = []  # parts of the last bucket, which may go on
-        for b in it:
-            if not b.num_rows:
-                continue
-            held.append(b)
-            if held[0].column(0)[0] == b.column(0)[-1]:
-                continue
-            t = pa.Table.from_batches(held).combine_chunks()
-            key = t.column(0)
-            starts = np.append(0, 1 + np.flatnonzero(pc.not_equal(key[1:], key[:-1]).to_numpy()))
-            yield from links(t.slice(0, starts[-1]), starts[:-1])
-            held = t.slice(starts[-1]).to_batches()
-        if held:
-            yield from links(pa.Table.from_batches(held), np.array([0]))
+        yield from by_group(it, ["key"], links)
 
     return partition
 
@@ -217,22 +224,26 @@ def block_keys(fp: str, bits: int, blocks: int, kept: int) -> str:
     return "array(" + ", ".join(f"concat('{n}:', {', '.join(part(i) for i in chosen)})" for n, chosen in enumerate(combinations(range(blocks), kept))) + ")"
 
 
+def close_pairs(classes: DataFrame, radius: int, bits: int, blocks: int, kept: int) -> DataFrame:
+    """(a, b): pairs of classes (fp, rep) within the radius that share a bucket; of each bucket as many as connect it."""
+    keyed = classes.select(F.explode(F.expr(block_keys("fp", bits, blocks, kept))).alias("key"), "fp", F.col("rep").cast("long").alias("rep"))
+    return keyed.repartition("key").sortWithinPartitions("key").mapInArrow(_links(radius), "a long, b long")
+
+
 def near_duplicates(docs: DataFrame, shingle: int = 3, words64: int = 1, radius: int = 2, blocks: int = 4, kept: int = 2, block_bits: int | None = None) -> DataFrame:
     """doc_id, fp and component_id (the smallest doc_id reachable over links, its own included) of every row.
 
     Fingerprints of 64 * words64 bits link at `radius` or fewer differing bits. Links are sought in buckets that share
     `kept` of `blocks` blocks of the first `block_bits` bits (all, if None); with blocks - kept >= radius none is missed
-    (pigeonhole), else it is a banding that finds close pairs with the more probability the closer. Equal fingerprints are one class before any search, so copies cost
-    nothing there, and of links only a spanning forest leaves a bucket.
+    (pigeonhole), else it is a banding that finds close pairs with the more probability the closer. Equal fingerprints are
+    one class before any search, so copies cost nothing there, and of links only a spanning forest leaves a bucket.
 
     Null and empty texts have the fingerprint zero, linked like any other; a row with a null doc_id takes part in its
     class but never names it; repeated rows are all returned. An empty table gives an empty result.
     """
     own = checkpointed(fingerprints(docs, shingle, words64))
     classes = own.groupBy("fp").agg(F.min("doc_id").alias("rep")).where("rep is not null")
-    keyed = classes.select(F.explode(F.expr(block_keys("fp", block_bits or 64 * words64, blocks, kept))).alias("key"), "fp", F.col("rep").cast("long").alias("rep"))
-    dealt = keyed.repartition("key").sortWithinPartitions("key")
-    found = components(dealt.mapInArrow(_links(radius), "a long, b long"))
+    found = components(close_pairs(classes, radius, block_bits or 64 * words64, blocks, kept))
     named = classes.join(found, classes.rep == found.id, "left").select(F.col("fp").alias("class_fp"), F.coalesce("component", "rep").alias("component_id"))
     return own.join(named, own.fp == named.class_fp, "left").select("doc_id", "fp", "component_id")
 
@@ -242,7 +253,8 @@ def simhash_report(docs: DataFrame) -> DataFrame:
 
 
 def keep_one(docs: DataFrame) -> DataFrame:
-    """docs without near duplicates of a smaller doc_id, by the exact similarity of the texts (see exact_near)."""
+    """docs without near duplicates of a smaller doc_id: candidates by this index, settled by the exact similarity of the
+    texts, with an exact way for what the index misses (see exact_near)."""
     from lexloom.llm import exact_near
 
     return exact_near.keep_one(docs)

@@ -214,10 +214,24 @@ def test_simhash_by_brute_force(docs):
     assert rows[1].component_id == 0 and rows[3].component_id == rows[2].component_id == 2
 
 
+def connected(n, pairs):
+    """The least number of each one's component."""
+    label = list(range(n))
+    for _ in range(n):
+        before = list(label)
+        for a, b in pairs:
+            label[a] = label[b] = min(label[a], label[b])
+        if before == label:
+            return label
+    return label
+
+
 def test_bucket_links_equal_all_pairs():
     rng = np.random.default_rng(3)
     codes = np.unique(np.concatenate([rng.integers(0, 2**63, 20, dtype=np.uint64)[rng.integers(0, 20, 300)] ^ (np.uint64(1) << rng.integers(0, 64, 300).astype(np.uint64))]))[:, None]
-    group = simhash_dedup.Bucket(codes, 2).groups()
+    pairs = simhash_dedup.Bucket(codes, 2).spanning()
+    assert (np.bitwise_count(codes[pairs[:, 0], 0] ^ codes[pairs[:, 1], 0]) <= 2).all()
+    group = np.array(connected(len(codes), pairs))
     far = np.bitwise_count(codes[:, None, 0] ^ codes[None, :, 0]) <= 2
     label = np.arange(len(codes))
     for _ in range(len(codes)):
@@ -294,14 +308,8 @@ def test_links_over_batches(batch):
     codes = rng.integers(0, 2**63, 8, dtype=np.uint64)[rng.integers(0, 8, 250)] ^ (np.uint64(1) << rng.integers(0, 64, 250).astype(np.uint64))
     rows = pa.table({"key": keys, "fp": pa.array([int(c).to_bytes(8, "big") for c in codes], pa.binary()), "rep": np.arange(250)})
     got = {tuple(x) for b in simhash_dedup._links(2)(iter(rows.to_batches(max_chunksize=batch))) for x in zip(b["a"].to_pylist(), b["b"].to_pylist())}
-    label = np.arange(250)
-    for _ in range(250):
-        near = [[j for j in range(250) if keys[i] == keys[j] and int(codes[i] ^ codes[j]).bit_count() <= 2] for i in range(250)]
-        new = np.array([label[n].min() for n in near])
-        if (new == label).all():
-            break
-        label = new
-    assert got == {(i, int(r)) for i, r in enumerate(label) if i != r}
+    near = {(i, j) for i in range(250) for j in range(250) if keys[i] == keys[j] and int(codes[i] ^ codes[j]).bit_count() <= 2}
+    assert got <= near and connected(250, got) == connected(250, near)
 
 
 def test_topk_by_brute_force(spark):
@@ -317,3 +325,34 @@ def test_topk_by_brute_force(spark):
         s = q @ q[i]
         want += [(i, n + 1, j, int(s[j])) for n, j in enumerate([j for j in sorted(range(120), key=lambda j: (-s[j], j)) if j != i][:5])]
     assert got == want
+
+
+def test_candidates_of_a_shingle_are_all_pairs_of_unlike_labels():
+    import pyarrow as pa
+
+    from lexloom.llm import exact_near
+
+    rng = np.random.default_rng(12)
+    sizes = [1, 2, 5, 32, 33, 60]
+    token = np.repeat(np.arange(len(sizes)), sizes)
+    n = len(token)
+    base = [np.sort(rng.integers(0, 2**63, 40, dtype=np.uint64)) for _ in sizes]
+    sets = [np.unique(np.concatenate([base[t][rng.permutation(40)[: rng.integers(30, 41)]], rng.integers(0, 2**63, rng.integers(0, 6), dtype=np.uint64)])) for t in token]
+    cid, label = np.arange(n), rng.integers(0, 9, n)
+    high = np.where(token == 5, 1, 0)  # the last group is of two blocks
+    block = np.where(token == 5, cid % 2, 0)
+    rows = pa.table({"token": token, "low": np.zeros(n, int), "high": high, "block": block, "cid": cid, "n": [len(x) for x in sets], "sketch": [exact_near.sketch(x) for x in sets], "label": label})
+    got = {(a, b) for batch in exact_near._pairs(iter(rows.to_batches(max_chunksize=17))) for a, b in zip(batch["a"].to_pylist(), batch["b"].to_pylist())}
+    allowed = {(i, j) for i in range(n) for j in range(i + 1, n) if token[i] == token[j] and label[i] != label[j] and (token[i] != 5 or block[i] != block[j])}
+    linked = {(i, j) for i, j in allowed if 5 * len(np.intersect1d(sets[i], sets[j])) >= 4 * len(np.union1d(sets[i], sets[j]))}
+    assert linked and linked <= got <= allowed
+
+
+def test_hot_nodes_are_salted(spark, monkeypatch):
+    from lexloom.llm import components
+
+    monkeypatch.setattr(components, "HOT", 5)
+    rows = [(0, i) for i in range(1, 60)] + [(100, 59), (200, 201), (None, 3), (7, 7)]
+    got = {r.id: r.component for r in components.components(spark.createDataFrame(rows, "a long, b long")).collect()}
+    assert got == {**{i: 0 for i in [*range(60), 100]}, 200: 200, 201: 200}
+    assert components.components(spark.createDataFrame([], "a long, b long")).count() == 0
