@@ -31,6 +31,10 @@ WORDS64, RADIUS = 4, 40
 SKETCH = 512
 #: Most shingles whose counts order them; this many rows are broadcast. It changes what is compared, never what is linked.
 FREQUENT = 500_000
+#: Share of the hashes, from zero on, that are counted.
+COUNTED = 0.4
+#: Documents that a task turns into sets at a time.
+AT_ONCE = 512
 #: Classes of a shingle that a task compares at once; larger groups are compared block by block.
 BLOCK = 4096
 #: Classes of a shingle up to which all groups are compared together.
@@ -62,23 +66,24 @@ def _sets(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """doc_id, class, size, fingerprint, sketch and the set itself; the last three only where a class is first met in the
     task, so that copies cost no more than their names."""
     seen: set[int] = set()
-    for b in it:
-        columns: list[list] = [[], [], [], [], []]
+    kinds = (pa.int64(), pa.int64(), pa.binary(), pa.binary(), pa.list_(pa.int64()))
+    for b in (whole.slice(i, AT_ONCE) for whole in it for i in range(0, len(whole), AT_ONCE)):
+        rows = []
         for t in b.column(1).to_pylist():
             h = distinct(t)
             cid = class_id(h)
-            new = cid not in seen
+            rows.append((cid, len(h), None, None, None) if cid in seen else (cid, len(h), simhash_dedup.majority(h, WORDS64), sketch(h), h.view(np.int64)))
             seen.add(cid)
-            row = (cid, len(h), simhash_dedup.majority(h, WORDS64) if new else None, sketch(h) if new else None, h.view(np.int64) if new else None)
-            for column, value in zip(columns, row, strict=True):
-                column.append(value)
-        kinds = (pa.int64(), pa.int64(), pa.binary(), pa.binary(), pa.list_(pa.int64()))
-        yield pa.RecordBatch.from_arrays([b.column(0), *(pa.array(c, k) for c, k in zip(columns, kinds, strict=True))], names=["doc_id", "cid", "n", "fp", "sketch", "hashes"])
+        yield pa.RecordBatch.from_arrays([b.column(0), *(pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True))], names=["doc_id", "cid", "n", "fp", "sketch", "hashes"])
 
 
 def _frequent(sets: DataFrame) -> tuple[np.ndarray, np.ndarray]:
-    """The most frequent shingles of all sets and their counts: those over the least power of two that leaves at most FREQUENT."""
-    tokens = sets.select(F.explode("hashes").alias("token"))
+    """The most frequent shingles of all sets and their counts: those over the least power of two that leaves at most FREQUENT.
+
+    Only shingles whose hash is in the lower COUNTED of all hashes are counted, over all documents: prefixes are the lower
+    fifth of a set and what takes the place of frequent ones in it, so others hardly ever come into one.
+    """
+    tokens = sets.select(F.explode(F.expr(f"filter(hashes, h -> h >= 0 and h < {int(COUNTED * 2**64)}L)")).alias("token"))
     counts = written(tokens.groupBy("token").count().where("count > 3"))
     sizes = sorted(((r["p"], r["n"]) for r in counts.groupBy(F.floor(F.log2("count")).alias("p")).agg(F.count("*").alias("n")).collect()), reverse=True)  # at most 64
     total, least = 0, 64
@@ -86,7 +91,7 @@ def _frequent(sets: DataFrame) -> tuple[np.ndarray, np.ndarray]:
         if (total := total + n) > FREQUENT:
             break
         least = p
-    rows = counts.where(F.col("count") >= 2**least).toArrow() if total else counts.limit(0).toArrow()
+    rows = (counts.where(F.col("count") >= 2**least) if least < 64 else counts.limit(0)).toArrow()
     tokens, n = (rows.column(c).to_numpy() for c in ("token", "count"))
     order = np.argsort(tokens.view(np.uint64))
     return tokens.view(np.uint64)[order], n[order]
@@ -94,7 +99,7 @@ def _frequent(sets: DataFrame) -> tuple[np.ndarray, np.ndarray]:
 
 def _filed(frequent: np.ndarray, counts: np.ndarray):
     def batches(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in it:
+        for b in (whole.slice(i, AT_ONCE) for whole in it for i in range(0, len(whole), AT_ONCE)):
             ends, values = b.column(1).offsets.to_numpy(), b.column(1).values.to_numpy().view(np.uint64)
             first = [prefix(values[i:j], frequent, counts) for i, j in zip(ends[:-1].tolist(), ends[1:].tolist())]
             cid = np.repeat(b.column(0).to_numpy(), [len(x) for x in first])
