@@ -356,3 +356,65 @@ def test_hot_nodes_are_salted(spark, monkeypatch):
     got = {r.id: r.component for r in components.components(spark.createDataFrame(rows, "a long, b long")).collect()}
     assert got == {**{i: 0 for i in [*range(60), 100]}, 200: 200, 201: 200}
     assert components.components(spark.createDataFrame([], "a long, b long")).count() == 0
+
+
+def quality_reference(t):
+    """Counts, base verdict and rule values of a text, in plain Python."""
+    w = words(t)
+    seen = collections.defaultdict(list)
+    for i in range(len(w) - 2):
+        seen[tuple(w[i : i + 3])].append(i)
+    lines = [x for x in (t or "").split("\n") if words(x)]
+    n, chars, repeats = len(w), sum(map(len, w)), len({i + d for at in seen.values() if len(at) > 1 for i in at for d in range(3)})
+    symbols, dup = len(re.findall(r"[#*$%&|<>]", t or "")), len(lines) - len(set(lines))
+    values = {"symbols": symbols / max(chars, 1), "dup_lines": dup / max(len(lines), 1), "repeats": repeats / max(n, 1), "long_words": chars / max(n, 1), "short_words": -chars / max(n, 1)}
+    return (n, chars, symbols, dup, repeats, n < 50 or 100 * repeats > 50 * n), values
+
+
+def test_quality_verdicts_by_brute_force(spark):
+    import math
+
+    sf = "/root/testdata/sf0.01"
+    rows = {r.doc_id: r for r in spark.read.parquet(f"{sf}/documents.parquet").collect()}
+    labels = {}
+    for r in spark.read.parquet(f"{sf}/labels.parquet").where("quality is not null").collect():
+        labels[r.doc_id] = max(r.quality, labels.get(r.doc_id, 0))
+    steps = quality_rules.steps()
+    made = {i: quality_reference(r.text) for i, r in rows.items()}
+    first = {i: next((n for n, (rule, cut) in enumerate(steps, 1) if v[rule] > cut), len(steps) + 1) for i, (_, v) in made.items()}
+    strata = collections.defaultdict(list)
+    for i, q in labels.items():
+        if i in rows and q == 1 and not made[i][0][-1]:
+            strata[rows[i].lang].append(first[i])
+    allowed = {}
+    for lang, firsts in strata.items():
+        n, allowed[lang] = len(firsts), 0
+        for step in range(1, len(steps) + 1):
+            k = sum(x <= step for x in firsts)
+            if sum(math.comb(n, j) * 0.1**j * 0.9 ** (n - j) for j in range(k + 1)) > 0.05 / len(strata) or k > 0.1 * n:
+                break
+            allowed[lang] = step
+    assert sorted(map(bool, allowed.values())) == [False, False, True, True]  # two languages have too few labels here
+    got = quality_rules.quality_report(spark.read.parquet(f"{sf}/documents.parquet"), spark.read.parquet(f"{sf}/labels.parquet"), risk=0.1).collect()
+    assert len(got) == len(rows)
+    for r in got:
+        counts = made[r.doc_id][0]
+        assert (r.n_words, r.word_chars, r.n_symbols, r.n_dup_lines, r.n_repeat_words, r.base_failed) == counts
+        assert r.kept == (not counts[-1] and first[r.doc_id] > allowed.get(rows[r.doc_id].lang, 0)), r.doc_id
+
+
+def test_binomial_bound_is_exact(spark):
+    import math
+
+    cases = [(k, n, risk, error) for n in (1, 50, 90, 400) for k in (0, 1, 3, 10) if k <= n for risk in (0.02, 0.1) for error in (0.05, 0.001)]
+    for k, n, risk, error in cases:
+        got = spark.range(1).select(quality_rules.admissible(f"{k}L", f"{n}L", risk, f"{error}D")).first()[0]
+        assert got == (k <= n * risk and sum(math.comb(n, j) * risk**j * (1 - risk) ** (n - j) for j in range(k + 1)) <= error), (k, n, risk, error)
+
+
+def test_quality_of_empty_tables_and_clashing_names(spark, docs):
+    labels = spark.createDataFrame([], "doc_id long, quality int, toxic int")
+    assert quality_rules.quality_report(docs.limit(0), labels).count() == 0
+    clash = docs.selectExpr("*", "1 as allowed", "'x' as stratum", "2 as quality", "3 as cut_symbols")
+    assert quality_rules.keep_good(clash.unionAll(clash), labels).columns == clash.columns
+    assert quality_rules.quality_report(docs.unionAll(docs), labels).count() == 2 * len(TEXTS)
