@@ -418,3 +418,52 @@ def test_quality_of_empty_tables_and_clashing_names(spark, docs):
     clash = docs.selectExpr("*", "1 as allowed", "'x' as stratum", "2 as quality", "3 as cut_symbols")
     assert quality_rules.keep_good(clash.unionAll(clash), labels).columns == clash.columns
     assert quality_rules.quality_report(docs.unionAll(docs), labels).count() == 2 * len(TEXTS)
+
+
+def spans_reference(t):
+    """The base spans of a text by the four patterns as they are stated, in plain Python."""
+    digits = lambda m: re.sub("[^0-9]", "", m)
+    luhn = lambda d: sum(sum(divmod(int(x) * (1 + i % 2), 10)) for i, x in enumerate(reversed(d))) % 10 == 0
+    kinds = (
+        ("email", r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+", lambda m: True),
+        ("ip", r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)", lambda m: all(int(x) <= 255 for x in m.split("."))),
+        ("card", r"[0-9]([\x20-]?[0-9])+", lambda m: 16 <= len(digits(m)) <= 19 and luhn(digits(m))),
+        ("phone", r"\+[0-9][\x20().0-9-]+[0-9]", lambda m: 8 <= len(digits(m)) <= 15),
+    )
+    return [(k, m.start(), m.end()) for k, p, good in kinds for m in re.finditer(p, t or "") if good(m[0])]
+
+
+def test_base_spans_by_brute_force(spark):
+    rng = np.random.default_rng(11)
+    parts = ["a@b.c", "@", ".", "1.2.3.4", "256.1.1.1", "+1 (017) 555-7713", "4539 1488 0343 6467", "x", "é", "\U0001F600", " ", "-", "_", "7", "0009", "\n", "a.b+c@d-e.f.g", "4539148803436467", "+", "(", ")"]
+    texts = ["".join(rng.choice(parts, rng.integers(0, 60))) for _ in range(400)]
+    texts += [None, "", "1.2.3.4 " * 700, "7 x " * 600, "a@b.c_d@e.f" * 3, "1.2.3.4.5.6.7.8", "0000000000001.2.3.4"]
+    texts += [r.text for r in spark.read.parquet("/root/testdata/sf0.001/documents.parquet").collect()]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    rows = pii.span_report(df).collect()
+    assert len(rows) == len(texts)
+    for r in rows:
+        want = spans_reference(texts[r.doc_id])
+        assert [r.n_email, r.n_ip, r.n_card, r.n_phone] == [sum(k == kind for k, _, _ in want) for kind in ("email", "ip", "card", "phone")], texts[r.doc_id]
+        joined = ",".join(f"{k}:{a}:{b}" for k, a, b in want)
+        assert r.base_sha256 == hashlib.sha256(joined.encode()).hexdigest()
+        assert not want or set(joined.split(",")) <= set(r.spans.split(","))
+    assert pii.span_report(df.limit(0)).count() == 0
+
+
+def test_personal_data_of_long_runs_is_linear(spark):
+    import time
+
+    pii.train(spark)
+    df = spark.createDataFrame([(1, "a@ " + "b" * 1_000_000), (2, "1" * 1_000_000), (3, "a.b@ " * 50_000), (4, "+1 5" * 60_000), (5, "12 x " * 50_000)], "doc_id long, text string").repartition(5)
+    began = time.time()
+    assert sum(r.n_email + r.n_ip for r in pii.span_report(df).collect()) == 0
+    assert time.time() - began < 60
+
+
+def test_secrets_need_no_digit_and_reach_beyond_a_card(spark):
+    text = 'token = "QmFzZUxpa2VTZWNyZXRXaXRoTm9EaWdpdHNJblN0cmluZw"'
+    held = 'secret="9f86d081884c7d659a2feaa04539148803436467c55ad015a3bf4f1b2b0b822c"'
+    df = spark.createDataFrame([(1, text), (2, held)], "doc_id long, text string")
+    clean = {r.doc_id: r.text for r in pii.redact(df).collect()}
+    assert "QmFz" not in clean[1] and "9f86" not in clean[2] and "b822c" not in clean[2]
