@@ -28,12 +28,19 @@ CLOSES = {"li": ("li",), "dt": ("dt", "dd"), "dd": ("dt", "dd"), "tr": ("tr", "t
 CONTENT_TAGS = ("article", "main")
 OTHER_TAGS = ("nav", "header", "footer", "aside", "form", "dialog", "menu", "fieldset", "button", "select", "datalist", "option")
 TEXT_TAGS = ("p", "h1", "h2", "h3", "blockquote", "pre", "li", "td", "div", "section", "ul", "body")
-#: Parts of class, id and role that tell what an element is for, with the prior's sign.
+#: Words of class, id and role that tell what an element is for, with the prior's sign.
 NAMES = (
-    (r"\b(?:ads?|advert\w*|sponsor\w*|promo\w*)\b", -1), (r"comment|respond|disqus|replies", -1), (r"side-?bar|\baside\b|related|recommend|widget", -1), (r"\bnav|menu|breadcrumb|pagination|tabs?\b", -1),
-    (r"foot(?:er)?\b|copyright|legal", -1), (r"cookie|consent|notice|banner|popup|modal|newsletter|subscribe", -1), (r"share|social|login|signup|search", -1), (r"article|content|\bpost\b|entry|story|\bmain\b|\bbody\b", 1),
+    (r"ads?|advert\w*|sponsor\w*|promo\w*", -1), (r"comments?|respond|disqus|repl(?:y|ies)", -1), (r"side|sidebars?|aside|related|recommend\w*|widgets?", -1), (r"nav|navbar|navigation|menus?|breadcrumbs?|pagination|pager", -1),
+    (r"foot|footer|copyright|legal", -1), (r"cookies?|consent|notices?|banners?|popups?|modal|newsletter|subscribe", -1), (r"share|sharing|social|login|signup|search", -1), (r"articles?|contents?|posts?|entry|story|main|body", 1),
 )
-_TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*>|<(/?)([A-Za-z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>|[^<]+|<", re.S)
+#: Words that may stand beside those; with any other word (as in share-price) a name tells nothing.
+BESIDE = re.compile(r"\d*|bar|box|buttons?|btn|links?|list|icons?|wrapper|wrap|container|area|sections?|blocks?|slots?|units?|top|bottom|left|right|site|page|pages|form|items?|inner|outer|header|head|text|title|row|col|panel|primary|secondary|global|sub|complementary|info|in|up|policy|overlay", re.I)
+# Quotes hold a value only behind an equals sign, as in a browser; elsewhere they are characters like any other.
+_MARKUP, _TEXT = r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)", r"[^<]+|<"
+_OPEN = r"<(/?)([A-Za-z][^\s/>]*+)"
+_TOKEN = re.compile(_MARKUP + r"|<[!?][^>]*>|" + _OPEN + r"((?>[^>=]++|=\s*+(?>\"[^\"]*+\"|'[^']*+')?+)*+)>|" + _TEXT, re.S)
+_PLAIN = re.compile(_MARKUP + r"|<[!?][^>]*>|" + _OPEN + r"([^>]*+)>|" + _TEXT, re.S)  # where quotes do not close
+_TAIL = re.compile(_MARKUP + r"|(?!)()()()|" + _TEXT, re.S)  # behind the last >
 _ATTRS = re.compile(r"(?:class|id|role)\s*=\s*(\"[^\"]*\"|'[^']*'|[^\s>]+)", re.I)
 _NAMES = [re.compile(p, re.I) for p, _ in NAMES]
 FEATURES = ["bias_element", "bias_text", "landmark", *OTHER_TAGS, *(f"name{i}" for i in range(len(NAMES))), *(f"in_{t}" for t in TEXT_TAGS), "len1", "len2", "len3", "links", "stops", "copyright"]
@@ -65,15 +72,25 @@ class Page:
         return len(self.parent) - 1
 
 
-def _element(tag: str, attrs: str) -> list[int]:
+def _named(attrs: str) -> set[int]:
+    """Which of NAMES the class, id or role says."""
+    out: set[int] = set()
+    for token in " ".join(x.strip("\"'") for x in _ATTRS.findall(attrs)).split():
+        words = re.split(r"[-_:]+", re.sub(r"(?<=[a-z])(?=[A-Z])", "-", token))
+        which = [{i for i, p in enumerate(_NAMES) if p.fullmatch(w)} for w in words]
+        if all(x or BESIDE.fullmatch(w) for w, x in zip(words, which, strict=True)):
+            out.update(*which)
+    return out
+
+
+def _element(tag: str, attrs: str, inside: bool = False) -> list[int]:
+    """Features of an element; a header inside an article heads it (its title), one outside heads the page."""
     out = [_AT["bias_element"]]
     if tag in CONTENT_TAGS:
         out.append(_AT["landmark"])
-    elif tag in OTHER_TAGS:
+    elif tag in OTHER_TAGS and not (inside and tag == "header"):
         out.append(_AT[tag])
-    if attrs and (said := " ".join(x.strip("\"'") for x in _ATTRS.findall(attrs))):
-        out += [_AT[f"name{i}"] for i, p in enumerate(_NAMES) if p.search(said)]
-    return out
+    return out + [_AT[f"name{i}"] for i in sorted(_named(attrs))] if attrs else out
 
 
 def _run(tag: str, text: str, linked: int) -> list[int]:
@@ -91,131 +108,166 @@ def _run(tag: str, text: str, linked: int) -> list[int]:
     return out
 
 
-def _end_of(tag: str, source: str, at: int) -> int:
-    """Behind the end tag of an element whose start tag ends at `at`, inner elements of its name counted; -1 if none."""
-    depth = 1
-    for m in re.compile(rf"<!--.*?(?:-->|\Z)|<(/?){tag}(?=[\s/>])((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>", re.I | re.S).finditer(source, at):
-        if not m[0].startswith("<!--"):
-            depth += -1 if m[1] else not m[2].endswith("/")
-            if not depth:
-                return m.end()
-    return -1
+def _ends(tag: str, source: str) -> dict[int, int]:
+    """Where elements of a tag end that do, by the end of their start tag; inner ones of the name have their own end."""
+    out, opened = {}, []
+    for m in re.compile(rf"<!--.*?(?:-->|\Z)|<(/?){tag}(?=[\s/>])((?>[^>=]++|=\s*+(?>\"[^\"]*+\"|'[^']*+')?+)*+)>", re.I | re.S).finditer(source):
+        if m[0].startswith("<!--"):
+            continue
+        if not m[1]:
+            if not m[2].endswith("/"):
+                opened.append(m.end())
+        elif opened:
+            out[opened.pop()] = m.end()
+    return out
 
 
-def parse(source: str) -> Page:
-    """The tree of a page: block elements and text runs. Comments, scripts, styles, other raw elements, drawings and
-    templates are left out, formulas are text, character references decoded, white space in a run made one blank; unclosed
-    elements end where HTML says they do, and the tag of an unclosed drawing, template, button or list is passed over."""
-    page = Page()
-    stack = [("#root", page.add(-1, [_AT["bias_element"]], None, False), False)]  # tag, node of the nearest block, gold
-    buffer: list[str] = []
-    linked, anchors, at = 0, 0, 0
-    held: list[tuple[int, list[str], int]] = []  # runs that go on behind an element: depth of the stack, buffer, linked
-
-    def flush() -> None:
-        nonlocal linked
-        if buffer:
-            text = " ".join(entities.unescape("".join(buffer)).split())
+#: Formatting elements that an end tag is looked for in.
+NESTING = 64
+
+
+class Parser:
+    """One page's tree in the making. Each step looks at a bounded part of the stack, so a page costs what its length does."""
+
+    def __init__(self, source: str):
+        self.source, self.page = source, Page()
+        root = self.page.add(-1, [_AT["bias_element"]], None, False)
+        self.stack = [("#root", root, False, "#root")]  # tag, node of the nearest block, gold, its tag
+        self.open: dict[str, int] = {}
+        self.buffer: list[str] = []
+        self.linked = self.anchors = 0
+        self.held: list[tuple[int, list[str], int]] = []  # runs that go on behind an element: depth of the stack, buffer, linked
+        self.ends: dict[str, dict[int, int]] = {}
+
+    def push(self, tag: str, node: int, gold: bool, block: str) -> None:
+        self.stack.append((tag, node, gold, block))
+        self.open[tag] = self.open.get(tag, 0) + 1
+
+    def cut(self, k: int, last: int | None = None) -> None:
+        for x in self.stack[k:last]:
+            self.open[x[0]] -= 1
+        del self.stack[k:last]
+
+    def flush(self) -> None:
+        if self.buffer:
+            text = " ".join(entities.unescape("".join(self.buffer)).split())
             if text:
-                tag, node, gold = next(x for x in reversed(stack) if x[0] not in INLINE)
-                page.add(node, _run(tag, text, linked), text, gold)
-            buffer.clear()
-        linked = 0
-
-    def resume() -> None:
-        nonlocal linked
-        while held and held[-1][0] >= len(stack):
-            _, before, of_links = held.pop()
-            buffer[:0] = before
-            linked += of_links
-
-    def close(tags: tuple[str, ...], barrier: tuple[str, ...] = ()) -> None:
-        for k in range(len(stack) - 1, 0, -1):
-            if stack[k][0] in tags:
-                flush()
-                del stack[k:]
-                resume()
+                _, node, gold, block = self.stack[-1]
+                self.page.add(node, _run(block, text, self.linked), text, gold)
+            self.buffer.clear()
+        self.linked = 0
+
+    def resume(self) -> None:
+        while self.held and self.held[-1][0] >= len(self.stack):
+            _, before, of_links = self.held.pop()
+            self.buffer[:0] = before
+            self.linked += of_links
+
+    def close(self, tags: tuple[str, ...], barrier: tuple[str, ...] = ()) -> None:
+        if not any(self.open.get(t) for t in tags):
+            return
+        for k in range(len(self.stack) - 1, 0, -1):
+            if self.stack[k][0] in tags:
+                self.flush()
+                self.cut(k)
+                self.resume()
                 return
-            if stack[k][0] in barrier:
+            if self.stack[k][0] in barrier:
                 return
 
-    while m := _TOKEN.match(source, at):
-        at = m.end()
-        tag = m[2] and m[2].lower()
-        if not tag:
-            if not m[0].startswith("<") or m[0] == "<":
-                buffer.append(m[0])
-                linked += len(m[0]) if anchors else 0
-            elif m[0].startswith("<![CDATA["):
-                buffer.append(m[0][9:].removesuffix("]]>"))
-            continue
-        if m[1]:
-            if tag == "br":
-                buffer.append(" ")
-            elif tag in INLINE:
-                anchors -= tag == "a" and anchors > 0
-                for k in range(len(stack) - 1, 0, -1):
-                    if stack[k][0] == tag:
-                        del stack[k]
+    def end_tag(self, tag: str) -> None:
+        if tag == "br":
+            self.buffer.append(" ")
+        elif tag in INLINE:
+            self.anchors -= tag == "a" and self.anchors > 0
+            if self.open.get(tag):
+                for k in range(len(self.stack) - 1, max(0, len(self.stack) - 1 - NESTING), -1):
+                    if self.stack[k][0] == tag:
+                        self.cut(k, k + 1)
                         break
-                    if stack[k][0] not in INLINE:
+                    if self.stack[k][0] not in INLINE:
                         break
-            elif tag == "p" and not any(x[0] == "p" for x in stack):
-                flush()
-            else:
-                close((tag,))
-            continue
+        elif tag == "p" and not self.open.get("p"):
+            self.flush()
+        else:
+            self.close((tag,))
+
+    def start_tag(self, tag: str, attrs: str, at: int) -> int:
+        """Where to go on."""
         if tag in RAW:
-            end = re.compile(rf"</{re.escape(tag)}\s*>", re.I).search(source, at)
-            at = end.end() if end else len(source)
-            continue
+            end = re.compile(rf"</{re.escape(tag)}\s*>", re.I).search(self.source, at)
+            return end.end() if end else len(self.source)
         if tag in NESTED:
-            if not m[3].endswith("/"):
-                at = max(at, _end_of(tag, source, at))
-            continue
+            if tag not in self.ends:
+                self.ends[tag] = _ends(tag, self.source)
+            return at if attrs.endswith("/") else self.ends[tag].get(at, at)
         if tag in HELD:
-            after = re.compile(rf"<(/?){tag}(?=[\s/>])", re.I).search(source, at)
+            after = re.compile(rf"<(/?){tag}(?=[\s/>])", re.I).search(self.source, at)
             if after and after[1]:
-                held.append((len(stack), buffer[:], linked))
-                buffer.clear()
-                linked = 0
+                self.held.append((len(self.stack), self.buffer[:], self.linked))
+                self.buffer.clear()
+                self.linked = 0
                 # a tree of its own: what a button is tells nothing of the paragraph around it
-                stack.append((tag, page.add(-1, _element(tag, m[3]), None, False), False))
-            continue
+                self.push(tag, self.page.add(-1, _element(tag, attrs), None, False), False, tag)
+            return at
         if tag in VOID:
             if tag in ("br", "hr"):
-                buffer.append(" ")
+                self.buffer.append(" ")
             if tag == "hr":
-                flush()
-            continue
+                self.flush()
+            return at
         if tag in ("mtr", "mtd"):
-            buffer.append(" ")
-        if tag in MATH and m[3].endswith("/"):
-            continue
+            self.buffer.append(" ")
+        if tag in MATH and attrs.endswith("/"):
+            return at
+        _, above, gold, block = self.stack[-1]
         if tag in INLINE:
-            anchors += tag == "a"
-            stack.append((tag, stack[-1][1], stack[-1][2]))
-            continue
-        flush()
-        anchors = 0
+            self.anchors += tag == "a"
+            self.push(tag, above, gold, block)
+            return at
+        self.flush()
+        self.anchors = 0
         if tag in CLOSES:
-            close(CLOSES[tag], ("ul", "ol", "dl", "table", *HELD))
+            self.close(CLOSES[tag], ("ul", "ol", "dl", "table", *HELD))
         for ended in ("option", "p"):
-            close((ended,), ("td", "th", "li", "div", "article", "section", "body", *HELD))
-        features = _element(tag, m[3])
+            self.close((ended,), ("td", "th", "li", "div", "article", "section", "body", *HELD))
+        features = _element(tag, attrs, any(self.open.get(t) for t in CONTENT_TAGS))
         signs = [PRIOR[f] for f in features if abs(PRIOR[f]) > 3]
-        _, above, gold = stack[-1]
+        _, above, gold, block = self.stack[-1]
         gold = (gold or tag in CONTENT_TAGS) and not any(s < 0 for s in signs)
-        if tag in ("html", "head", "body"):
-            stack.append((tag, above, gold))
-        else:
-            stack.append((tag, page.add(above, features, None, gold), gold))
-    flush()
-    if held:
-        del stack[held[0][0] :]
-        resume()
-        flush()
-    return page
+        self.push(tag, above if tag in ("html", "head", "body") else self.page.add(above, features, None, gold), gold, tag)
+        return at
+
+    def run(self) -> Page:
+        at, pattern, last = 0, _TOKEN, self.source.rfind(">")
+        while m := (pattern if at <= last else _TAIL).match(self.source, at):
+            if m[0] == "<" and pattern is _TOKEN and re.match(r"</?[A-Za-z]", self.source[at : at + 3]) and at <= last:
+                pattern = _PLAIN  # the quotes from here on do not close before the end: they are characters
+                continue
+            at, tag = m.end(), m[2] and m[2].lower()
+            if tag:
+                if m[1]:
+                    self.end_tag(tag)
+                else:
+                    at = self.start_tag(tag, m[3], at)
+            elif not m[0].startswith("<") or m[0] == "<":
+                self.buffer.append(m[0])
+                self.linked += len(m[0]) if self.anchors else 0
+            elif m[0].startswith("<![CDATA["):
+                self.buffer.append(entities.escape(m[0][9:].removesuffix("]]>"), quote=False))  # as it is, once decoded
+        self.flush()
+        if self.held:
+            self.cut(self.held[0][0])
+            self.resume()
+            self.flush()
+        return self.page
+
+
+def parse(source: str) -> Page:
+    """The tree of a page: block elements and text runs. Comments, scripts, styles, other raw elements, drawings and
+    templates are left out, formulas are text, character references decoded, white space in a run made one blank; unclosed
+    elements end where HTML says they do, and the tag of an unclosed drawing, template, button or list is passed over."""
+    return Parser(source).run()
 
 
 class Batch:
@@ -237,7 +289,8 @@ class Batch:
         """Probability of content by node, and of each pair of labels by edge (parent, child), by messages up and down."""
         n = len(self.parent)
         own = np.stack([np.zeros(n), self.x @ weights], axis=1)
-        levels = [np.flatnonzero(self.depth == d) for d in range(int(self.depth.max(initial=0)) + 1)]
+        order = np.argsort(self.depth, kind="stable")
+        levels = np.split(order, np.flatnonzero(np.diff(self.depth[order])) + 1)
         table = edges[self.is_text]  # node's edge to its parent
         inside, up = own.copy(), np.zeros((n, 2))
         for at in levels[:0:-1]:
@@ -287,20 +340,26 @@ def train(pages: list[Page], rounds: int = 60, rate: float = 0.3, pull: float =
 #: What is put into every third labelled page, so that content elements with other things inside are learnt too.
 _INSERTS = (
     '<aside class="sidebar"><p>{0}</p></aside>', '<form><p>{0}</p><label>{1}</label></form>', '<div class="comments"><div class="comment"><p>{0}</p><p>{1}</p></div></div>',
-    '<div class="cookie-notice">{1}</div>', '<header><p>{0}</p></header>', '<div class="share"><a href="#">{1}</a></div>', '<nav><a href="#">{1}</a></nav>',
+    '<div class="cookie-notice">{1}</div>', '<footer><p>{0}</p></footer>', '<div class="share"><a href="#">{1}</a></div>', '<nav><a href="#">{1}</a></nav>',
+)
+#: What is put into every third other one: parts of an article that pages may not have, which are content.
+_CONTENT = (
+    "<table><thead><tr><th>{2}</th><th>{3}</th></tr></thead><tbody><tr><td>{1}</td><td>{2}</td></tr><tr><td>{3}</td><td>{0}</td></tr></tbody></table>", "<ul><li>{2}</li><li><p>{1}</p></li></ul>", "<header><h2>{1}</h2><p>{2}</p></header>",
+    "<figure><figcaption>{1}</figcaption></figure>", "<dl><dt>{2}</dt><dd>{1}</dd></dl>", "<section><div><div>{3}</div><blockquote><p>{0}</p></blockquote></div></section>", "<pre>{1}</pre><div>{2}</div>",
 )
 
 
 def augmented(sources: list[str]) -> list[str]:
-    """sources, with parts that are no content put between the paragraphs of every third."""
+    """sources, with parts that are no content put between the paragraphs of every third, and parts that are in others."""
     out = []
     for n, source in enumerate(sources):
         parts = re.split(r"(?=<p\b)", source)
-        if n % 3 == 0 and len(parts) > 3:
+        made = (_INSERTS, _CONTENT, ())[n % 3]
+        if made and len(parts) > 3:
             said = [re.sub(r"<[^>]*>", " ", x) for x in parts[1:]]
             for k in range(3):
-                at = 2 + (7 * n + 5 * k) % (len(parts) - 2)
-                parts.insert(at, _INSERTS[(n // 3 + k) % len(_INSERTS)].format(said[k % len(said)], said[k % len(said)][:20]))
+                at, text = 2 + (7 * n + 5 * k) % (len(parts) - 2), said[k % len(said)]
+                parts.insert(at, made[(n // 3 + k) % len(made)].format(text, text[:20], text[:6], text[-3:]))
             source = "".join(parts)
         out.append(source)
     return out

@@ -467,3 +467,48 @@ def test_secrets_need_no_digit_and_reach_beyond_a_card(spark):
     df = spark.createDataFrame([(1, text), (2, held)], "doc_id long, text string")
     clean = {r.doc_id: r.text for r in pii.redact(df).collect()}
     assert "QmFz" not in clean[1] and "9f86" not in clean[2] and "b822c" not in clean[2]
+
+
+@pytest.fixture(scope="module")
+def page_model(spark):
+    return html_extract.fit(spark.read.parquet("/root/testdata/sf0.01/pages.parquet"))
+
+
+@pytest.mark.parametrize("inside, want", [
+    ("<p data-x=don't>Hello one.</p><p>it's two.</p><p>three</p>", "Hello one.\nit's two.\nthree"), ('<p title="a > b">One.</p><p>Two.</p>', "One.\nTwo."), ('<p>One.</p><a b="x>Two.</a><p>Three.</p>', "One.\nTwo.\nThree."),
+    ("<p>Before.</p><table><tr><td>c1</td><td>c2</td></tr></table>", "Before.\nc1\nc2"), ("<header><h1>Headline</h1></header><p>Text of it.</p>", "Headline\nText of it."), ('<p class="tabs">A paragraph.</p>', "A paragraph."),
+    ('<div class="share-price">The price rose.</div>', "The price rose."), ("<p>a &amp;amp; b <![CDATA[x &amp; <y>]]></p>", "a &amp; b x &amp; <y>"), ("<ul><li>one<li>two</ul><p>1 < 2 and 3 > 2</p>", "one\ntwo\n1 < 2 and 3 > 2"),
+    ('<p>One.</p><div class="share-buttons"><a href="#">Tweet</a></div><div class="comments"><p>First! I was here before you all, really.</p></div><aside><p>More of this.</p></aside><p>Two.</p>', "One.\nTwo."),
+    ("<h2>A</h2><dl><dt>term</dt><dd>sense</dd></dl><figure><img src=x><figcaption>shown</figcaption></figure>", "A\nterm\nsense\nshown"),
+])
+def test_html_keeps_all_of_an_article(page_model, inside, want):
+    page = f"<body><header><h1>Site</h1></header><nav class='menu'><a href=/>menu</a></nav><article>{inside}</article><div class='cookie-banner'>We use cookies.</div><footer>foot</footer></body>"
+    assert html_extract.main_texts([page], page_model) == [want]
+
+
+def test_html_of_a_whole_table_by_its_articles(spark, page_model):
+    """The synthetic pages' articles hold headings and paragraphs only, so a regular expression says what their text is."""
+    import html
+
+    pages = spark.read.parquet("/root/testdata/sf0.01/pages.parquet")
+    want = {}
+    for r in pages.collect():
+        inner = re.search(r"<article>(.*?)</article>", r.html or "", re.S)
+        blocks = re.split(r"</?(?:p|h1)>", inner[1]) if inner else []
+        want[r.page_id] = "\n".join(x for x in (" ".join(html.unescape(re.sub(r"<[^>]*>", " " if "br" in b else "", b)).split()) for b in (re.sub(r"<br>", " ", b) for b in blocks)) if x)
+    got = {r.page_id: r for r in html_extract.extract(pages, page_model).collect()}
+    assert got.keys() == want.keys()
+    assert [i for i in want if got[i].text != want[i]] == [] and all(r.n_chars == len(r.text) for r in got.values())
+    assert html_extract.extract(pages.limit(0), page_model).count() == 0
+    odd = spark.createDataFrame([(1, None, None, "x"), (1, None, None, "x"), (2, "u", "", "y")], "page_id long, url string, html string, text string")
+    assert sorted((r.page_id, r.text, r.n_chars) for r in html_extract.extract(odd).collect()) == [(1, "", 0), (1, "", 0), (2, "", 0)]
+
+
+@pytest.mark.parametrize("piece", ["<a b='", "<a b='>'", "<div>", "<b>", "<svg>", "<!", "<!-- ", "<p>x<b>", "<button>", "</i>", "&amp;", "<td>", "<li><ul>", "<![CDATA["])
+def test_html_costs_what_its_length_does(piece):
+    import time
+
+    source = "<article><p>Start.</p>" + piece * (500_000 // len(piece)) + "end"
+    began = time.time()
+    html_extract.main_texts([source], html_extract.train([]))
+    assert time.time() - began < 20, piece
