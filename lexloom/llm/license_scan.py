@@ -5,6 +5,7 @@ from __future__ import annotations
 import re
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
@@ -29,32 +30,41 @@ NAMES = (
     ("cc-by-nc-sa", "creative commons attribution non ?commercial share ?alike|cc by nc sa", ("", "3 0", "4 0")), ("cc0", "creative commons zero|cc0", ("", "1 0")),
     ("odbl", "open database|odbl", ("", "1 0")), ("gfdl", "gnu free documentation|gfdl", ("", "1 2", "1 3")), ("ms-pl", "microsoft public|ms pl", ("",)), ("cecill", "cecill", ("", "2 1")),
 )
-# Forms that a licence is named in: expression around NAME and VERSION, priority (higher wins), confidence.
+# Forms that a licence is named in: expression around NAME and VERSION, priority (higher wins), confidence, words of which
+# it needs one.
 FORMS = (
-    (r"spdx licen[sc]e identifier (?:NAME)(?: VERSION)(?: only| or later)?", 60, 1.0), (r"(?:released|licen[sc]ed|distributed|available|published) under (?:the )?(?:terms of (?:the )?)?(?:NAME)(?: licen[sc]e)?(?: version| v)?(?: VERSION)", 50, 0.95),
-    (r"licen[sc]e (?:NAME)(?: version| v)?(?: VERSION)", 30, 0.8), (r"(?:NAME) licen[sc]e(?: version| v)?(?: VERSION)", 40, 0.9),
+    (r"spdx licen[sc]e identifier (?:NAME)(?: VERSION)(?: only| or later)?", 60, 1.0, ("spdx",)), (r"(?:released|licen[sc]ed|distributed|available|published) under (?:the )?(?:terms of (?:the )?)?(?:NAME)(?: licen[sc]e)?(?: version| v)?(?: VERSION)", 50, 0.95, ("under",)),
+    (r"licen[sc]e (?:NAME)(?: version| v)?(?: VERSION)", 30, 0.8, ("license", "licence")), (r"(?:NAME) licen[sc]e(?: version| v)?(?: VERSION)", 40, 0.9, ("license", "licence")),
 )
-# Signatures of their own: label, expression, priority, confidence.
+# Signatures of their own: label, expression, priority, confidence, a word that it needs.
 TEXTS = (
-    ("mit", r"permission is hereby granted free of charge to any person obtaining a copy", 70, 1.0), ("bsd", r"redistribution and use in source and binary forms with or without modification", 70, 1.0),
-    ("isc", r"permission to use copy modify and or distribute this software for any purpose", 70, 1.0), ("public-domain", r"(?:released|placed|dedicated) (?:in|into|to) the public domain", 50, 0.9),
-    ("copyright", r"copyright (?:c )?(?:19|20)[0-9]{2}", 10, 0.4), ("proprietary", r"all rights reserved", 20, 0.5),
-    ("unknown", r"licen[sc]ed under", 5, 0.3), ("no-warranty", r"without warranty of any kind|without any warranty", 15, 0.4),
+    ("mit", r"permission is hereby granted free of charge to any person obtaining a copy", 70, 1.0, "permission"), ("bsd", r"redistribution and use in source and binary forms with or without modification", 70, 1.0, "redistribution"),
+    ("isc", r"permission to use copy modify and or distribute this software for any purpose", 70, 1.0, "permission"), ("public-domain", r"(?:released|placed|dedicated) (?:in|into|to) the public domain", 50, 0.9, "domain"),
+    ("copyright", r"copyright (?:c )?(?:19|20)[0-9]{2}", 10, 0.4, "copyright"), ("proprietary", r"all rights reserved", 20, 0.5, "reserved"),
+    ("unknown", r"licen[sc]ed under", 5, 0.3, "under"), ("no-warranty", r"without warranty of any kind|without any warranty", 15, 0.4, "warranty"),
 )
 
 
-def rules() -> list[tuple[re.Pattern, str, int, float, bytes]]:
-    """The signatures in order: compiled expression over words joined by blanks, label, priority, confidence, a word that it needs.
+def _tells(name: str) -> tuple[bytes, ...]:
+    """Of each alternative of a name the longest word that it always has."""
+    sure = re.sub(r"\(\?:[^)]*\)\??|\[[^]]*\]|[a-z0-9]* \?[a-z0-9]*", " ", name)
+    return tuple(max(x.split(), key=len).encode() for x in sure.split("|"))
+
+
+def rules() -> list[tuple[re.Pattern, str, int, float, tuple[tuple[bytes, ...], ...]]]:
+    """The signatures in order: compiled expression over words joined by blanks, label, priority, confidence, and what it
+    needs: of each of these groups of words one.
 
     A form without a version is of lower priority than with one, as it tells less.
     """
-    made = [(label, text, priority, trust, b"") for label, text, priority, trust in TEXTS]
+    made = [(label, text, priority, trust, ((word.encode(),),)) for label, text, priority, trust, word in TEXTS]
     for label, name, versions in NAMES:
         for version in versions:
-            for form, priority, trust in FORMS:
+            for form, priority, trust, told in FORMS:
                 own = form.replace("NAME", name).replace("(?: VERSION)", f" {version}" if version else "")
-                made.append((f"{label}-{version.replace(' ', '.')}" if version else label, own, priority + 5 * bool(version), trust, version.encode()))
-    return [(re.compile(rb"(?<![^ ])(?:" + text.encode() + rb")(?![^ ])"), label, priority, trust, need) for label, text, priority, trust, need in sorted(made, key=lambda r: (-r[2], r[0], r[1]))]
+                needs = (tuple(w.encode() for w in told), _tells(name), *((w.encode(),) for w in version.split()))
+                made.append((f"{label}-{version.replace(' ', '.')}" if version else label, own, priority + 5 * bool(version), trust, needs))
+    return [(re.compile(rb"(?<![^ ])(?:" + text.encode() + rb")(?![^ ])"), label, priority, trust, needs) for label, text, priority, trust, needs in sorted(made, key=lambda r: (-r[2], r[0], r[1]))]
 
 
 #: Other bytes than digits, letters and those of characters beyond ASCII part words.
@@ -67,24 +77,30 @@ def scan(text: str, signatures: list) -> tuple:
     joined = b" " + b" ".join(words) + b" "
     if not any(k in joined for k in KEYWORDS):
         return len(words), 0, None, None, "", "", 0.0
+    said = set(words)
+    starts = 1 + np.concatenate([[0], np.cumsum([len(w) + 1 for w in words])])  # of words in joined
     places, base = [], set()
     for phrase, label in BASE:
         at = joined.find(needle := b" " + phrase.encode() + b" ")
         while at >= 0:
-            places.append(joined.count(b" ", 0, at))
+            places.append(at + 1)
             base.add(label)
             at = joined.find(needle, at + 1)
-    found: list[tuple[int, int, str, float]] = []
-    for pattern, label, _, trust, need in signatures:  # by falling priority
-        if need in joined:
-            for m in pattern.finditer(joined, 1):
-                if not any(s <= m.start() and m.end() <= e for s, e, _, _ in found):
-                    found.append((m.start(), m.end(), label, trust))
-    score = 1.0
-    for *_, trust in found:
-        score *= 1 - trust
-    score = 1.0 if base else round(1 - score, 6)
-    return len(words), len(places), min(places, default=None), max(places, default=None), ",".join(sorted(base)), ",".join(sorted(base | {x[2] for x in found})), score
+    first, last = (int(np.searchsorted(starts, x)) for x in (min(places), max(places))) if places else (None, None)
+    kinds, doubt = set(), 1.0
+    reach = np.zeros(len(starts), np.int64)  # by word: how far a detection goes that starts there or before
+    for pattern, label, _, trust, needs in signatures:  # by falling priority
+        if all(any(w in said for w in group) for group in needs):
+            found = np.array([m.span() for m in pattern.finditer(joined, 1)], np.int64).reshape(-1, 2)
+            at = np.searchsorted(starts, found[:, 0])
+            stays = reach[at] < found[:, 1]  # what lies inside a detection of higher priority goes
+            if stays.any():
+                kinds.add(label)
+                doubt *= (1 - trust) ** int(stays.sum())
+                np.maximum.at(reach, at[stays], found[stays, 1])
+                reach = np.maximum.accumulate(reach)
+    score = 1.0 if base else round(1 - doubt, 6)
+    return len(words), len(places), first, last, ",".join(sorted(base)), ",".join(sorted(base | kinds)), score
 
 
 SCHEMA = "doc_id long, n_words long, n_base long, first_word long, last_word long, base_labels string, labels string, score double"

@@ -512,3 +512,47 @@ def test_html_costs_what_its_length_does(piece):
     began = time.time()
     html_extract.main_texts([source], html_extract.train([]))
     assert time.time() - began < 20, piece
+
+
+def licenses_reference(t):
+    w = re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", re.sub("[A-Z]", lambda m: m[0].lower(), t or ""))
+    places = [(i, label) for phrase, label in (("mit license", "mit"), ("apache license", "apache"), ("general public license", "gpl")) for p in [phrase.split()] for i in range(len(w)) if w[i : i + len(p)] == p]
+    return len(w), len(places), min((i for i, _ in places), default=None), max((i for i, _ in places), default=None), ",".join(sorted({x for _, x in places}))
+
+
+def test_license_bases_by_brute_force(spark):
+    rng = np.random.default_rng(13)
+    parts = ["MIT", "license", "mit License", "APACHE-license", "general", "public", "License", "gnu", "2.0", "é", "\u2028", "x", "under", "the", "\n", "general public license"]
+    texts = [None, "", "...", "\U0001F600 mit license", *("".join(y + " " * int(rng.integers(0, 3)) for y in rng.choice(parts, rng.integers(0, 40))) for _ in range(400))]
+    texts += [r.text for r in spark.read.parquet("/root/testdata/sf0.001/documents.parquet").collect()]
+    rows = license_scan.scan_licenses(spark.createDataFrame([(i, t, 0.5) for i, t in enumerate(texts)], "doc_id long, text string, score double").repartition(3)).collect()
+    assert len(rows) == len(texts)
+    for r in rows:
+        assert (r.n_words, r.n_base, r.first_word, r.last_word, r.base_labels) == licenses_reference(texts[r.doc_id]), texts[r.doc_id]
+        assert set(filter(None, r.base_labels.split(","))) <= set(r.labels.split(",")) and 0 <= r.score <= 1 and (r.score == 1 or not r.n_base)
+    assert license_scan.scan_licenses(spark.createDataFrame([], "doc_id long, text string")).count() == 0
+
+
+def test_suppressed_licenses_by_all_pairs():
+    signatures = license_scan.rules()
+    rng = np.random.default_rng(14)
+    parts = ["released under the terms of the", "apache", "license", "version 2 0", "mit", "gnu general public license", "spdx license identifier mit", "cc by 4 0", "x", "copyright 2020", "all rights reserved", "licensed under"]
+    for _ in range(300):
+        text = " ".join(rng.choice(parts, rng.integers(1, 15)))
+        found, doubt = [], 1.0
+        for pattern, label, _, trust, _ in signatures:
+            for m in pattern.finditer(f" {text} ".encode(), 1):
+                if not any(a <= m.start() and m.end() <= b for a, b, _ in found):
+                    found.append((*m.span(), label))
+                    doubt *= 1 - trust
+        got, base = license_scan.scan(text, signatures), licenses_reference(text)[4]
+        assert set(filter(None, got[5].split(","))) == {x for *_, x in found} | set(filter(None, base.split(","))), text
+        assert base or abs(got[6] - (1 - doubt)) < 1e-6
+
+
+def test_licenses_of_long_texts_are_linear():
+    import time
+
+    signatures, began = license_scan.rules(), time.time()
+    got = license_scan.scan("mit license x " * 75_000, signatures)
+    assert got[:4] == (225_000, 75_000, 0, 224_997) and time.time() - began < 10
