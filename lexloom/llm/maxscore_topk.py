@@ -1,8 +1,11 @@
 """Exact top-k inner products by MaxScore, in blocks of queries against shards of candidates.
 
-The dimensions are the terms. In a shard each has bounds on its values, so for a query each has a bound on what it can add
-to a score. Dimensions in order of falling bound are essential until the bounds of the rest cannot lift a candidate over
-the k-th best score known; the rest are probed only for candidates that still compete. The shards' lists are merged.
+The dimensions are the terms. A shard keeps a posting list for each: its candidates in order of the dimension's value. For a
+query each dimension has bounds on what it adds to a score. Once k full scores are known, the dimensions of least spread
+whose bounds together cannot lift a candidate over the k-th of them are non-essential. A candidate that can still win must
+reach its share of the rest in some essential dimension, so only the heads of the essential posting lists are traversed;
+what they hold is scored on the essential dimensions, and the others are probed while a candidate competes. The shards'
+lists are merged.
 """
 
 from __future__ import annotations
@@ -26,35 +29,73 @@ def quantized(vectors: DataFrame, scale: float = 256.0) -> DataFrame:
     return vectors.where(finite).select(F.col("vec_id").cast("long").alias("vec_id"), F.expr(f"transform(embedding, x -> cast(floor(cast(x as double) * {scale}D) as double))").alias("q"))
 
 
-def best_in_shard(queries: np.ndarray, ids: np.ndarray, query_ids: np.ndarray, cand: np.ndarray, k: int, step: int = 16) -> Iterator[tuple[int, int, int]]:
+class Shard:
+    """Candidates (rows of equal length, ordered by vec_id) and their posting lists by dimension."""
+
+    def __init__(self, ids: np.ndarray, cand: np.ndarray):
+        self.ids, self.cand = ids, cand
+        self.order = np.argsort(cand, axis=0, kind="stable")  # a posting list in each column, by rising value
+        self.sorted = np.take_along_axis(cand, self.order, axis=0)
+
+    def head(self, d: int, q: float, n: int) -> np.ndarray:
+        """The n candidates to which dimension d adds most."""
+        return self.order[-n:, d] if q > 0 else self.order[:n, d]
+
+    def over(self, d: int, q: float, least: float) -> np.ndarray:
+        """The candidates to which dimension d adds `least` or more; a little more of the list where division rounds."""
+        edge = least / q
+        slack = 1e-9 * (1 + abs(edge))
+        if q > 0:
+            return self.order[np.searchsorted(self.sorted[:, d], edge - slack) :, d]
+        return self.order[: np.searchsorted(self.sorted[:, d], edge + slack, "right"), d]
+
+    def best(self, q: np.ndarray, query_id: int, k: int, step: int = 16) -> list[tuple[int, int]]:
+        """(vec_id, score) of the k best but the query's own, ties to the smaller vec_id."""
+        alive = np.flatnonzero(self.ids != query_id)
+        if len(alive) > 8 * k and q.any():
+            ends = np.stack([q * self.sorted[0], q * self.sorted[-1]])
+            low, high = ends.min(axis=0), ends.max(axis=0)
+            spread = high - low
+            order = np.argsort(-spread, kind="stable")
+            # k full scores, of those to which the widest dimensions add most
+            probe = np.unique(np.concatenate([self.head(d, q[d], 2 * k) for d in order[:4]]))
+            probe = probe[self.ids[probe] != query_id]
+            if len(probe) >= k:
+                least = np.partition(self.cand[probe] @ q, len(probe) - k)[-k]  # the k-th best is no less
+                needed = least - low.sum()  # over what every candidate has
+                rest = np.concatenate([np.cumsum(spread[order][::-1])[::-1], [0.0]])  # what dimensions from here on can add
+                n = min(max(1, int(np.searchsorted(-rest, -needed, "right"))), len(order))  # the others cannot bring it alone
+                essential, short = order[:n], needed - rest[n]
+                wide = spread[essential].sum()
+                if short > 0 and wide > 0:
+                    reached = np.zeros(len(self.ids), bool)
+                    for d in essential[q[essential] != 0]:
+                        reached[self.over(d, q[d], low[d] + short * spread[d] / wide)] = True
+                    alive = alive[reached[alive]]
+                partial = self.cand[np.ix_(alive, essential)] @ q[essential]
+                above = np.concatenate([np.cumsum(high[order][::-1])[::-1], [0.0]])
+                for at in range(n, len(order), step):
+                    stays = partial + above[at] >= least
+                    alive, use = alive[stays], order[at : at + step]
+                    partial = partial[stays] + self.cand[np.ix_(alive, use)] @ q[use]
+        score = self.cand[alive] @ q
+        top = np.lexsort((self.ids[alive], -score))[:k]
+        return [(int(self.ids[alive[j]]), int(score[j])) for j in top]
+
+
+def best_in_shard(queries: np.ndarray, ids: np.ndarray, query_ids: np.ndarray, cand: np.ndarray, k: int) -> Iterator[tuple[int, int, int]]:
     """(query_id, vec_id, score) of each query's k best in the shard, ties to the smaller vec_id; cand is ordered by vec_id."""
-    low, high = cand.min(axis=0), cand.max(axis=0)
     exact = float(np.abs(queries).max(initial=0)) * float(np.abs(cand).max(initial=0)) * max(cand.shape[1], 1) < EXACT
-    if not exact:  # beyond what floats hold: Python integers
-        queries, cand, low, high = (np.array([int(v) for v in x.ravel()], dtype=object).reshape(x.shape) for x in (queries, cand, low, high))
-    bounds = np.maximum(queries * low, queries * high)
-    for i in range(len(queries)):
-        order = np.argsort(-(bounds[i] - np.minimum(queries[i] * low, queries[i] * high)), kind="stable")
-        q, rest = queries[i][order], bounds[i][order]
-        rest = np.concatenate([np.cumsum(rest[::-1])[::-1], [0]])  # what the dimensions from here on can add at most
-        alive = np.flatnonzero(ids != query_ids[i])
-        if not len(alive):
-            continue
-        least = None
-        partial = np.zeros(len(alive), dtype=cand.dtype)
-        for at in range(0, len(order), step):
-            use = order[at : at + step]
-            partial = partial + cand[np.ix_(alive, use)] @ q[at : at + step]
-            left = rest[min(at + step, len(order))]
-            if at + step < len(order) and len(alive) > 4 * k:
-                probe = alive[np.argpartition(partial, len(alive) - k)[-k:]] if exact else alive[np.argsort(partial, kind="stable")[-k:]]
-                floor = min(cand[probe][:, order] @ q)  # k full scores: the k-th best is no less
-                least = floor if least is None else max(least, floor)
-                stays = partial + left >= least
-                alive, partial = alive[stays], partial[stays]
-        top = np.lexsort((ids[alive], -partial))[:k] if exact else sorted(range(len(alive)), key=lambda j: (-partial[j], ids[alive[j]]))[:k]
-        for j in top:
-            yield int(query_ids[i]), int(ids[alive[j]]), int(partial[j])
+    if exact:
+        shard = Shard(ids, cand)
+        for q, i in zip(queries, query_ids.tolist(), strict=True):
+            yield from ((i, v, s) for v, s in shard.best(q, i, k))
+        return
+    # beyond what floats hold: Python integers, all candidates
+    whole = [[int(x) for x in row] for row in cand]
+    for q, i in zip(([int(x) for x in row] for row in queries), query_ids.tolist(), strict=True):
+        scored = sorted((-sum(a * b for a, b in zip(q, row, strict=True)), v) for row, v in zip(whole, ids.tolist(), strict=True) if v != i)[:k]
+        yield from ((i, v, -s) for s, v in scored)
 
 
 def top_k(vectors: DataFrame, every: int = 50, k: int = 5, query_block: int = 1024, shard: int = 8192) -> DataFrame:
