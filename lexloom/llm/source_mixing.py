@@ -7,6 +7,8 @@ given more than its leaves can supply. A leaf takes whole epochs, then the head
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -19,8 +21,8 @@ LEVELS: dict[str, str] = {
     "language": "coalesce(lang, '')",
     "origin": "coalesce(source, '')",
 }
-#: Parts of a leaf's order whose token sums are taken first, so that no task holds a whole leaf: two hexadecimal digits.
-SLICE_DIGITS = 2
+#: Documents in a slice of a leaf's order: the slices' token sums are taken first, so that no task holds a whole leaf.
+SLICE = 50_000
 
 
 def tokens_sql(text: str = "text") -> str:
@@ -42,9 +44,13 @@ def share(children: DataFrame, parents: list[str]) -> DataFrame:
     ).drop("rate", "full", "least", "given")
 
 
-def leaf_budgets(leaves: DataFrame, levels: list[str], total: Column, exponent: float, epochs: float) -> DataFrame:
-    """Token budget of each leaf (levels..., tokens). A node's weight among its siblings is its token count to the power
-    `exponent`: 1 keeps the sources' shares, 0 makes siblings equal. A leaf can supply `epochs` times its tokens."""
+def leaf_budgets(leaves: DataFrame, levels: list[str], total: Column, exponent: float, epochs: float, weights: DataFrame | None = None) -> DataFrame:
+    """Token budget of each leaf (levels..., tokens). A leaf can supply `epochs` times its tokens.
+
+    A node's weight among its siblings is what `weights` (path, weight) says of its path, the names from the top joined by /.
+    Siblings that are not named there beside one that is get nothing; nor does a weight that is null or not above 0. Where
+    no sibling is named, the weight is the token count to the power `exponent`: 1 keeps the shares, 0 makes siblings equal.
+    """
     nodes = {}
     for depth in range(len(levels), 0, -1):
         nodes[depth] = leaves.groupBy(*levels[:depth]).agg(F.sum("tokens").cast("double").alias("size"))
@@ -52,31 +58,40 @@ def leaf_budgets(leaves: DataFrame, levels: list[str], total: Column, exponent:
     above = top.select(F.least(total.cast("double"), F.col("all") * epochs).alias("given"))
     for depth in range(1, len(levels) + 1):
         here = nodes[depth].select(*levels[:depth], F.pow("size", F.lit(exponent)).alias("weight"), (F.col("size") * epochs).alias("capacity"))
+        if weights is not None:
+            said = weights.groupBy(F.col("path").alias("__path")).agg(F.max(F.greatest(F.coalesce(F.col("weight").cast("double"), F.lit(0.0)), F.lit(0.0))).alias("__said"))
+            family = Window.partitionBy(*(levels[: depth - 1] or [F.lit(0)]))
+            here = here.join(said, F.concat_ws("/", *levels[:depth]) == F.col("__path"), "left")
+            here = here.withColumn("__any", F.max(F.col("__said").isNotNull()).over(family))
+            here = here.withColumn("weight", F.expr("if(__any, coalesce(__said, 0D), weight)")).where("weight > 0").drop("__path", "__said", "__any")
         here = here.crossJoin(F.broadcast(above)) if depth == 1 else here.join(above, levels[: depth - 1])  # above the top there is one row
         shared = share(here, levels[: depth - 1] or [F.lit(0)])
         above = shared.select(*levels[:depth], F.col("budget").alias("given"))
     return above.withColumnRenamed("given", "budget")
 
 
-def mix(docs: DataFrame, share_of_tokens: float = 0.9, exponent: float = 0.7, epochs: float = 2.0, seed: int = 17, levels: dict[str, str] | None = None) -> DataFrame:
+def mix(docs: DataFrame, share_of_tokens: float = 0.9, exponent: float = 0.7, epochs: float = 2.0, seed: int = 17, levels: dict[str, str] | None = None, weights: DataFrame | None = None) -> DataFrame:
     """doc_id, the levels, n_tokens and copies (how often the mixture takes the document, 0 if not at all) of every row.
 
-    The whole mixture has `share_of_tokens` of the tokens there are. Epoch e of a leaf is its documents in the order of
+    The whole mixture has `share_of_tokens` of the tokens there are, less what named nodes cannot supply. Target weights of
+    domains, languages and sources come from `weights` (see leaf_budgets). Epoch e of a leaf is its documents in the order of
     md5(seed:e:doc_id); the last, partial epoch takes the longest head of it that fits the rest of the budget. Tokens
     are words between blanks; a document without any costs nothing and is taken while its turn comes within the budget,
     and a leaf without any is not taken. Null languages and sources count as empty names, null texts as empty; repeated
-    rows are counted and ordered one by one. A leaf's order is summed in 256 slices, so a hot leaf is no single task.
+    rows are counted and ordered one by one, those of one doc_id by their tokens. A leaf's order is summed in slices of about
+    SLICE documents if it were all of them, so a hot leaf is no single task. Columns of docs besides doc_id, text, lang and
+    source matter only to `levels` of your own.
     """
     names = list(levels or LEVELS)
     light = docs.select("doc_id", *(F.expr(e).alias(n) for n, e in (levels or LEVELS).items()), F.expr(tokens_sql()).alias("n_tokens"))
     leaves = light.groupBy(*names).agg(F.sum("n_tokens").alias("tokens")).where("tokens > 0")
-    budgets = leaf_budgets(leaves, names, F.col("all") * share_of_tokens, exponent, epochs).join(leaves, names)
+    budgets = leaf_budgets(leaves, names, F.col("all") * share_of_tokens, exponent, epochs, weights).join(leaves, names)
     plan = budgets.select(*names, F.expr("cast(floor(budget / tokens) as int) as full"), F.expr("budget - floor(budget / tokens) * tokens as rest"))
-    ranked = light.join(plan, names, "left").withColumn("h", F.expr(f"md5(concat({seed}, ':', coalesce(full, 0) + 1, ':', coalesce(doc_id, '')))"))
-    ranked = ranked.withColumn("slice", F.substring("h", 1, SLICE_DIGITS))
+    ranked = light.join(plan, names, "left").withColumn("h", F.expr(f"md5(concat({seed}, ':', coalesce(full, 0) + 1, ':', coalesce(cast(doc_id as string), '')))"))
+    ranked = ranked.withColumn("slice", F.substring("h", 1, max(2, math.ceil(math.log(max(docs.count(), 1) / SLICE, 16)))))  # hexadecimal digits
     before = Window.partitionBy(*names).orderBy("slice").rowsBetween(Window.unboundedPreceding, -1)
     slices = ranked.groupBy(*names, "slice").agg(F.sum("n_tokens").alias("here")).select(*names, "slice", F.coalesce(F.sum("here").over(before), F.lit(0)).alias("before"))
-    within = Window.partitionBy(*names, "slice").orderBy("h", "doc_id").rowsBetween(Window.unboundedPreceding, 0)
+    within = Window.partitionBy(*names, "slice").orderBy("h", "doc_id", "n_tokens").rowsBetween(Window.unboundedPreceding, 0)
     placed = ranked.join(slices, [*names, "slice"]).withColumn("upto", F.col("before") + F.sum("n_tokens").over(within))
     return placed.select("doc_id", *names, "n_tokens", F.expr("coalesce(full + if(upto <= rest, 1, 0), 0)").alias("copies"))
 
