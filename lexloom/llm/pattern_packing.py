@@ -20,13 +20,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from lexloom.llm.common import checkpointed
+from lexloom.llm.common import checkpointed, written
 
 SIZE = 4096
 #: Lengths are fitted in bins of size / BINS; patterns have at most DEPTH documents.
 BINS, DEPTH = 64, 4
-#: Salts by which equal lengths are ranked, so that a frequent length is no single task.
-SALTS = 64
+#: Salts by which equal lengths are ranked, so that a frequent length is no single task: as many at least, and one for so many
+#: pieces.
+SALTS, PER_SALT = 64, 1_000_000
 #: Distinct words whose ids a task keeps.
 KEPT_WORDS = 400_000
 TEXTS_AT_ONCE = 256
@@ -231,16 +232,17 @@ def slots(planned: list[tuple[int, dict[int, int]]]) -> np.ndarray:
 def pack(made: DataFrame, size: int = SIZE) -> DataFrame:
     """made (doc_id, piece, length, ...) with sequence_id (from 0, without gaps) and offset (without gaps in each sequence).
 
-    Pieces are ranked among those of their length in SALTS groups by a hash of doc_id and piece. Rows that repeat both
-    are packed one by one. Lengths must be 1 to `size`.
+    Pieces are ranked among those of their length in groups by a hash of doc_id and piece, more of them the more pieces
+    there are. Rows that repeat both are packed one by one. Lengths must be 1 to `size`.
     """
-    salted = made.withColumn("__salt", F.expr(f"cast(pmod(xxhash64(doc_id, piece), {SALTS}) as int)"))
+    salts = max(SALTS, made.count() // PER_SALT)
+    salted = made.withColumn("__salt", F.expr(f"cast(pmod(xxhash64(doc_id, piece, start), {salts}) as int)"))
     groups = salted.groupBy("length", "__salt").agg(F.count("*").alias("n"))
     upto = Window.partitionBy("length").orderBy("__salt").rowsBetween(Window.unboundedPreceding, -1)
     groups = checkpointed(groups.withColumn("__first", F.coalesce(F.sum("n").over(upto), F.lit(0))))
     histogram = {r["length"]: r["n"] for r in groups.groupBy("length").agg(F.sum("n").alias("n")).collect()}  # at most `size` rows
     table = slots(plan(histogram, size))
-    own = Window.partitionBy("length", "__salt").orderBy("doc_id", "piece")
+    own = Window.partitionBy("length", "__salt").orderBy("doc_id", "piece", "ids_crc32")
     ranked = salted.join(groups.drop("n"), ["length", "__salt"]).withColumn("__rank", F.col("__first") + F.row_number().over(own) - 1)
     shared = made.sparkSession.sparkContext.broadcast(table)  # bounded by size, whatever the number of pieces
 
@@ -262,18 +264,19 @@ def pack(made: DataFrame, size: int = SIZE) -> DataFrame:
 
 
 def packed_report(docs: DataFrame, tokenizer: str | None = None) -> DataFrame:
-    """A row per piece with its crc and place; the tokens' table is written once, as numbers only."""
+    """A row per piece with its crc and place; the tokens' table is written once, as numbers only. A null or empty text is a
+    piece of the end id alone; rows that repeat a doc_id or a text are packed one by one; an empty table gives none."""
     return pack(checkpointed(pieces(docs, tokenizer or tokenizer_path(), ids=False))).select("doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset")
 
 
 def sequences(docs: DataFrame, tokenizer: str | None = None, size: int = SIZE) -> DataFrame:
-    """sequence_id and ids (array) of the packed sequences themselves: real training rows."""
-    placed = pack(pieces(docs, tokenizer or tokenizer_path(), size=size), size)
+    """sequence_id and ids (array) of the packed sequences themselves: real training rows. Texts as in packed_report."""
+    placed = pack(written(pieces(docs, tokenizer or tokenizer_path(), size=size)), size)
     parts = F.array_sort(F.collect_list(F.struct("offset", "ids")))  # at most `size` pieces in a sequence
 
     @F.pandas_udf("array<long>")
     def joined(values):
-        return values.map(lambda v: np.frombuffer(bytes(v), "<u4").astype(np.int64))
+        return values.map(lambda v: np.frombuffer(b"".join(v), "<u4").astype(np.int64))
 
     whole = placed.groupBy("sequence_id").agg(parts.alias("parts"))
-    return whole.select("sequence_id", joined(F.expr("aggregate(parts, cast('' as binary), (a, p) -> concat(a, p.ids))")).alias("ids"))
+    return whole.select("sequence_id", joined(F.transform("parts", lambda p: p.ids)).alias("ids"))

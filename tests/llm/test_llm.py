@@ -556,3 +556,97 @@ def test_licenses_of_long_texts_are_linear():
     signatures, began = license_scan.rules(), time.time()
     got = license_scan.scan("mit license x " * 75_000, signatures)
     assert got[:4] == (225_000, 75_000, 0, 224_997) and time.time() - began < 10
+
+
+def test_maxscore_by_brute_force():
+    rng = np.random.default_rng(21)
+    for trial in range(60):
+        n, d = int(rng.integers(1, 400)), int(rng.integers(1, 12))
+        cand = np.floor(rng.normal(size=(n, d)) * rng.choice([1, 40, 256], d) * (rng.random((n, d)) < rng.random()))
+        queries = np.concatenate([np.floor(rng.normal(size=(4, d)) * 100), np.zeros((1, d)), cand[:1]])
+        ids = np.sort(rng.choice(1000, n, replace=False))
+        asked = np.array([-1, -2, -3, -4, -5, ids[0]])
+        got = list(maxscore_topk.best_in_shard(queries, ids, asked, cand, 5))
+        want = [(int(i), int(ids[j]), int(cand[j] @ q)) for q, i in zip(queries, asked) for j in sorted(range(n), key=lambda j: (-(cand[j] @ q), ids[j])) if ids[j] != i]
+        by = {i: [w for w in want if w[0] == i][:5] for i in asked.tolist()}
+        assert got == [w for i in asked.tolist() for w in by[i]], trial
+    big = np.array([[2.0**40, 3.0], [2.0**40, 4.0]])  # beyond what floats hold
+    assert list(maxscore_topk.best_in_shard(big[:1] * 2.0**20, np.array([5, 6]), np.array([9]), big, 2)) == [(9, 6, 2**100 + 12 * 2**20), (9, 5, 2**100 + 9 * 2**20)]
+
+
+def test_topk_of_few_and_odd_vectors(spark):
+    schema = "vec_id long, embedding array<float>, score int"
+    assert maxscore_topk.top_k(spark.createDataFrame([], schema)).count() == 0
+    rows = [(0, [1.0, 2.0], 1), (0, [1.0, 2.0], 1), (1, [1.0], 1), (2, [3.0, -1.0], 1), (3, [1.0, 2.0], 1), (None, [1.0, 2.0], 1)]
+    got = sorted(map(tuple, maxscore_topk.top_k(spark.createDataFrame(rows, schema)).collect()))
+    assert got == [(0, 1, 3, 5 * 65536), (0, 2, 2, 65536)]
+
+
+def test_mixture_by_target_weights(spark):
+    rows = [(i, "w " * 10, "en" if i % 2 else "de", f"src{i % 4}") for i in range(4000)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string")
+    levels = {"language": "lang", "origin": "source"}
+    weights = spark.createDataFrame([("en", 3.0), ("de", 1.0), ("en/src1", 0.0), ("en/src3", 2.0), ("fr", 5.0)], "path string, weight double")
+    got = {(r.language, r.origin): r.t for r in source_mixing.mix(df, share_of_tokens=0.5, levels=levels, weights=weights, epochs=4).groupBy("language", "origin").agg({"*": "count"}).join(
+        source_mixing.mix(df, share_of_tokens=0.5, levels=levels, weights=weights, epochs=4).selectExpr("language", "origin", "n_tokens * copies as t").groupBy("language", "origin").sum("t").withColumnRenamed("sum(t)", "t"), ["language", "origin"]).collect()}
+    # 20,000 tokens: 15,000 of en, all of them src3; 5,000 of de, half of each source
+    assert got[("en", "src1")] == 0 and abs(got[("en", "src3")] - 15_000) <= 10 and abs(got[("de", "src0")] - 2500) <= 10 and abs(got[("de", "src2")] - 2500) <= 10
+
+
+def mixed_reference(rows, total_share, exponent, epochs, seed):
+    """Copies by doc_id of distinct rows (doc_id, text, lang, source): budgets by bisection on the rate, in plain Python."""
+    name = lambda r: (f"d{int((re.search('[0-9]+', r[3] or '') or ['0'])[0]) % 4}", r[2] or "", r[3] or "")
+    n = {r[0]: len(words(r[1])) for r in rows}
+    size = collections.Counter()
+    for r in rows:
+        for depth in range(4):
+            size[name(r)[:depth]] += n[r[0]]
+    budget = {(): min(total_share, epochs) * size[()]}
+    for depth in range(1, 4):
+        for parent in [x for x in size if len(x) == depth - 1 and size[x]]:
+            kids = [x for x in size if len(x) == depth and x[:-1] == parent and size[x]]
+            lo, hi = 0.0, 1e12
+            for _ in range(200):
+                rate = (lo + hi) / 2
+                lo, hi = (rate, hi) if sum(min(epochs * size[k], rate * size[k] ** exponent) for k in kids) < budget[parent] else (lo, rate)
+            budget |= {k: min(epochs * size[k], hi * size[k] ** exponent) for k in kids}
+    copies = {}
+    for leaf in {name(r) for r in rows}:
+        own = [r[0] for r in rows if name(r) == leaf]
+        full = int(budget.get(leaf, 0) / size[leaf] + 1e-9) if size[leaf] else 0
+        rest, upto = budget.get(leaf, 0) - full * size[leaf], 0
+        for i in sorted(own, key=lambda i: hashlib.md5(f"{seed}:{full + 1}:{i}".encode()).hexdigest()):
+            upto += n[i]
+            copies[i] = full + (size[leaf] > 0 and upto <= rest + 1e-6)
+    return copies
+
+
+def test_mixture_by_brute_force(spark):
+    rows = [tuple(r) for r in spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("doc_id", "text", "lang", "source").collect()] + [(-1, None, None, None), (-2, "", "en", "zz"), (-3, "a b", None, "zz")]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string").withColumn("n_tokens", __import__("pyspark").sql.functions.lit("clash"))
+    got = {r.doc_id: r.copies for r in source_mixing.mix(df).collect()}
+    assert got == mixed_reference(rows, 0.9, 0.7, 2.0, 17)
+
+
+def test_pieces_are_the_tokenizers(spark):
+    import zlib
+
+    from tokenizers import Tokenizer
+
+    tokenizer = Tokenizer.from_file(pattern_packing.tokenizer_path())
+    rows = [(r.doc_id, r.text) for r in spark.read.parquet("/root/testdata/sf0.001/documents.parquet").collect()]
+    rows += [(-1, None), (-2, ""), (-3, "long words here " * 4000), (-3, "another of the same id"), (-4, "İ \U0001F600 ﬁ <|end|> don't")]
+    df = spark.createDataFrame([(i, t, 1) for i, t in rows], "doc_id long, text string, start int")
+    want = collections.Counter()
+    for i, t in rows:
+        ids = np.array([*tokenizer.encode(t or "", add_special_tokens=False).ids, 1], "<u4")
+        for n, at in enumerate(range(0, len(ids), 4096)):
+            part = ids[at : at + 4096]
+            want[i, n, at, len(part), zlib.crc32(part.tobytes())] += 1
+    made = pattern_packing.packed_report(df).collect()
+    assert collections.Counter((r.doc_id, r.piece, r.start, r.length, r.ids_crc32) for r in made) == want
+    used = collections.Counter()
+    for r in made:
+        used[r.sequence_id] += r.length
+    assert max(used.values()) <= 4096 and sorted(used) == list(range(len(used)))
+    assert pattern_packing.packed_report(df.limit(0)).count() == 0
