@@ -5,33 +5,30 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lexloom.llm.common import checkpointed
+from lexloom.llm.common import written
 
-#: A node with more links than HOT and than one in SHARE of all is salted in the join; so at most 2 * SHARE nodes are.
-HOT, SHARE, SALTS = 1000, 10_000, 16
+#: Tasks that a node's links are dealt to.
+SALTS = 4
 
 
-def _least(links: DataFrame, hot: int) -> DataFrame:
-    """links (u, v) and m: the least of u and all its neighbours. The minimum is summed before the shuffle, and the links
-    of a node that has over `hot` are dealt to several tasks by a salt."""
-    least = links.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("m"), (F.count("*") > hot).alias("hot"))
-    salted = links.join(F.broadcast(least.where("hot").select("u", F.lit(True).alias("is_hot"))), "u", "left")
-    salted = salted.withColumn("salt", F.expr(f"if(is_hot, cast(pmod(xxhash64(v), {SALTS}) as int), 0)"))
-    spread = least.withColumn("salt", F.explode(F.expr(f"if(hot, sequence(0, {SALTS - 1}), array(0))")))
-    return salted.join(spread, ["u", "salt"]).select("u", "v", "m")
+def _least(links: DataFrame) -> DataFrame:
+    """links (u, v) and m: the least of u and all its neighbours. The minimum is summed before the shuffle, and a node's
+    links are dealt to SALTS tasks, so that one with very many is no single task; beyond that Spark splits the join."""
+    least = links.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("m")).withColumn("salt", F.explode(F.expr(f"sequence(0, {SALTS - 1})")))
+    return links.withColumn("salt", F.expr(f"cast(pmod(xxhash64(v), {SALTS}) as int)")).join(least, ["u", "salt"]).select("u", "v", "m")
 
 
 def components(links: DataFrame) -> DataFrame:
     """id and component (the least id reachable) of every id that links (a, b) hold; both directions count. Links that hold
-    a null or one id twice say nothing; without any the result is empty."""
-    pairs = checkpointed(links.where("a is not null and b is not null and a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct())
-    state, hot = None, max(HOT, pairs.count() // SHARE)
+    a null or one id twice say nothing; without any the result is empty. Each round is written once and read again."""
+    pairs = written(links.where("a is not null and b is not null and a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct())
+    state = None
     while True:
         both = pairs.union(pairs.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        large = _least(both, hot).where("v > u and v <> m").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
-        down = _least(large, hot)  # u above v
+        large = _least(both).where("v > u and v <> m").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
+        down = _least(large)  # u above v
         small = down.where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v")).union(down.select("u", F.col("m").alias("v")))
-        pairs = checkpointed(small.where("u <> v").select("u", "v").distinct())
+        pairs = written(small.where("u <> v").select("u", "v").distinct())
         now = tuple(pairs.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first())
         if now == state or not now[0]:
             break

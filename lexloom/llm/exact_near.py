@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lexloom.llm import simhash_dedup
-from lexloom.llm.common import checkpointed, written
+from lexloom.llm.common import written
 from lexloom.llm.components import components
 
 SHINGLE, NUM, DEN = 5, 4, 5
@@ -147,19 +147,21 @@ def _in_small(starts: np.ndarray, sizes: np.ndarray, label: np.ndarray) -> Itera
         yield (i := i[label[i] != label[i + step]]), i + step
 
 
-def _in_large(label: np.ndarray, half: np.ndarray, split: bool) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """Pairs of unlike labels in one group; where it is two blocks (split), only pairs across. Rows of the commonest label
-    are not compared among themselves, so what is connected costs no more."""
+def _in_large(label: np.ndarray, half: np.ndarray, split: bool, closest: bool) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Pairs of unlike labels in one group, those of a row at once; where it is two blocks (split), only pairs across. Rows
+    of the commonest label are not compared among themselves, so what is connected costs no more. With `closest` a row
+    comes with all others, not only those behind it."""
     names, own = np.unique(label, return_inverse=True)
     common = own == np.argmax(np.bincount(own))
     for i in np.flatnonzero(~common) if len(names) > 1 else ():
-        other = (own != own[i]) & (common | (np.arange(len(label)) > i))
+        other = (own != own[i]) & (common | (np.arange(len(label)) > i) | closest)
         j = np.flatnonzero(other & (half != half[i]) if split else other)
         yield np.full(len(j), i), j
 
 
-def _pairs(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Candidates of each group; rows come sorted by group, and one group, of at most two blocks, is held."""
+def _pairs(it: Iterator[pa.RecordBatch], closest: bool = False) -> Iterator[pa.RecordBatch]:
+    """Candidates of each group; rows come sorted by group, and one group, of at most two blocks, is held. With `closest` a
+    row of a large group comes only with the one that its sketch is closest to."""
 
     def paired(t: pa.Table) -> Iterator[pa.RecordBatch]:
         group = np.stack([t.column(c).to_numpy() for c in ("token", "low", "high")])
@@ -172,11 +174,14 @@ def _pairs(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def found() -> Iterator[tuple[np.ndarray, np.ndarray]]:
             yield from _in_small(starts[small], sizes[small], label)
             for a, m in zip(starts[~small].tolist(), sizes[~small].tolist(), strict=True):
-                for i, j in _in_large(label[a : a + m], half[a : a + m], group[1, a] != group[2, a]):
+                for i, j in _in_large(label[a : a + m], half[a : a + m], group[1, a] != group[2, a], closest):
                     yield a + i, a + j
 
         for i, j in found():
+            alone = closest and len(i) > SMALL and (i == i[0]).all()
             i, j, apart = _possible(n, cells, i, j)
+            if alone and len(i):
+                i, j, apart = (x[[np.argmin(apart)]] for x in (i, j, apart))
             if len(i):
                 yield pa.RecordBatch.from_arrays([pa.array(np.minimum(cid[i], cid[j])), pa.array(np.maximum(cid[i], cid[j])), pa.array(apart)], names=["a", "b", "apart"])
 
@@ -190,7 +195,7 @@ def _settled(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     own = sets.where("hashes is not null").select("cid", "hashes").join(wanted, "cid", "left_semi").dropDuplicates(["cid"])
     both = pairs.join(own.toDF("a", "x"), "a").join(own.toDF("b", "y"), "b")
     shared = f"size(array_intersect(x, y)) * {NUM + DEN} >= {NUM} * (size(x) + size(y))"
-    return checkpointed(both.where(shared).select("a", "b"))
+    return written(both.where(shared).select("a", "b"))
 
 
 def near_classes(docs: DataFrame) -> DataFrame:
@@ -207,8 +212,7 @@ def near_classes(docs: DataFrame) -> DataFrame:
     digits = max(4, math.ceil((math.log2(max(rows, 1)) + 2) / 4))
     blocks = 16 * WORDS64 // digits
     prints = sets.where("fp is not null").select("fp", F.col("cid").alias("rep")).dropDuplicates(["rep"])
-    links = _settled(simhash_dedup.close_pairs(prints, RADIUS, 4 * digits * blocks, blocks, 1), sets)
-    found = components(links)
+    close = simhash_dedup.close_pairs(prints, RADIUS, 4 * digits * blocks, blocks, 1)
 
     # what the bands miss
     filed = sets.where("hashes is not null").select("cid", "hashes").mapInArrow(_filed(*_frequent(sets)), "token long, cid long")
@@ -217,16 +221,21 @@ def near_classes(docs: DataFrame) -> DataFrame:
     blocked = blocked.withColumn("block", F.expr("cast(pmod(xxhash64(cid), k) as int)")).withColumn("other", F.explode(F.expr("sequence(0, k - 1)")))
     sized = sets.where("sketch is not null").select("cid", "n", "sketch").join(filed.select("cid").distinct(), "cid", "left_semi").dropDuplicates(["cid"])
     ready = written(blocked.join(sized, "cid").select("token", F.least("block", "other").alias("low"), F.greatest("block", "other").alias("high"), "block", "cid", "n", "sketch"))
-    for closest in (True, False):  # first each class with the one that is closest to it, then all that are not connected yet
-        labelled = ready.join(found, ready.cid == found.id, "left").select(*ready.columns, F.coalesce("component", "cid").alias("label"))
-        pairs = labelled.repartition("token", "low", "high").sortWithinPartitions("token", "low", "high", "n", "cid").mapInArrow(_pairs, "a long, b long, apart long")
-        if closest:
-            ends = pairs.select("a", "b", "apart").union(pairs.select("b", "a", "apart"))
-            pairs = ends.groupBy("a").agg(F.min_by("b", F.struct("apart", "b")).alias("b")).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
-        more = _settled(pairs, sets)
-        if not more.isEmpty():
-            links = links.unionByName(more)
-            found = components(links)
+
+    def candidates(labelled: DataFrame, closest: bool) -> DataFrame:
+        dealt = labelled.repartition("token", "low", "high").sortWithinPartitions("token", "low", "high", "n", "cid")
+        return dealt.mapInArrow(lambda it: _pairs(it, closest), "a long, b long, apart long")
+
+    # first each class with the one that is closest to it, together with the index's pairs
+    pairs = candidates(ready.withColumn("label", F.col("cid")), True)
+    ends = pairs.select("a", "b", "apart").union(pairs.select("b", "a", "apart"))
+    closest = ends.groupBy("a").agg(F.min_by("b", F.struct("apart", "b")).alias("b")).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
+    links = _settled(close.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).union(closest), sets)
+    found = components(links)
+    # then all that are not connected yet
+    more = _settled(candidates(ready.join(found, ready.cid == found.id, "left").select(*ready.columns, F.coalesce("component", "cid").alias("label")), False), sets)
+    if not more.isEmpty():
+        found = components(links.unionByName(more))
     named_by = sets.join(found, sets.cid == found.id, "left").select("doc_id", F.coalesce("component", "cid").alias("component"))
     least = named_by.groupBy("component").agg(F.min("doc_id").alias("component_id"))
     return named_by.join(least, "component").select("doc_id", "component_id")

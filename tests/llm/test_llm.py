@@ -348,10 +348,9 @@ def test_candidates_of_a_shingle_are_all_pairs_of_unlike_labels():
     assert linked and linked <= got <= allowed
 
 
-def test_hot_nodes_are_salted(spark, monkeypatch):
+def test_components_of_a_hot_node(spark):
     from lexloom.llm import components
 
-    monkeypatch.setattr(components, "HOT", 5)
     rows = [(0, i) for i in range(1, 60)] + [(100, 59), (200, 201), (None, 3), (7, 7)]
     got = {r.id: r.component for r in components.components(spark.createDataFrame(rows, "a long, b long")).collect()}
     assert got == {**{i: 0 for i in [*range(60), 100]}, 200: 200, 201: 200}
