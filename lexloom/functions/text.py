@@ -25,7 +25,9 @@ def lexical(text: Column) -> Column:
 
 
 def terms(text: Column, least: int = 2) -> Column:
-    return F.filter(F.split(lexical(text), " "), lambda x: F.length(x) >= least)
+    """The words of lexical(text): runs of letters, digits and hyphens, found in one pass over the text."""
+    runs = F.regexp_replace(F.translate(F.lower(text), "ё", "е"), r"[^a-z0-9\p{L}\p{N}-]+", " ")
+    return F.filter(F.split(runs, " "), lambda x: F.length(x) >= least)
 
 
 def ngrams(text: Column, n: int = config.NGRAM) -> Column:

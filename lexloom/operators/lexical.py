@@ -10,14 +10,26 @@ from lexloom import config
 from lexloom.functions import text as T
 
 
-def postings(paras: DataFrame) -> DataFrame:
-    """(doc_id, paragraph_index, term, tf, len) of every paragraph with a term."""
+def tokens(paras: DataFrame) -> DataFrame:
+    """(doc_id, paragraph_index, len, term): a row for each term of a paragraph, made without a shuffle."""
     counted = paras.select("doc_id", "paragraph_index", T.terms(F.col("text")).alias("t")).withColumn("len", F.size("t"))
-    return counted.withColumn("term", F.explode("t")).groupBy("doc_id", "paragraph_index", "term").agg(F.count("*").alias("tf"), F.first("len").alias("len"))
+    return counted.select("doc_id", "paragraph_index", "len", F.explode("t").alias("term"))
 
 
-def term_stats(posts: DataFrame) -> DataFrame:
-    return posts.groupBy("term").agg(F.count("*").alias("df"), F.sum("tf").alias("cf"))
+def postings(toks: DataFrame, wanted: DataFrame | None = None) -> DataFrame:
+    """(doc_id, paragraph_index, term, tf, len) of tokens; with `wanted` (distinct terms) only theirs, so that no other token
+    is shuffled. Spark broadcasts `wanted` or not by its size."""
+    some = toks if wanted is None else toks.join(wanted, "term")
+    return some.groupBy("doc_id", "paragraph_index", "term").agg(F.count("*").alias("tf"), F.first("len").alias("len"))
+
+
+def term_stats(paras: DataFrame) -> DataFrame:
+    """(term, df, cf) over all paragraphs. A paragraph's terms are sorted and counted in its row, so only partial sums by
+    term are shuffled."""
+    rows = paras.select(F.array_sort(T.terms(F.col("text"))).alias("t")).where(F.size("t") > 0)
+    at = rows.select(F.posexplode("t").alias("i", "term"), "t")
+    first = (F.col("i") == 0) | (F.element_at("t", F.greatest(F.col("i"), F.lit(1))) != F.col("term"))
+    return at.groupBy("term").agg(F.sum(first.cast("long")).alias("df"), F.count("*").alias("cf"))
 
 
 def corpus_stats(paras: DataFrame) -> DataFrame:
@@ -31,18 +43,21 @@ def query_terms(queries: DataFrame) -> DataFrame:
     return queries.select("query_id", F.posexplode(F.array_distinct(T.terms(F.col("query")))).alias("ord", "term"))
 
 
-def bm25(paras: DataFrame, queries: DataFrame, posts: DataFrame | None = None) -> DataFrame:
-    """(query_id, doc_id, paragraph_index, bm25, exact): scores of paragraphs with a query's term. The posting side is
-    filtered by the queries' terms before anything is summed."""
-    posts = posts or postings(paras)
-    asked = query_terms(queries)
-    mine = posts.join(asked, "term")
-    df = posts.join(asked.select("term").distinct(), "term", "left_semi").groupBy("term").agg(F.count("*").alias("df"))
-    scored = mine.join(df, "term").crossJoin(F.broadcast(corpus_stats(paras)))  # one row
+def weight(tf: str = "tf"):
+    """A term's part of BM25, from columns df, n, avgdl, len and tf."""
     idf = F.log(1 + (F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5))
-    norm = F.col("tf") + config.BM25_K1 * (1 - config.BM25_B + config.BM25_B * F.greatest(F.col("len"), F.lit(1)) / F.col("avgdl"))
-    part = idf * F.col("tf") * (config.BM25_K1 + 1) / norm
-    return scored.groupBy("query_id", "doc_id", "paragraph_index").agg(F.sum(part).alias("bm25"), F.count("*").alias("exact"))
+    norm = F.col(tf) + config.BM25_K1 * (1 - config.BM25_B + config.BM25_B * F.greatest(F.col("len"), F.lit(1)) / F.col("avgdl"))
+    return idf * F.col(tf) * (config.BM25_K1 + 1) / norm
+
+
+def bm25(paras: DataFrame, queries: DataFrame) -> DataFrame:
+    """(query_id, doc_id, paragraph_index, bm25, exact): scores of paragraphs with a query's term. Tokens are filtered by the
+    queries' terms before they are shuffled; both uses of the counts read one exchange."""
+    asked = query_terms(queries)
+    posts = postings(tokens(paras), asked.select("term").distinct())
+    df = posts.groupBy("term").agg(F.count("*").alias("df"))
+    scored = posts.join(df, "term").join(asked, "term").crossJoin(F.broadcast(corpus_stats(paras)))  # one row
+    return scored.groupBy("query_id", "doc_id", "paragraph_index").agg(F.sum(weight()).alias("bm25"), F.count("*").alias("exact"))
 
 
 def top(scored: DataFrame, k: int, by: str = "score") -> DataFrame:
@@ -55,7 +70,7 @@ def fuzzy_vocabulary(vocabulary: DataFrame, queries: DataFrame) -> DataFrame:
     threshold. It runs over distinct terms, not postings; equal lengths (one apart, two apart) make it an equi join."""
     asked = query_terms(queries).withColumnRenamed("term", "qterm").where("length(qterm) > 2")
     asked = asked.withColumn("size", F.explode(F.sequence(F.length("qterm") - config.FUZZY_DISTANCE, F.length("qterm") + config.FUZZY_DISTANCE)))
-    near = vocabulary.select("term").where("length(term) > 2").withColumn("size", F.length("term")).join(F.broadcast(asked), "size").where("term <> qterm")
+    near = vocabulary.select("term").where("length(term) > 2").withColumn("size", F.length("term")).join(asked, "size").where("term <> qterm")
     d = F.levenshtein("term", "qterm", config.FUZZY_DISTANCE)
     found = near.withColumn("d", d).where("d >= 0").withColumn("similarity", 1 - F.col("d") / F.greatest(F.length("term"), F.length("qterm")))
     return found.where(F.col("similarity") >= config.FUZZY_ACCEPT).select("query_id", "qterm", "term", T.half_up(F.col("similarity"), 6).alias("similarity"))
@@ -63,15 +78,22 @@ def fuzzy_vocabulary(vocabulary: DataFrame, queries: DataFrame) -> DataFrame:
 
 def full_score(paras: DataFrame, queries: DataFrame) -> DataFrame:
     """(query_id, doc_id, paragraph_index, score): BM25 weighted by coverage, phrase, fuzzy terms and n-gram overlap; kept
-    if the signal is over the least for the query's length, or with the phrase. n-grams are made of kept rows only."""
-    posts = postings(paras)
+    if the signal is over the least for the query's length, or with the phrase. n-grams are made of kept rows only.
+    Only tokens equal or near to a query's term are counted; a term's exact hit in a paragraph rules out its fuzzy ones."""
+    toks = tokens(paras)
     asked = query_terms(queries)
-    exact = bm25(paras, queries, posts)
-    fuzzy_hits = posts.join(fuzzy_vocabulary(posts.select("term").distinct(), queries), "term").groupBy("query_id", "doc_id", "paragraph_index", "qterm").agg(F.max("similarity").alias("s"))
-    has = posts.join(asked, "term").select("query_id", "doc_id", "paragraph_index", F.col("term").alias("qterm"))
-    fuzzy = fuzzy_hits.join(has, ["query_id", "doc_id", "paragraph_index", "qterm"], "left_anti").groupBy("query_id", "doc_id", "paragraph_index").agg(F.sum("s").alias("fuzzy"))
+    near = fuzzy_vocabulary(toks.select("term").distinct(), queries)
+    wanted = asked.select("query_id", F.col("term").alias("qterm"), "term", F.lit(None).cast("double").alias("similarity")).unionByName(near)
+    # the terms' own partitioning is small; what matches is kept by paragraph from here on
+    posts = postings(toks, wanted.select("term").distinct())
+    df = posts.groupBy(F.col("term").alias("qterm")).agg(F.count("*").alias("df"))
+    is_exact = F.col("similarity").isNull()
+    per_term = posts.join(wanted, "term").groupBy("query_id", "doc_id", "paragraph_index", "qterm").agg(F.max("len").alias("len"), F.max(F.when(is_exact, F.col("tf"))).alias("tf"), F.max("similarity").alias("s"))
+    scored = per_term.join(df, "qterm", "left").crossJoin(F.broadcast(corpus_stats(paras)))  # one row
+    both = scored.groupBy("query_id", "doc_id", "paragraph_index").agg(
+        F.coalesce(F.sum(weight()), F.lit(0.0)).alias("bm25"), F.count("tf").alias("exact"), F.coalesce(F.sum(F.when(F.col("tf").isNull(), F.col("s"))), F.lit(0.0)).alias("fuzzy")
+    )
     shape = queries.select("query_id", T.lexical(F.col("query")).alias("q")).join(asked.groupBy("query_id").agg(F.count("*").alias("size")), "query_id")
-    both = exact.join(fuzzy, ["query_id", "doc_id", "paragraph_index"], "full").na.fill(0)
     joined = both.join(shape, "query_id").join(paras.select("doc_id", "paragraph_index", T.lexical(F.col("text")).alias("t")), ["doc_id", "paragraph_index"])
     signal = F.col("exact") + config.FUZZY_WEIGHT * F.col("fuzzy")
     least = F.when(F.col("size") >= 6, 2.3).when(F.col("size") >= 4, 1.9).when(F.col("size") >= 3, 1.4).otherwise(0.8)

@@ -162,7 +162,7 @@ def canonical_text(spark, d):
 
 @query(f"WITH {PARA}, {POST} SELECT * FROM vocab")
 def term_stats(spark, d):
-    return lexical.term_stats(lexical.postings(paras(spark, d)))
+    return lexical.term_stats(paras(spark, d))
 
 
 @query(f"WITH {PARA}, {POST} SELECT n, round(avgdl, 6) AS avgdl FROM stats")
@@ -178,7 +178,7 @@ def lex_bm25_topk(spark, d):
 
 @query(f"WITH {PARA}, {ASK}, {POST}, {FUZZY} SELECT * FROM fuzzy")
 def lex_fuzzy_vocab(spark, d):
-    return lexical.fuzzy_vocabulary(lexical.postings(paras(spark, d)).select("term").distinct(), asked(spark))
+    return lexical.fuzzy_vocabulary(lexical.tokens(paras(spark, d)).select("term").distinct(), asked(spark))
 
 
 @query(f"WITH {ASK}, b AS (SELECT item_id, {LEX('text')} AS t FROM benchmark), q AS (SELECT query_id, {LEX('query')} AS q FROM ask) SELECT query_id, item_id, {HALF(DICE(GRAMS('q'), GRAMS('t')))} AS dice FROM q CROSS JOIN b")
@@ -212,9 +212,9 @@ def scene_scores(spark, d):
     return placed.groupBy("query_id", "doc_id", "scene_index").agg(T.half_up(F.sum("score"), 6).alias("score"))
 
 
-@query(ALL + "SELECT query_id, t.doc_id, paragraph_index, score, rank FROM tp t WHERE rank <= 20 AND NOT EXISTS (SELECT 1 FROM scene s WHERE s.doc_id = t.doc_id AND s.scene_index % 2 = 1 AND t.paragraph_index BETWEEN s.paragraph_start AND s.paragraph_end)")
+@query(ALL + "SELECT query_id, t.doc_id, paragraph_index, score, rank FROM tp t WHERE rank <= 20 AND NOT EXISTS (SELECT 1 FROM scene s WHERE s.doc_id = t.doc_id AND s.paragraph_end - s.paragraph_start = 6 AND t.paragraph_index BETWEEN s.paragraph_start AND s.paragraph_end)")
 def coverage_anti(spark, d):
-    return evidence.uncovered(hits(spark, d), segment.scenes(lengths(spark, d)).where("scene_index % 2 = 1"))
+    return evidence.uncovered(hits(spark, d), segment.scenes(lengths(spark, d)).where("paragraph_end - paragraph_start = 6"))
 
 
 @query(ALL + ", i AS (SELECT t.*, EXISTS (SELECT 1 FROM scene s WHERE s.doc_id = t.doc_id AND s.scene_index > 1 AND t.paragraph_index BETWEEN s.paragraph_start AND s.paragraph_end) AS inside FROM tp t WHERE rank <= 20), c AS (SELECT *, count(CASE WHEN inside THEN 1 END) OVER (PARTITION BY query_id) AS n_inside FROM i) SELECT query_id, doc_id, paragraph_index, score, rank FROM c WHERE n_inside = 0 OR inside")
@@ -239,10 +239,10 @@ def evidence_groups(spark, d):
     return evidence.groups(hits(spark, d), lengths(spark, d))
 
 
-@query(f"WITH {SCENE} SELECT s.doc_id, paragraph_start, paragraph_end, string_agg(text, chr(10) || chr(10) ORDER BY paragraph_index) AS text FROM scene s JOIN para p ON p.doc_id = s.doc_id AND paragraph_index BETWEEN paragraph_start AND paragraph_end WHERE s.scene_index = 2 GROUP BY 1, 2, 3")
+@query(f"WITH {SCENE} SELECT s.doc_id, paragraph_start, paragraph_end, string_agg(text, chr(10) || chr(10) ORDER BY paragraph_index) AS text FROM scene s JOIN para p ON p.doc_id = s.doc_id AND paragraph_index BETWEEN paragraph_start AND paragraph_end GROUP BY 1, 2, 3")
 def paragraph_slices(spark, d):
     p = paras(spark, d)
-    return evidence.slice_text(p, segment.scenes(segment.sizes(p)).where("scene_index = 2"))
+    return evidence.slice_text(p, segment.scenes(segment.sizes(p)))
 
 
 def near(spark, d, k=10):
@@ -287,6 +287,23 @@ def rrf_hybrid(spark, d):
     return vector.fused(near(spark, d, 20).withColumnRenamed("vec_id", "ref"), second_list(spark, d))
 
 
+HYBRID = f"""{ALL}, lx AS (SELECT query_id, doc_id AS ref, CAST(row_number() OVER (PARTITION BY query_id ORDER BY max(score) DESC, doc_id) AS INTEGER) AS rank FROM ss GROUP BY 1, 2),
+    {VEC.replace("near AS", "nearest AS").replace("a.vec_id % 100 = 0 AND a.vec_id <> b.vec_id", "a.vec_id IN (SELECT query_id FROM ask) AND a.vec_id <> b.vec_id")},
+    fu AS (SELECT query_id, ref, {HALF('coalesce(0.5E0 / (12 + s.rank), 0) + coalesce(0.5E0 / (12 + l.rank), 0)')} AS score FROM (SELECT query_id, vec_id AS ref, rank FROM nearest WHERE rank <= 40) s FULL JOIN (SELECT * FROM lx WHERE rank <= 40) l USING (query_id, ref))
+    SELECT query_id, ref, score, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, ref) AS INTEGER) AS rank FROM fu"""
+
+
+@query(HYBRID.replace(", lx AS", f", {SCENE_SUM}, lx AS", 1))
+def hybrid_documents(spark, d):
+    """Documents by the fusion of two searches: lexical (a document counts by its best scene) and vectors (the document of
+    a vector has its id; a query's vector is that of its id)."""
+    v = read(spark, d, "embeddings")
+    scenes = scene_scores(spark, d).groupBy("query_id", F.col("doc_id").alias("ref")).agg(F.max("score").alias("score"))
+    by_text = scenes.withColumn("rank", F.expr("row_number() OVER (PARTITION BY query_id ORDER BY score DESC, ref)")).where("rank <= 40")
+    by_vector = vector.cosine_topk(v, v.join(asked(spark).select(F.col("query_id").alias("vec_id")), "vec_id", "left_semi"), 40).withColumnRenamed("vec_id", "ref")
+    return vector.fused(by_vector, by_text)
+
+
 @query(f"WITH {LISTS}, rr AS (SELECT query_id, ref, (ref * 7) % 101 AS score FROM ra WHERE ref % 3 = 0), o AS (SELECT ra.query_id, ra.ref, CAST(row_number() OVER (PARTITION BY ra.query_id ORDER BY rr.score IS NULL, rr.score DESC, ra.rank, ra.ref) AS INTEGER) AS position FROM ra LEFT JOIN rr USING (query_id, ref)) SELECT * FROM o WHERE position <= 12")
 def rerank_fillup(spark, d):
     fused = rrf_hybrid(spark, d)

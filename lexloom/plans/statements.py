@@ -92,7 +92,7 @@ _add("history_compaction", """SELECT conv_id, n, CASE WHEN n <= 4 THEN 0 ELSE n
     FROM (SELECT conv_id, count(*) AS n, CAST(sum(length(text)) AS BIGINT) AS chars FROM {conversations} GROUP BY conv_id)""")
 _add("upsert_merge", """SELECT id, value, source FROM (SELECT *, row_number() OVER (PARTITION BY id ORDER BY updated DESC, source) AS r FROM (SELECT user_id AS id, value, ts AS updated, 'old' AS source FROM {events} WHERE event_type = 'view'
     UNION ALL SELECT user_id, value, ts, 'new' FROM {events} WHERE event_type = 'click') u) WHERE r = 1""")
-_add("insert_ignore", "SELECT user_id, count(*) AS n FROM {events} e WHERE event_type = 'signup' AND NOT EXISTS (SELECT 1 FROM {orders} o WHERE o.o_custkey = e.user_id) GROUP BY user_id")
+_add("insert_ignore", "SELECT user_id, count(*) AS n FROM {events} e WHERE event_type = 'signup' AND NOT EXISTS (SELECT 1 FROM {orders} o WHERE o.o_custkey = e.user_id AND o.o_orderstatus = 'P') GROUP BY user_id")
 _add("update_from_join", "SELECT o.o_orderkey, coalesce(c.c_nationkey, -1) AS nation FROM {orders} o LEFT JOIN {customer} c ON c.c_custkey = o.o_custkey")
 _add("version_alloc", """SELECT doc_id, source, CAST(sum(changed) OVER (PARTITION BY source ORDER BY doc_id) AS BIGINT) AS version FROM (SELECT doc_id, source, CASE WHEN lag(@sha) OVER (PARTITION BY source ORDER BY doc_id) = @sha THEN 0 ELSE 1 END AS changed FROM {documents})""")
 _add("attempt_alloc", "SELECT event_id, user_id, row_number() OVER (PARTITION BY user_id, event_type ORDER BY ts, event_id) AS attempt FROM {events}")

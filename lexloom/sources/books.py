@@ -19,29 +19,48 @@ MARKS = {"b": "bold", "strong": "bold", "i": "italic", "em": "italic", "emphasis
 SCHEMA = "chapter int, chapter_title string, block int, type string, level int, text string, marks array<string>, error string"
 
 
+#: A paragraph without end tag ends where one of these begins.
+ENDS_P = {"p", "li", "ul", "ol", "blockquote", "pre", "h1", "h2", "h3", "h4", "h5", "h6", "div", "table", "section", "article"}
+
+
 class _Blocks(HTMLParser):
-    """Blocks of a page as (type, level, text, marks used)."""
+    """Blocks of a page as (type, level, text, marks used). The outermost block holds all text to its own end tag; what stands
+    inside it counts as inline. End tags that HTML lets out are put in for p and li."""
 
     def __init__(self):
         super().__init__(convert_charrefs=True)
         self.out, self.open, self.skip, self.text, self.marks = [], None, 0, [], set()
+        self.tag, self.depth, self.lists = "", 0, 0
 
     def handle_starttag(self, tag, attrs):
         if tag in SKIPPED:
             self.skip += 1
-        elif tag in BLOCKS:
+            return
+        if self.open and ((self.tag == "p" and tag in ENDS_P) or (self.tag == tag == "li" and not self.lists)):
             self._end()
-            self.open = BLOCKS[tag]
-        elif tag == "br":
-            self.text.append("\n")
-        elif tag in MARKS and self.open:
-            self.marks.add(MARKS[tag])
+        if self.open:
+            self.depth += tag == self.tag
+            self.lists += tag in ("ul", "ol")
+            if tag == "br":
+                self.text.append("\n")
+            elif tag in BLOCKS and tag != "q":
+                self.text.append(" ")
+            elif tag in MARKS:
+                self.marks.add(MARKS[tag])
+        elif tag in BLOCKS:
+            self.open, self.tag, self.depth, self.lists = BLOCKS[tag], tag, 1, 0
 
     def handle_endtag(self, tag):
         if tag in SKIPPED:
             self.skip = max(0, self.skip - 1)
-        elif tag in BLOCKS:
-            self._end()
+        elif self.open and tag in ("ul", "ol"):
+            if self.tag == "li" and not self.lists:
+                self._end()
+            self.lists = max(0, self.lists - 1)
+        elif self.open and tag == self.tag:
+            self.depth -= 1
+            if not self.depth:
+                self._end()
 
     def handle_data(self, data):
         if self.open and not self.skip:
