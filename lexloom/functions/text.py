@@ -20,13 +20,13 @@ def canonical(text: Column) -> Column:
 
 def lexical(text: Column) -> Column:
     """Lower case, one form of e with diaeresis in Cyrillic, letters, digits, hyphens and single blanks only."""
-    plain = F.translate(F.lower(text), "ё", "е")
+    plain = F.replace(F.lower(text), F.lit("ё"), F.lit("е"))
     return F.trim(F.regexp_replace(F.regexp_replace(plain, r"(?U)[^\p{L}\p{N}\s-]+", " "), r"(?U)\s+", " "))
 
 
 def terms(text: Column, least: int = 2) -> Column:
     """The words of lexical(text): runs of letters, digits and hyphens, found in one pass over the text."""
-    runs = F.regexp_replace(F.translate(F.lower(text), "ё", "е"), r"[^a-z0-9\p{L}\p{N}-]+", " ")
+    runs = F.regexp_replace(F.replace(F.lower(text), F.lit("ё"), F.lit("е")), r"[^a-z0-9\p{L}\p{N}-]+", " ")
     return F.filter(F.split(runs, " "), lambda x: F.length(x) >= least)
 
 

@@ -43,6 +43,11 @@ def query_terms(queries: DataFrame) -> DataFrame:
     return queries.select("query_id", F.posexplode(F.array_distinct(T.terms(F.col("query")))).alias("ord", "term"))
 
 
+def frequencies(posts: DataFrame) -> DataFrame:
+    """(term, df). It reads all columns of posts, so that this use and the scores' have the same plan and share one shuffle."""
+    return posts.groupBy("term").agg(F.count(F.when((F.col("len") > 0) & (F.col("tf") > 0), 1)).alias("df"))
+
+
 def weight(tf: str = "tf"):
     """A term's part of BM25, from columns df, n, avgdl, len and tf."""
     idf = F.log(1 + (F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5))
@@ -55,7 +60,7 @@ def bm25(paras: DataFrame, queries: DataFrame) -> DataFrame:
     queries' terms before they are shuffled; both uses of the counts read one exchange."""
     asked = query_terms(queries)
     posts = postings(tokens(paras), asked.select("term").distinct())
-    df = posts.groupBy("term").agg(F.count("*").alias("df"))
+    df = frequencies(posts)
     scored = posts.join(df, "term").join(asked, "term").crossJoin(F.broadcast(corpus_stats(paras)))  # one row
     return scored.groupBy("query_id", "doc_id", "paragraph_index").agg(F.sum(weight()).alias("bm25"), F.count("*").alias("exact"))
 
@@ -86,7 +91,7 @@ def full_score(paras: DataFrame, queries: DataFrame) -> DataFrame:
     wanted = asked.select("query_id", F.col("term").alias("qterm"), "term", F.lit(None).cast("double").alias("similarity")).unionByName(near)
     # the terms' own partitioning is small; what matches is kept by paragraph from here on
     posts = postings(toks, wanted.select("term").distinct())
-    df = posts.groupBy(F.col("term").alias("qterm")).agg(F.count("*").alias("df"))
+    df = frequencies(posts).withColumnRenamed("term", "qterm")
     is_exact = F.col("similarity").isNull()
     per_term = posts.join(wanted, "term").groupBy("query_id", "doc_id", "paragraph_index", "qterm").agg(F.max("len").alias("len"), F.max(F.when(is_exact, F.col("tf"))).alias("tf"), F.max("similarity").alias("s"))
     scored = per_term.join(df, "qterm", "left").crossJoin(F.broadcast(corpus_stats(paras)))  # one row
