@@ -22,30 +22,69 @@ def neighbours(chosen: DataFrame, scenes: DataFrame, reach: int = 1) -> DataFram
     return near.join(scenes, ["doc_id", "scene_index"])
 
 
-def slices(hits: DataFrame, lengths: DataFrame) -> DataFrame:
-    """Up to two slices per query and document where three hits or more lie within a short span: the densest first (ties: higher
-    scores, shorter, earlier), not overlapping, with a margin, at most a width. Choosing is greedy, so it folds in a group."""
-
-    def choose(g: pd.DataFrame) -> pd.DataFrame:
-        g = g.sort_values("paragraph_index")
-        at, score = g["paragraph_index"].tolist(), g["score"].tolist()
-        found = []
-        for i in range(len(at)):
-            for j in range(i + 2, len(at)):
-                if at[j] - at[i] + 1 > config.SLICE_SPAN:
-                    break
-                found.append((-(j - i + 1), -sum(score[i : j + 1]), at[j] - at[i], at[i], at[j]))
-        out: list[tuple] = []
-        for n, _, _, a, b in sorted(found):
-            lo, hi = max(1, a - config.SLICE_MARGIN), min(int(g["n"].iloc[0]), b + config.SLICE_MARGIN)
-            if hi - lo + 1 > config.SLICE_WIDTH:
-                lo = max(1, (a + b) // 2 - config.SLICE_WIDTH // 2 + 1)
-                hi = lo + config.SLICE_WIDTH - 1
-            if len(out) < config.SLICES_PER_SEARCH and all(hi < x[2] or x[3] < lo for x in out):
-                out.append((g["query_id"].iloc[0], g["doc_id"].iloc[0], lo, hi, -n))
-        return pd.DataFrame(out, columns=["query_id", "doc_id", "paragraph_start", "paragraph_end", "hits"])
-
-    return hits.dropDuplicates(["query_id", "doc_id", "paragraph_index"]).join(lengths, "doc_id").groupBy("query_id", "doc_id").applyInPandas(choose, "query_id int, doc_id long, paragraph_start int, paragraph_end int, hits int")
+def placed(hits: DataFrame, scenes: DataFrame) -> DataFrame:
+    """One row for each (query_id, doc_id, paragraph_index), of its highest score, with its first scene and that scene's bounds
+    (null outside all)."""
+    inside = scenes.select("doc_id", F.struct("scene_index", "paragraph_start", "paragraph_end").alias("scene"), F.explode(F.sequence("paragraph_start", "paragraph_end")).alias("paragraph_index"))
+    first = inside.groupBy("doc_id", "paragraph_index").agg(F.min("scene").alias("scene"))
+    best = hits.groupBy("query_id", "doc_id", "paragraph_index").agg(F.max("score").alias("score"))
+    return best.join(first, ["doc_id", "paragraph_index"], "left").select("query_id", "doc_id", "paragraph_index", "score", "scene")
+
+
+def clusters(hits: DataFrame, span: int = config.SLICE_SPAN) -> DataFrame:
+    """All runs of three or more of a document's placed hits within `span` paragraphs. A hit's run ends are read from a frame of
+    at most `span` rows, so a document with many hits needs no group of its own. `scene` is set where all hits share it."""
+    frame = Window.partitionBy("query_id", "doc_id").orderBy("paragraph_index").rangeBetween(0, span - 1)
+    ahead = hits.withColumn("w", F.collect_list(F.struct(F.col("paragraph_index").alias("p"), "score", "scene")).over(frame)).where("size(w) > 2")
+    ends = ahead.select("query_id", "doc_id", "w", F.explode(F.sequence(F.lit(3), F.size("w"))).alias("hits"))
+    run = F.slice("w", F.lit(1), F.col("hits"))
+    ends = ends.withColumn("hit_start", F.col("w")[0].p).withColumn("hit_end", F.element_at(run, -1).p)
+    total = F.round(F.aggregate(run, F.lit(0.0), lambda x, h: x + h.score), 6)
+    shared = F.when(F.forall(run, lambda h: h.scene == F.col("w")[0].scene), F.col("w")[0].scene)
+    return ends.select("query_id", "doc_id", "hits", total.alias("score"), "hit_start", "hit_end", shared.alias("scene"))
+
+
+def slice_of(cluster: DataFrame, margin: int, width: int) -> DataFrame:
+    """A cluster's slice (lo, hi): its margin on both sides, within its scene if that is not over `width`, at most `width`."""
+    scene, hit_span = F.col("scene"), F.col("hit_end") - F.col("hit_start") + 1
+    narrow = scene.isNotNull() & (scene.paragraph_end - scene.paragraph_start < width)
+    lo, hi = F.greatest(F.lit(1), F.col("hit_start") - margin), F.col("hit_end") + margin
+    open_ = cluster.withColumn("lo", F.when(narrow, F.greatest(scene.paragraph_start, lo)).otherwise(lo)).withColumn("hi", F.when(narrow, F.least(scene.paragraph_end, hi)).otherwise(hi))
+    centred = F.when(hit_span >= width, F.col("hit_start")).otherwise(F.greatest(F.lit(1), F.col("hit_start") - F.floor((width - hit_span) / 2).cast("int")))
+    wide = F.col("hi") - F.col("lo") + 1 > width
+    cut = open_.withColumn("from", F.when(wide, F.when((hit_span < width) & (centred + width - 1 < F.col("hit_end")), F.greatest(F.lit(1), F.col("hit_end") - width + 1)).otherwise(centred)).otherwise(F.col("lo")))
+    return cut.withColumn("hi", F.when(wide, F.col("from") + width - 1).otherwise(F.col("hi"))).withColumn("lo", F.col("from")).drop("from")
+
+
+def slices(hits: DataFrame, scenes: DataFrame, most: int = config.SLICES_PER_SEARCH, span: int = config.SLICE_SPAN, margin: int = config.SLICE_MARGIN, width: int = config.SLICE_WIDTH) -> DataFrame:
+    """Up to `most` slices for a query: its densest clusters first (then higher scores, shorter, earlier documents, earlier
+    places), none that shares a paragraph with one before. A cluster in a scene that goes on behind its slice takes the next
+    slice for the scene's rest (reason scene_continuation). Null or non-positive paragraphs are no hits, null scores zero.
+
+    `most` is small, so each choice is one aggregation over all queries; no query's clusters are gathered."""
+    usable = hits.where("paragraph_index > 0").withColumn("score", F.coalesce("score", F.lit(0.0)))
+    left = slice_of(clusters(placed(usable, scenes), span), margin, width)
+    order = F.struct((-F.col("hits")).alias("h"), (-F.col("score")).alias("s"), (F.col("hit_end") - F.col("hit_start")).alias("span"), "doc_id", "hit_start")
+    chosen = None
+    for _ in range(most):
+        used = None if chosen is None else chosen.groupBy("query_id").agg(F.count("*").alias("used"))
+        free = left if used is None else left.join(used, "query_id", "left").where(F.coalesce("used", F.lit(0)) < most).drop("used")
+        if chosen is not None:
+            f, c = free.alias("f"), chosen.alias("c")
+            meets = (F.col("f.query_id") == F.col("c.query_id")) & (F.col("f.doc_id") == F.col("c.doc_id")) & (F.greatest("f.hit_start", "c.hit_start") <= F.least("f.hit_end", "c.hit_end"))
+            free = f.join(c, meets, "left_anti")
+        best = free.groupBy("query_id").agg(F.min_by(F.struct(*left.columns), order).alias("b")).select("b.*")
+        at = F.col("lo"), F.col("hi"), F.col("hits"), F.lit("clustered_hits")
+        behind = F.col("hi") + 1, F.least(F.col("scene.paragraph_end"), F.col("hi") + width), F.lit(0), F.lit("scene_continuation")
+        names = ("paragraph_start", "paragraph_end", "hits", "reason")
+        both = best.select("query_id", "doc_id", "hit_start", "hit_end", F.col("scene").isNotNull().alias("goes_on"), F.posexplode(F.array(*(F.struct(*(c.alias(n) for c, n in zip(x, names, strict=True))) for x in (at, behind)))).alias("i", "x"))
+        plans = both.where("i = 0 OR (goes_on AND x.paragraph_end > x.paragraph_start)").select("query_id", "doc_id", "hit_start", "hit_end", "x.*")
+        if chosen is None:
+            chosen = plans if most > 1 else plans.where("reason = 'clustered_hits'")
+        else:  # a continuation needs room for both
+            room = plans.join(used, "query_id", "left").where((F.col("reason") == "clustered_hits") | (F.coalesce("used", F.lit(0)) + 2 <= most)).drop("used")
+            chosen = chosen.unionByName(room)
+    return chosen
 
 
 def groups(hits: DataFrame, lengths: DataFrame, widest: int = config.GROUP_PARAGRAPHS) -> DataFrame:

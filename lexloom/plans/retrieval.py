@@ -229,9 +229,23 @@ def scene_neighbours(spark, d):
     return evidence.neighbours(chosen, scenes)
 
 
-@query()
+#: The reference's order and bounds, by a band join of hits; scenes here are 60 paragraphs wide, so that some go on behind a slice.
+PLANS = """, sw AS (SELECT doc_id, CAST(g.s AS INTEGER) AS a, CAST(least(g.s + 59, n) AS INTEGER) AS b FROM sz, unnest(range(1, n + 1, 60)) AS g(s)),
+    hs AS (SELECT query_id, f.doc_id, paragraph_index AS p, score, a, b FROM fs f LEFT JOIN sw ON sw.doc_id = f.doc_id AND paragraph_index BETWEEN a AND b),
+    ca AS (SELECT x.query_id, x.doc_id, x.p AS hit_start, y.p AS hit_end, count(*) AS hits, round(sum(m.score), 6) AS score, CASE WHEN min(m.a) = max(m.a) THEN min(m.a) END AS a, CASE WHEN min(m.a) = max(m.a) THEN min(m.b) END AS b
+        FROM hs x JOIN hs y ON y.query_id = x.query_id AND y.doc_id = x.doc_id AND y.p BETWEEN x.p + 2 AND x.p + 31 JOIN hs m ON m.query_id = x.query_id AND m.doc_id = x.doc_id AND m.p BETWEEN x.p AND y.p GROUP BY 1, 2, 3, 4 HAVING count(*) > 2),
+    sl AS (SELECT *, CASE WHEN b - a < 48 THEN greatest(a, hit_start - 6, 1) ELSE greatest(1, hit_start - 6) END AS lo, CASE WHEN b - a < 48 THEN least(b, hit_end + 6) ELSE hit_end + 6 END AS hi FROM ca),
+    c1 AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY hits DESC, score DESC, hit_end - hit_start, doc_id, hit_start) AS r FROM sl) WHERE r = 1),
+    t1 AS (SELECT * FROM c1 WHERE b IS NOT NULL AND least(b, hi + 48) > hi + 1),
+    c2 AS (SELECT * FROM (SELECT sl.*, row_number() OVER (PARTITION BY sl.query_id ORDER BY sl.hits DESC, sl.score DESC, sl.hit_end - sl.hit_start, sl.doc_id, sl.hit_start) AS r FROM sl JOIN c1 ON c1.query_id = sl.query_id
+        WHERE NOT (c1.doc_id = sl.doc_id AND greatest(c1.hit_start, sl.hit_start) <= least(c1.hit_end, sl.hit_end)) AND sl.query_id NOT IN (SELECT query_id FROM t1)) WHERE r = 1),
+    pl AS (SELECT query_id, doc_id, hit_start, hit_end, lo AS paragraph_start, hi AS paragraph_end, hits, 'clustered_hits' AS reason FROM (SELECT * FROM c1 UNION ALL SELECT * FROM c2)
+        UNION ALL SELECT query_id, doc_id, hit_start, hit_end, hi + 1, least(b, hi + 48), 0, 'scene_continuation' FROM t1)"""
+
+
+@query(ALL + PLANS + " SELECT * FROM pl")
 def slice_plans(spark, d):
-    return evidence.slices(lexical.full_score(paras(spark, d), asked(spark)), lengths(spark, d))
+    return evidence.slices(lexical.full_score(paras(spark, d), asked(spark)), segment.scenes(lengths(spark, d), 60))
 
 
 @query()

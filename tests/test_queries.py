@@ -51,10 +51,25 @@ def test_windows_in_a_scene(spark):
     assert sorted((r.window_start, r.window_end) for r in segment.windows_in(b, 5, 2).collect()) == [(1, 5), (4, 8), (5, 9)]
 
 
-def test_dense_hits_make_one_slice(spark):
-    h = spark.createDataFrame([(1, 1, p, 1.0) for p in (37, 39, 41, 45, 47, 51, 56)], "query_id int, doc_id long, paragraph_index int, score double")
-    n = spark.createDataFrame([(1, 200)], "doc_id long, n int")
-    assert [tuple(r)[2:] for r in evidence.slices(h, n).collect()] == [(31, 62, 7)]
+HITS = "query_id int, doc_id long, paragraph_index int, score double"
+SCENES = "doc_id long, scene_index int, paragraph_start int, paragraph_end int"
+
+
+def slices_of(spark, at, scenes=(), **shape):
+    found = evidence.slices(spark.createDataFrame([(1, d, p, 1.0) for d, p in at], HITS), spark.createDataFrame(list(scenes), SCENES), **shape)
+    return sorted((r.doc_id, r.paragraph_start, r.paragraph_end, r.hits, r.reason) for r in found.collect())
+
+
+def test_slices_of_hits(spark):
+    dense = [(17, p) for p in (37, 39, 41, 45, 47, 51, 56)]
+    assert slices_of(spark, dense + dense) == [(17, 31, 62, 7, "clustered_hits")]
+    assert slices_of(spark, [(1, 3), (1, 58), (1, 140), (4, 9), (9, 220)]) == []
+    assert slices_of(spark, [(1, 10), (1, 20), (1, 30)], margin=20, width=24) == [(1, 9, 32, 3, "clustered_hits")]
+    assert slices_of(spark, [(1, 10), (1, 11), (1, 12)], [(1, 4, 8, 14)]) == [(1, 8, 14, 3, "clustered_hits")]
+    assert slices_of(spark, [(1, 20), (1, 35), (1, 47)], [(1, 1, 1, 120)]) == [(1, 14, 53, 3, "clustered_hits"), (1, 54, 101, 0, "scene_continuation")]
+    two = [(1, p) for p in (5, 6, 7, 8)] + [(2, p) for p in (5, 6, 7)] + [(3, p) for p in (50, 51, 52)]
+    assert slices_of(spark, two) == [(1, 1, 14, 4, "clustered_hits"), (2, 1, 13, 3, "clustered_hits")]
+    assert len(slices_of(spark, two, most=3)) == 3 and slices_of(spark, []) == []
 
 
 def test_fusion_prefers_what_both_lists_have(spark):
