@@ -6,7 +6,10 @@ import math
 import duckdb
 import pytest
 
-from lexloom.operators import evidence, segment, vector
+from pyspark.sql import functions as F
+
+from lexloom.functions import rules
+from lexloom.operators import evidence, intake, segment, vector
 from lexloom.plans import registry
 from lexloom.sources import books
 from lexloom.streaming import events
@@ -91,3 +94,41 @@ def test_stream_equals_batch(spark, tmp_path):
     q = stream.writeStream.format("memory").queryName("series").outputMode("complete").trigger(availableNow=True).option("checkpointLocation", str(tmp_path / "cp")).start()
     q.awaitTermination(120)
     assert spark.sql("select sum(turns) from series").first()[0] == spark.read.parquet(f"{SF}/events.parquet").count()
+
+
+def col(spark, expr, **values):
+    return spark.range(1).select(expr(**{k: F.lit(v) for k, v in values.items()}).alias("x")).first().x
+
+
+def test_rules_on_single_values(spark):
+    def lock(s):
+        h = 0x811C9DC5
+        for unit in memoryview(s.encode("utf-16-le")).cast("H"):
+            h = (h ^ unit) * 0x01000193 & 0xFFFFFFFF
+        return h - 2**32 if h >= 2**31 else h
+
+    for s in ("", "book:1", "Книга 7", "a\U0001f333b"):
+        assert col(spark, rules.lock_key, text=s) == lock(s)
+    errors = {"HTTP status: 503": True, "status=404": False, "Socket hang up": True, "status 429 x": True, "invalid": False, "": False}
+    assert {m: col(spark, rules.retriable, message=m) for m in errors} == errors
+    answers = {' {"a": 1} ': '{"a": 1}', '```json\n{"a": 2}\n``` {': '{"a": 2}', 'x {"a": {"b": 3}} y': '{"a": {"b": 3}}', "{oops": None, "": None, "[1]": None}
+    assert {t: col(spark, rules.lenient_json, text=t) for t in answers} == answers
+    long = "a plain summary of what was said in the talk about whales and the sea, told anew"
+    assert [spark.range(1).select(rules.suspicious(F.lit(s), F.array(*map(F.lit, src))).alias("x")).first().x for s, src in (("short", [""]), ("ab" + "A" * 70, [""]), (long, ["other words of some length here"]), (long, ["He said: " + long.upper()]), (long, [long]))] == [True, True, False, True, True]
+    levels = [(0.8, ["rerank"], "high"), (0.1, ["semantic", "lexical"], "high"), (0.6, ["semantic"], "medium"), (0.1, ["rerank", "lexical"], "medium"), (0.5, ["lexical"], "low"), (0.9, ["lexical"], "medium")]
+    assert [spark.range(1).select(rules.confidence(F.lit(s), F.array(*map(F.lit, by))).alias("x")).first().x for s, by, _ in levels] == [x for *_, x in levels]
+
+
+def test_intake_operators_on_ties_nulls_and_empty_tables(spark):
+    q = spark.createDataFrame([(1, 0, " A  b"), (1, 1, "a b"), (1, 2, " "), (1, 3, None), (1, 4, "c")], "g int, o int, query string")
+    assert [r["query"] for r in intake.query_pool(q, "g", ["o"]).orderBy("place").collect()] == ["A  b", "c"]
+    assert intake.query_pool(q, "g", ["o"], most=1).count() == 1 and intake.query_pool(q.limit(0), "g", ["o"]).count() == 0
+    i = spark.createDataFrame([(1, "a", 0), (1, None, 1), (1, "a", 2), (1, " ", 3), (2, "a", 0)], "g int, raw string, position int")
+    assert [r.unique_id for r in intake.unique_ids(i, "g", "raw", "position").orderBy("g", "position").collect()] == ["a", "record_1", "a__dup_1_2", "record_3", "a"]
+    r = spark.createDataFrame([(1, 7, 1), (1, 7, 2), (1, 8, 3), (1, 9, 4), (2, 7, 1)], "user_id int, item int, at int")
+    added = intake.with_slots(r, spark.createDataFrame([(1, 3)], "user_id int, n int"))
+    assert sorted((x.user_id, x.item, x.added) for x in added.collect()) == [(1, 7, True), (1, 8, True), (1, 9, False), (2, 7, True)]
+    u = spark.createDataFrame([("1-3 | s | b1; B1; b2 | a | c", 1, 9), ("4\t6\tsum\tb\ta; a", 1, 9), ("8 — 12 | s | b | a | c", 1, 9), ("x | 2 | s | b | a", 1, 9), ("1|2|s| ; |a", 1, 9), ("```", 1, 9), (None, 1, 9), ("1-2 | s | b | a", 1, 9)], "line string, lo int, hi int")
+    assert sorted((x.paragraph_start, x.paragraph_end, x.beats, x.anchors, x.error) for x in intake.search_units(u).collect()) == [(1, 2, [], ["a"], "no beats"), (1, 3, ["b1", "b2"], ["a", "c"], None), (4, 6, ["b"], ["a"], None), (8, 12, ["b"], ["a", "c"], "outside")]
+    b = intake.block_offsets(spark.createDataFrame([(1, " a\r\n\r\n\r\nb c \n\n\n d"), (2, None), (3, "")], "doc_id int, text string"))
+    assert sorted((x.doc_id, x.block, x.start_char, x.end_char, x.text) for x in b.collect()) == [(1, 1, 0, 1, "a"), (1, 2, 3, 10, "b c\n\n d")]
