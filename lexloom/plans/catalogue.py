@@ -160,12 +160,13 @@ def message_list(spark, d):
     return said.groupBy("conv_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("turn", "role", one.alias("m")))), lambda x: x.m), ",").alias("messages"), F.count("quality").alias("measured"))
 
 
-@query("""WITH r AS (SELECT * FROM orders ORDER BY o_orderdate DESC, o_orderkey LIMIT 50) SELECT o_orderkey AS run, o_orderstatus AS state, string_agg(concat(l_linenumber, l_linestatus), ',' ORDER BY l_linenumber, l_linestatus) AS stages, CAST(coalesce(sum(l_quantity), 0) AS BIGINT) AS tokens FROM r LEFT JOIN lineitem ON l_orderkey = o_orderkey GROUP BY 1, 2""")
+@query("""WITH r AS (SELECT * FROM orders ORDER BY o_orderdate DESC, o_orderkey LIMIT 50) SELECT o_orderkey AS run, o_orderstatus AS state, string_agg(concat(l_linenumber, l_linestatus), ',' ORDER BY l_linenumber, l_linestatus) FILTER (l_linenumber IS NOT NULL) AS stages, CAST(coalesce(sum(l_quantity), 0) AS BIGINT) AS tokens FROM r LEFT JOIN lineitem ON l_orderkey = o_orderkey GROUP BY 1, 2""")
 def run_details(spark, d):
     runs = read(spark, d, "orders").orderBy(F.desc("o_orderdate"), "o_orderkey").limit(50).select(F.col("o_orderkey").alias("run"), F.col("o_orderstatus").alias("state"))
     stages = read(spark, d, "lineitem").select(F.col("l_orderkey").alias("run"), "l_linenumber", "l_linestatus", "l_quantity")
     of_runs = runs.join(stages, "run", "left").groupBy("run", "state").agg(F.array_sort(F.collect_list(F.struct("l_linenumber", "l_linestatus"))).alias("s"), F.coalesce(F.sum("l_quantity"), F.lit(0)).cast("long").alias("tokens"))
-    return of_runs.select("run", "state", F.nullif(F.array_join(F.transform(F.filter("s", lambda x: x.l_linenumber.isNotNull()), lambda x: F.concat(x.l_linenumber.cast("string"), x.l_linestatus)), ","), F.lit("")).alias("stages"), "tokens")
+    listed = F.transform(F.filter("s", lambda x: x.l_linenumber.isNotNull()), lambda x: F.concat(x.l_linenumber.cast("string"), x.l_linestatus))
+    return of_runs.select("run", "state", F.nullif(F.array_join(listed, ","), F.lit("")).alias("stages"), "tokens")
 
 
 @query("SELECT l_orderkey AS run, l_linenumber AS artifact, (SELECT count(*) FROM lineitem WHERE l_returnflag = 'R') AS total FROM lineitem WHERE l_returnflag = 'R' ORDER BY l_shipdate DESC, l_orderkey, l_linenumber LIMIT 200 OFFSET 200")
