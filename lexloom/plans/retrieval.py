@@ -150,7 +150,9 @@ def scene_repair(spark, d):
     return segment.repaired(proposals(spark, d), lengths(spark, d))
 
 
-@query()
+@query(f"""{"WITH RECURSIVE " + PARA}, c AS (SELECT doc_id, paragraph_index AS i, ceil((length(CAST(paragraph_index AS VARCHAR)) + 16 + length(text)) / 4E0) AS cost FROM para),
+    walk AS (SELECT doc_id, i, cost AS used, i AS start FROM c WHERE i = 1 UNION ALL SELECT c.doc_id, c.i, CASE WHEN used + cost > 300 THEN cost ELSE used + cost END, CASE WHEN used + cost > 300 THEN c.i ELSE start END FROM walk JOIN c ON c.doc_id = walk.doc_id AND c.i = walk.i + 1)
+    SELECT doc_id, start AS paragraph_start, max(i) AS paragraph_end FROM walk GROUP BY doc_id, start""")
 def segment_packing(spark, d):
     return segment.packed_segments(paras(spark, d), budget=300)
 
@@ -248,7 +250,9 @@ def slice_plans(spark, d):
     return evidence.slices(lexical.full_score(paras(spark, d), asked(spark)), segment.scenes(lengths(spark, d), 60))
 
 
-@query()
+@query(ALL.replace("WITH ", "WITH RECURSIVE ", 1) + """, k AS (SELECT t.query_id, t.doc_id, greatest(1, paragraph_index - 1) AS lo, least(n, paragraph_index + 1) AS hi, row_number() OVER (PARTITION BY t.query_id, t.doc_id ORDER BY paragraph_index) AS i FROM tp t JOIN sz ON sz.doc_id = t.doc_id WHERE rank <= 20),
+    walk AS (SELECT query_id, doc_id, i, lo, hi FROM k WHERE i = 1 UNION ALL SELECT k.query_id, k.doc_id, k.i, CASE WHEN (k.lo <= w.hi + 1 AND k.hi - w.lo + 1 <= 4) OR k.hi <= w.hi THEN w.lo ELSE greatest(k.lo, w.hi + 1) END, greatest(w.hi, k.hi) FROM walk w JOIN k ON k.query_id = w.query_id AND k.doc_id = w.doc_id AND k.i = w.i + 1)
+    SELECT query_id, doc_id, 'ev_ch' || doc_id || '_p' || lo || '_' || max(hi) AS group_id, lo AS paragraph_start, max(hi) AS paragraph_end FROM walk GROUP BY query_id, doc_id, lo""")
 def evidence_groups(spark, d):
     return evidence.groups(hits(spark, d), lengths(spark, d))
 
