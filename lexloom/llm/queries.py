@@ -63,6 +63,23 @@ QUERIES = {f.__name__: f for f in (
 )}
 
 SQL = {
+    # windows are cut turn by turn, hence the recursion; a turn's markup counts 4 tokens and 8 characters, an escaped character 2
+    "op1_chat_windows": r"""
+        WITH RECURSIVE c AS (SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
+            UNION ALL VALUES (-7, 0, 'user', '</s>[INST] ok [/INST]'), (-7, 1, 'assistant', '</s>[INST] ok [/INST]')),
+        f AS (SELECT *, len(regexp_extract_all(text, '[\p{L}\p{N}]+|[^\p{L}\p{N}\s]')) + 4 AS tokens, 8 + length(role || text) + length(regexp_replace(role || text, '[^\\<\[\]]', '', 'g')) AS chars,
+            row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text) AS i FROM c),
+        g AS (SELECT *, sum(tokens) OVER w AS upto, first(role) OVER w = 'system' AS has_system, 832 - CASE WHEN first(role) OVER w = 'system' THEN first(tokens) OVER w ELSE 0 END AS room
+            FROM f WINDOW w AS (PARTITION BY conv_id ORDER BY i ROWS UNBOUNDED PRECEDING)),
+        walk AS (SELECT conv_id, i, CAST(0 AS HUGEINT) AS base, i AS start FROM g WHERE i = 1 UNION ALL
+            SELECT g.conv_id, g.i, CASE WHEN upto - base > room AND upto - tokens > base THEN upto - tokens ELSE base END, CASE WHEN upto - base > room AND upto - tokens > base THEN g.i ELSE start END
+            FROM walk JOIN g ON g.conv_id = walk.conv_id AND g.i = walk.i + 1),
+        spans AS (SELECT conv_id, start, max(i) AS last, max(base) AS base FROM walk GROUP BY conv_id, start),
+        per_window AS (SELECT s.conv_id, s.start, sum(g.chars) AS chars FROM spans s JOIN g ON g.conv_id = s.conv_id AND (g.i BETWEEN s.start AND s.last OR (has_system AND g.i = 1)
+            OR (g.i < s.start AND g.i >= greatest(s.start - 8, CASE WHEN has_system THEN 2 ELSE 1 END) AND s.base - (g.upto - g.tokens) <= 192)) GROUP BY s.conv_id, s.start),
+        formatted AS (SELECT conv_id, CAST(sum(chars) AS BIGINT) AS formatted_chars, count(*) AS n_windows FROM per_window GROUP BY conv_id),
+        said AS (SELECT conv_id, count(*) AS n_turns, sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY i)) AS turns_sha256, coalesce(string_agg(text, '' ORDER BY i) FILTER (role = 'assistant'), '') AS loss FROM f GROUP BY conv_id)
+        SELECT conv_id, n_turns, turns_sha256, length(loss) AS loss_chars, sha256(loss) AS loss_sha256, formatted_chars, n_windows FROM said JOIN formatted USING (conv_id)""",
     "op10_maxscore_topk": """
         WITH v AS (SELECT vec_id, list_transform(embedding, lambda x: CAST(floor(256 * CAST(x AS DOUBLE)) AS BIGINT)) AS q FROM embeddings
                    WHERE len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),

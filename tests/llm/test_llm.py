@@ -649,3 +649,15 @@ def test_pieces_are_the_tokenizers(spark):
         used[r.sequence_id] += r.length
     assert max(used.values()) <= 4096 and sorted(used) == list(range(len(used)))
     assert pattern_packing.packed_report(df.limit(0)).count() == 0
+
+
+@pytest.mark.parametrize("name", sorted(queries.SQL))
+def test_queries_with_sql(spark, name):
+    import duckdb
+
+    con = duckdb.connect()
+    for t in ("conversations", "embeddings"):
+        con.sql(f"create view {t} as select * from '/root/testdata/sf0.001/{t}.parquet'")
+    df = queries.QUERIES[name](spark, "/root/testdata/sf0.001")
+    res = con.sql(queries.SQL[name])
+    assert sorted(map(str, (tuple(r[c] for c in df.columns) for r in df.collect()))) == sorted(map(str, (tuple(r[res.columns.index(c)] for c in df.columns) for r in res.fetchall())))
