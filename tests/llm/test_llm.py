@@ -8,7 +8,7 @@ import numpy as np
 import pytest
 import xxhash
 
-from lexloom.llm import chat_format, html_extract, license_scan, maxscore_topk, pattern_packing, pii, quality_rules, simhash_dedup, source_mixing, suffix_dedup
+from lexloom.llm import chat_format, html_extract, license_scan, maxscore_topk, pattern_packing, pii, quality_rules, queries, simhash_dedup, source_mixing, suffix_dedup
 
 TEXTS = ["the quick brown fox jumps over the lazy dog " * 3, "the quick brown fox jumps over the lazy dog " * 3, None, "", "Licensed under the MIT License.\nmail a.1@x.example.com or +1 (017) 555-7713", "x" * 400, "ä ö \n\n ü\t", "Released under the Apache License, Version 2.0"]
 
