@@ -20,15 +20,14 @@ def cosine_topk(vectors: DataFrame, queries: DataFrame, k: int = 10, dims: int =
     """(query_id, rank, vec_id, score, eligible) for a stated query set; eligible counts the candidates before the limit.
 
     Candidates are dealt to blocks by their ids and every query goes to every block, so that the join has a key: Spark broadcasts
-    the queries if they are few, and shuffles both sides by block if not. Each block keeps k a query before blocks meet."""
+    the queries if they are few, and shuffles both sides by block if not. Spark limits each task to k a query before it shuffles."""
     c = guarded(vectors, dims).select("vec_id", "v", "norm").withColumn("block", F.pmod(F.xxhash64("vec_id"), F.lit(blocks)).cast("int"))
     q = guarded(queries, dims).select(F.col("vec_id").alias("query_id"), F.col("v").alias("qv"), F.col("norm").alias("qnorm"), F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("block"))
     n = c.agg(F.count("*").alias("all"))
     dot = F.aggregate(F.zip_with("v", "qv", lambda a, b: a * b), F.lit(0.0), lambda a, x: a + x)
     pairs = c.join(q, "block").where("vec_id <> query_id").withColumn("score", half_up(F.coalesce(F.try_divide(dot, F.col("norm") * F.col("qnorm")), F.lit(0.0)), 6)).drop("v", "qv", "norm", "qnorm")
-    best = lambda *by: F.row_number().over(Window.partitionBy("query_id", *by).orderBy(F.desc("score"), "vec_id"))
-    of_block = pairs.withColumn("rank", best("block")).where(F.col("rank") <= k)
-    ranked = of_block.withColumn("rank", best()).where(F.col("rank") <= k)
+    best = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
+    ranked = pairs.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k)
     return ranked.crossJoin(F.broadcast(n)).select("query_id", "rank", "vec_id", "score", (F.col("all") - 1).alias("eligible"))  # one row
 
 
