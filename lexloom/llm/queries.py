@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from lexloom.llm import chat_format, html_extract, license_scan, maxscore_topk, pattern_packing, pii, quality_rules, simhash_dedup, source_mixing, suffix_dedup
+from lexloom.llm import chat_format, fill_middle, html_extract, license_scan, maxscore_topk, pattern_packing, pii, quality_rules, simhash_dedup, source_mixing, spelling, suffix_dedup
 from lexloom.llm.common import read
 
 PROBE = "</s>[INST] ok [/INST]"
@@ -52,6 +52,16 @@ def op10_maxscore_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     return maxscore_topk.top_k(read(spark, sf_dir, "embeddings"))
 
 
+def op11_fill_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every text cut for filling in its middle, as digests."""
+    return fill_middle.fill_middle_report(read(spark, sf_dir, "documents"))
+
+
+def op13_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every frequent word of all texts with its near words' count, its form and its root."""
+    return spelling.spelling_variants(read(spark, sf_dir, "documents"))
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     import corpus_pipeline
 
@@ -59,7 +69,7 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {f.__name__: f for f in (
-    op1_chat_windows, op2_pattern_packing, op3_html_extraction, op4_quality_rules, op5_suffix_dedup, op6_source_mixing, op7_license_scan, op8_pii_spans, op9_simhash_components, op10_maxscore_topk, pipeline,
+    op1_chat_windows, op2_pattern_packing, op3_html_extraction, op4_quality_rules, op5_suffix_dedup, op6_source_mixing, op7_license_scan, op8_pii_spans, op9_simhash_components, op10_maxscore_topk, op11_fill_middle, op13_spelling_variants, pipeline,
 )}
 
 SQL = {
@@ -80,6 +90,14 @@ SQL = {
         formatted AS (SELECT conv_id, CAST(sum(chars) AS BIGINT) AS formatted_chars, count(*) AS n_windows FROM per_window GROUP BY conv_id),
         said AS (SELECT conv_id, count(*) AS n_turns, sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY i)) AS turns_sha256, coalesce(string_agg(text, '' ORDER BY i) FILTER (role = 'assistant'), '') AS loss FROM f GROUP BY conv_id)
         SELECT conv_id, n_turns, turns_sha256, length(loss) AS loss_chars, sha256(loss) AS loss_sha256, formatted_chars, n_windows FROM said JOIN formatted USING (conv_id)""",
+    "op11_fill_middle": """
+        WITH d AS (SELECT doc_id, coalesce(text, '') AS t, sha256('1:' || coalesce(CAST(doc_id AS VARCHAR), '')) AS h FROM documents),
+        k AS (SELECT doc_id, t, length(t) AS n, list_transform([1, 9, 17, 25], lambda i: CAST('0x' || substr(h, i, 8) AS BIGINT)) AS h FROM d),
+        c AS (SELECT *, least(h[1] % (n + 1), h[2] % (n + 1)) AS a, greatest(h[1] % (n + 1), h[2] % (n + 1)) AS b,
+            CASE WHEN t = '' OR contains(t, '<P>') OR contains(t, '<S>') OR contains(t, '<M>') OR h[3] % 100 >= 90 THEN 'plain' WHEN h[4] % 100 < 20 THEN 'spm' ELSE 'psm' END AS form FROM k)
+        SELECT doc_id, n, form, CASE WHEN form <> 'plain' THEN a END AS prefix_chars, CASE WHEN form <> 'plain' THEN b - a END AS middle_chars,
+            sha256(CASE form WHEN 'plain' THEN t WHEN 'psm' THEN '<P>' || substr(t, 1, a) || '<S>' || substr(t, b + 1) || '<M>' || substr(t, a + 1, b - a)
+                ELSE '<S>' || substr(t, b + 1) || '<P>' || substr(t, 1, a) || '<M>' || substr(t, a + 1, b - a) END) AS output_sha256, sha256(t) AS restored_sha256 FROM c""",
     "op10_maxscore_topk": """
         WITH v AS (SELECT vec_id, list_transform(embedding, lambda x: CAST(floor(256 * CAST(x AS DOUBLE)) AS BIGINT)) AS q FROM embeddings
                    WHERE len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
