@@ -81,9 +81,9 @@ def grams(chars: np.ndarray, q: int) -> np.ndarray:
     return codes
 
 
-def pair_costs(words: DataFrame) -> np.ndarray:
-    """For two adjacent characters how common the second is behind the first, as a number that grows with it. A table of
-    256 x 256 at most comes to the driver, whatever the vocabulary."""
+def chances(words: DataFrame) -> tuple[np.ndarray, np.ndarray]:
+    """How common a character is in a word, and how common it is behind another, as numbers that grow with it; padding goes on
+    for certain. A table of 256 x 256 at most comes to the driver, whatever the vocabulary."""
 
     def batches(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen = np.zeros(65_536, np.int64)
@@ -96,18 +96,21 @@ def pair_costs(words: DataFrame) -> np.ndarray:
     counts = np.zeros((256, 256))
     for r in words.select("word").mapInArrow(batches, "pair long, n long").groupBy("pair").agg(F.sum("n").alias("n")).collect():
         counts[r["pair"] // 256, r["pair"] % 256] = r["n"]
-    likely = (counts + 0.5) / (counts.sum(1, keepdims=True) + 128)
-    return np.round(1000 * np.log(likely)).astype(np.int64)
+    all_of = counts.sum(1, keepdims=True)
+    steps = np.round(1000 * np.log((counts + 0.5) / (all_of + 128))).astype(np.int64)
+    firsts = np.round(1000 * np.log((all_of[:, 0] + 0.5) / max(all_of[START, 0], 1))).astype(np.int64)
+    steps[START, START] = steps[END, END] = firsts[START] = 0
+    return firsts, steps
 
 
-def rarest(chars: np.ndarray, q: int, costs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+def rarest(chars: np.ndarray, q: int, likely: tuple[np.ndarray, np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
     """Numbers and places of the q + 1 rarest grams of each row: by the chance that their characters follow on each other,
     then by number and place, an order that all words share."""
     codes, (rows, length) = grams(chars, q), chars.shape
     padded = np.concatenate([np.full((rows, q - 1), START), chars, np.full((rows, q - 1), END)], axis=1).astype(np.int64)
-    steps = costs[padded[:, :-1], padded[:, 1:]]
+    steps = likely[1][padded[:, :-1], padded[:, 1:]]
     upto = np.concatenate([np.zeros((rows, 1), np.int64), np.cumsum(steps, axis=1)], axis=1)
-    chance = upto[:, q - 1 :] - upto[:, : upto.shape[1] - q + 1]
+    chance = upto[:, q - 1 :] - upto[:, : upto.shape[1] - q + 1] + likely[0][padded[:, : codes.shape[1]]]
     at = np.lexsort((codes, chance), axis=1)[:, : q + 1]
     return np.take_along_axis(codes, at, 1), at
 
@@ -115,7 +118,7 @@ def rarest(chars: np.ndarray, q: int, costs: np.ndarray) -> tuple[np.ndarray, np
 POSTING = "m int, list long, at int, word binary, n long"
 
 
-def postings(words: DataFrame, costs: np.ndarray, shortest: int = 5) -> DataFrame:
+def postings(words: DataFrame, likely: tuple[np.ndarray, np.ndarray], shortest: int = 5) -> DataFrame:
     """The index: for the shorter length m of a pair (the word's own, or one less) the rarest grams of each word. `at` is twice
     the gram's place, and one more where the word is the longer one."""
 
@@ -129,7 +132,7 @@ def postings(words: DataFrame, costs: np.ndarray, shortest: int = 5) -> DataFram
                     some = rows[begin : begin + step]
                     for m in (length, length - 1)[: 1 + (length > shortest)]:
                         q = gram_size(m)
-                        codes, places = rarest(matrix([w for w, _ in some]), q, costs)
+                        codes, places = rarest(matrix([w for w, _ in some]), q, likely)
                         width = codes.shape[1]
                         key = (codes * np.uint64(0x9E3779B97F4A7C15) ^ np.uint64(m)).view(np.int64).ravel()
                         columns = (np.full(key.size, m, np.int32), key, (places * 2 + (length - m)).astype(np.int32).ravel())
@@ -195,7 +198,7 @@ def met(rows: dict[str, np.ndarray], q: int) -> Iterator[tuple[np.ndarray, np.nd
 def near_words(words: DataFrame, shortest: int = 5) -> DataFrame:
     """(word, near, n): for each word (latin-1 bytes) every word one edit apart and how often that occurs; a pair comes once a
     direction, or more often where it shares several rare grams."""
-    posts = written(postings(words, pair_costs(words), shortest))
+    posts = written(postings(words, chances(words), shortest))
     hot = written(posts.groupBy("m", "list").agg(F.count("*").alias("size")).where(F.col("size") > BLOCK).select("m", "list", F.ceil(F.col("size") / BLOCK).cast("int").alias("blocks")))
     block = F.pmod(F.xxhash64("word"), F.col("blocks")).cast("int")
     cell = lambda j: F.struct(F.least("block", j).alias("x"), F.greatest("block", j).alias("y"))
