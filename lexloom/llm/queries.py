@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from lexloom.llm import chat_format, fill_middle, html_extract, license_scan, maxscore_topk, pattern_packing, pii, quality_rules, simhash_dedup, source_mixing, spelling, suffix_dedup
+from lexloom.llm import chat_format, fill_middle, html_extract, license_scan, maxscore_topk, pattern_packing, pii, quality_rules, secret_scan, simhash_dedup, source_mixing, spelling, suffix_dedup
 from lexloom.llm.common import read
 
 PROBE = "</s>[INST] ok [/INST]"
@@ -57,6 +57,11 @@ def op11_fill_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fill_middle.fill_middle_report(read(spark, sf_dir, "documents"))
 
 
+def op12_secret_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The secrets of every text: base matches and what the field tags."""
+    return secret_scan.secret_report(read(spark, sf_dir, "documents"))
+
+
 def op13_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every frequent word of all texts with its near words' count, its form and its root."""
     return spelling.spelling_variants(read(spark, sf_dir, "documents"))
@@ -69,7 +74,7 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {f.__name__: f for f in (
-    op1_chat_windows, op2_pattern_packing, op3_html_extraction, op4_quality_rules, op5_suffix_dedup, op6_source_mixing, op7_license_scan, op8_pii_spans, op9_simhash_components, op10_maxscore_topk, op11_fill_middle, op13_spelling_variants, pipeline,
+    op1_chat_windows, op2_pattern_packing, op3_html_extraction, op4_quality_rules, op5_suffix_dedup, op6_source_mixing, op7_license_scan, op8_pii_spans, op9_simhash_components, op10_maxscore_topk, op11_fill_middle, op12_secret_spans, op13_spelling_variants, pipeline,
 )}
 
 SQL = {
