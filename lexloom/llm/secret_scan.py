@@ -173,7 +173,7 @@ class Field:
             tag = np.where(on & (k > 0), came[k][np.arange(len(tag)), tag], tag)
 
 
-def train(rows: np.ndarray, tags: np.ndarray, rounds: int = 150, rate: float = 0.1, keep: float = 2e-4) -> Field:
+def train(rows: np.ndarray, tags: np.ndarray, rounds: int = 120, rate: float = 0.1, keep: float = 2e-4) -> Field:
     """A field fitted to windows (rows: window x place x feature; tags: window x place) by the likelihood's gradient."""
     windows, places, n_features = rows.shape
     size = int(sum(SIZES))
@@ -314,9 +314,9 @@ def examples(texts: list[str], seed: int = 5, forms: tuple[str, ...] = FORMS, pl
     return tokens.rows[some], told
 
 
-def fit(docs: DataFrame, sample: int = 300, chars: int = 3000, seed: int = 5, forms: tuple[str, ...] = FORMS) -> Field:
+def fit(docs: DataFrame, sample: int = 120, chars: int = 3000, seed: int = 5, forms: tuple[str, ...] = FORMS) -> Field:
     """A field trained on stretches of `chars` characters at most of `sample` texts, those of the smallest hashes of doc_id;
-    the bound keeps what comes to the driver below a megabyte or two. Without any text the look-alikes and secrets stand alone."""
+    the bound keeps what comes to the driver below a megabyte or two, and the fit to some seconds. Without any text the look-alikes and secrets stand alone."""
     picked = docs.where("text <> ''").select(F.xxhash64(F.col("doc_id").cast("string"), F.lit(seed)).alias("h"), F.substring("text", 1, chars).alias("text")).orderBy("h", "text").limit(sample)
     texts = [row["text"] for row in picked.collect()]
     r = random.Random(seed)
