@@ -316,8 +316,11 @@ def examples(texts: list[str], seed: int = 5, forms: tuple[str, ...] = FORMS, pl
 
 def fit(docs: DataFrame, sample: int = 120, chars: int = 3000, seed: int = 5, forms: tuple[str, ...] = FORMS) -> Field:
     """A field trained on stretches of `chars` characters at most of `sample` texts, those of the smallest hashes of doc_id;
-    the bound keeps what comes to the driver below a megabyte or two, and the fit to some seconds. Without any text the look-alikes and secrets stand alone."""
-    picked = docs.where("text <> ''").select(F.xxhash64(F.col("doc_id").cast("string"), F.lit(seed)).alias("h"), F.substring("text", 1, chars).alias("text")).orderBy("h", "text").limit(sample)
+    the bound keeps what comes to the driver below a megabyte or two, and the fit to some seconds. The hashes are ranked without
+    the texts, so that tasks send no text that is not taken. Without any text the look-alikes and secrets stand alone."""
+    h = F.xxhash64(F.col("doc_id").cast("string"), F.lit(seed))
+    most = docs.select(h.alias("h")).orderBy("h").limit(sample).agg(F.max("h")).first()[0]
+    picked = docs.where((h <= F.lit(most)) & (F.col("text") != "")).select(h.alias("h"), F.substring("text", 1, chars).alias("text")).orderBy("h", "text").limit(sample)
     texts = [row["text"] for row in picked.collect()]
     r = random.Random(seed)
     plain = ["\n".join(" ".join(_any(r, string.ascii_lowercase, 1, 9) for _ in range(9)) for _ in range(40)) for _ in range(max(0, 60 - len(texts)))]
