@@ -81,10 +81,11 @@ def fuzzy_vocabulary(vocabulary: DataFrame, queries: DataFrame) -> DataFrame:
     return found.where(F.col("similarity") >= config.FUZZY_ACCEPT).select("query_id", "qterm", "term", T.half_up(F.col("similarity"), 6).alias("similarity"))
 
 
-def full_score(paras: DataFrame, queries: DataFrame) -> DataFrame:
+def full_score(paras: DataFrame, queries: DataFrame, matched: bool = False) -> DataFrame:
     """(query_id, doc_id, paragraph_index, score): BM25 weighted by coverage, phrase, fuzzy terms and n-gram overlap; kept
     if the signal is over the least for the query's length, or with the phrase. n-grams are made of kept rows only.
-    Only tokens equal or near to a query's term are counted; a term's exact hit in a paragraph rules out its fuzzy ones."""
+    Only tokens equal or near to a query's term are counted; a term's exact hit in a paragraph rules out its fuzzy ones.
+    With `matched`, the query's terms that a paragraph has, or has a near one of, come along in the query's order."""
     toks = tokens(paras)
     asked = query_terms(queries)
     near = fuzzy_vocabulary(toks.select("term").distinct(), queries)
@@ -95,8 +96,9 @@ def full_score(paras: DataFrame, queries: DataFrame) -> DataFrame:
     is_exact = F.col("similarity").isNull()
     per_term = posts.join(wanted, "term").groupBy("query_id", "doc_id", "paragraph_index", "qterm").agg(F.max("len").alias("len"), F.max(F.when(is_exact, F.col("tf"))).alias("tf"), F.max("similarity").alias("s"))
     scored = per_term.join(df, "qterm", "left").crossJoin(F.broadcast(corpus_stats(paras)))  # one row
+    found = [F.collect_list("qterm").alias("found")] if matched else []
     both = scored.groupBy("query_id", "doc_id", "paragraph_index").agg(
-        F.coalesce(F.sum(weight()), F.lit(0.0)).alias("bm25"), F.count("tf").alias("exact"), F.coalesce(F.sum(F.when(F.col("tf").isNull(), F.col("s"))), F.lit(0.0)).alias("fuzzy")
+        F.coalesce(F.sum(weight()), F.lit(0.0)).alias("bm25"), F.count("tf").alias("exact"), F.coalesce(F.sum(F.when(F.col("tf").isNull(), F.col("s"))), F.lit(0.0)).alias("fuzzy"), *found
     )
     shape = queries.select("query_id", T.lexical(F.col("query")).alias("q")).join(asked.groupBy("query_id").agg(F.count("*").alias("size")), "query_id")
     joined = both.join(shape, "query_id").join(paras.select("doc_id", "paragraph_index", T.lexical(F.col("text")).alias("t")), ["doc_id", "paragraph_index"])
@@ -105,4 +107,5 @@ def full_score(paras: DataFrame, queries: DataFrame) -> DataFrame:
     kept = joined.withColumn("phrase", F.when((F.length("q") >= 6) & F.contains("t", "q"), 1).otherwise(0)).where((signal >= least) | (F.col("phrase") == 1))
     cover = signal / F.col("size")
     score = F.col("bm25") * (0.4 + cover) + F.col("phrase") + 4 * cover + 1.2 * F.col("fuzzy") + 0.6 * T.dice(T.ngrams(F.col("q")), T.ngrams(F.col("t")))
-    return kept.select("query_id", "doc_id", "paragraph_index", T.half_up(score, 6).alias("score"))
+    in_order = [F.filter(F.array_distinct(T.terms(F.col("q"))), lambda t: F.array_contains("found", t)).alias("matched")] if matched else []
+    return kept.select("query_id", "doc_id", "paragraph_index", T.half_up(score, 6).alias("score"), *in_order)

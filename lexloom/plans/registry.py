@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from lexloom.plans import catalogue, retrieval, statements
+from lexloom.plans import catalogue, hybrid, retrieval, statements
 
-QUERIES: dict = dict(retrieval.QUERIES) | dict(statements.QUERIES) | dict(catalogue.QUERIES)
-SQL: dict[str, str] = dict(retrieval.SQL) | dict(statements.SQL) | dict(catalogue.SQL)
+QUERIES: dict = dict(retrieval.QUERIES) | dict(statements.QUERIES) | dict(catalogue.QUERIES) | dict(hybrid.QUERIES)
+SQL: dict[str, str] = dict(retrieval.SQL) | dict(statements.SQL) | dict(catalogue.SQL) | dict(hybrid.SQL)
