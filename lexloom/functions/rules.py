@@ -108,3 +108,15 @@ def shaped(text: Column, kind: Column) -> Column:
     for name, most in SHAPED.items():
         out = F.when(kind == name, T.clamped(text, most)).otherwise(out)
     return out
+
+
+def month_on(anchor: Column, k: Column) -> Column:
+    """The instant k months after an anchor: its day, or the month's last, at its time of day."""
+    day = F.add_months(anchor.cast("date"), k.cast("int")).cast("timestamp")
+    return F.timestamp_micros(F.unix_micros(day) + F.unix_micros(anchor) - F.unix_micros(anchor.cast("date").cast("timestamp")))
+
+
+def period_of(anchor: Column, at: Column) -> Column:
+    """Which of the anchor's months an instant falls in, from 0."""
+    k = (F.year(at) - F.year(anchor)) * 12 + F.month(at) - F.month(anchor)
+    return F.when(month_on(anchor, k) <= at, k).otherwise(k - 1)

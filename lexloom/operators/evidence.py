@@ -114,7 +114,7 @@ def slice_text(paras: DataFrame, ranges: DataFrame) -> DataFrame:
 def in_scope(hits: DataFrame, scope: DataFrame) -> DataFrame:
     """Hits inside the scope's intervals; all of a query's hits if none is."""
     h, s = hits.alias("h"), scope.select("doc_id", "paragraph_start", "paragraph_end").alias("s")
-    inside = h.join(s, (F.col("h.doc_id") == F.col("s.doc_id")) & F.col("h.paragraph_index").between(F.col("s.paragraph_start"), F.col("s.paragraph_end")), "left_semi").withColumn("inside", F.lit(1))
-    marked = hits.join(inside.select("query_id", "doc_id", "paragraph_index", "inside"), ["query_id", "doc_id", "paragraph_index"], "left")
-    some = F.count("inside").over(Window.partitionBy("query_id"))
-    return marked.withColumn("some", some).where("some = 0 or inside = 1").drop("some", "inside")
+    inside = h.join(s, (F.col("h.doc_id") == F.col("s.doc_id")) & F.col("h.paragraph_index").between(F.col("s.paragraph_start"), F.col("s.paragraph_end")), "left_semi").withColumn("__inside", F.lit(1))
+    marked = hits.join(inside.select("query_id", "doc_id", "paragraph_index", "__inside"), ["query_id", "doc_id", "paragraph_index"], "left")
+    some = F.count("__inside").over(Window.partitionBy("query_id"))
+    return marked.withColumn("__some", some).where("__some = 0 or __inside = 1").drop("__some", "__inside")

@@ -8,6 +8,7 @@ from pyspark.sql.window import Window
 
 from lexloom.functions import rules
 from lexloom.functions import text as T
+from lexloom.operators import segment
 
 
 def block_offsets(docs: DataFrame) -> DataFrame:
@@ -28,9 +29,9 @@ def search_units(lines: DataFrame, facts: int = 12, anchors: int = 8) -> DataFra
     parts = F.transform(F.when(line.contains("\t"), F.split(line, "\t")).otherwise(F.split(line, r"\|")), trim)
     rows = lines.withColumn("p", parts).where(~line.startswith("```") & (F.size(parts) >= 5))
     both = r"^(\d+)\s*[-–—]\s*(\d+)$"
-    ranged, number = F.col("p")[0].rlike(both), r"^([+-]?\d+)"
-    first = F.when(ranged, F.regexp_extract(F.col("p")[0], both, 1)).otherwise(F.regexp_extract(F.col("p")[0], number, 1))
-    last = F.when(ranged, F.regexp_extract(F.col("p")[0], both, 2)).otherwise(F.regexp_extract(F.col("p")[1], number, 1))
+    ranged, number = F.get("p", F.lit(0)).rlike(both), r"^([+-]?\d+)"
+    first = F.when(ranged, F.regexp_extract(F.get("p", F.lit(0)), both, 1)).otherwise(F.regexp_extract(F.get("p", F.lit(0)), number, 1))
+    last = F.when(ranged, F.regexp_extract(F.get("p", F.lit(0)), both, 2)).otherwise(F.regexp_extract(F.get("p", F.lit(1)), number, 1))
     at = F.when(ranged, 1).otherwise(2)
     rest = F.array_join(F.slice("p", at + 3, F.size("p")), "; ")
     read = rows.withColumns({"paragraph_start": F.try_to_number(first, F.lit("S9999999999")).cast("int"), "paragraph_end": F.try_to_number(last, F.lit("S9999999999")).cast("int"),
@@ -40,13 +41,39 @@ def search_units(lines: DataFrame, facts: int = 12, anchors: int = 8) -> DataFra
     return read.where("paragraph_start IS NOT NULL AND paragraph_end IS NOT NULL").withColumn("error", error).drop("p")
 
 
+def segmentation(responses: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Responses (segment_id, content, lo, hi) to their scenes and their errors. A response with a bad unit, or with none, gives no
+    scene but one row (segment_id, line, error): its first bad line from 1, or no line. The units of the others are repaired
+    to follow on each other from lo to hi: (segment_id, scene_index, paragraph_start, paragraph_end, summary, beats, anchors)."""
+    lines = responses.select("segment_id", "lo", "hi", F.posexplode(F.split(F.coalesce("content", F.lit("")), "\r?\n")).alias("line_no", "line"))
+    units = search_units(lines).withColumn("line_no", F.col("line_no") + 1)
+    bad = units.where("error IS NOT NULL").groupBy("segment_id").agg(F.min(F.struct(F.col("line_no").alias("line"), "error")).alias("e")).select("segment_id", "e.line", "e.error")
+    any_unit = units.select("segment_id").distinct()
+    empty = F.when(F.regexp_replace(F.coalesce("content", F.lit("")), r"\s+", "") == "", "empty response").otherwise("no units")
+    none = responses.join(any_unit, "segment_id", "left_anti").select("segment_id", F.lit(None).cast("int").alias("line"), empty.alias("error"))
+    good = units.join(bad.select("segment_id"), "segment_id", "left_anti")
+    names = ["segment_id", "scene_index", "paragraph_start", "paragraph_end", "summary", "beats", "anchors"]
+    return segment.repaired_within(good, ["segment_id"]).select(*names), bad.unionByName(none)
+
+
+def strict_segmentation(units: DataFrame) -> DataFrame:
+    """The strict form: units (segment_id, lo, hi, paragraph_start, paragraph_end) are not repaired. One row for each segment that
+    breaks the rules, with the first broken one: a unit outside, a gap, an overlap, a start or an end that is not the segment's."""
+    order = Window.partitionBy("segment_id").orderBy("paragraph_start", "paragraph_end")
+    before, after = F.lag("paragraph_end").over(order), F.lead("paragraph_start").over(order)
+    outside = (F.col("paragraph_start") < F.col("lo")) | (F.col("paragraph_end") > F.col("hi")) | (F.col("paragraph_start") > F.col("paragraph_end"))
+    error = F.when(outside, "outside").when(before.isNull() & (F.col("paragraph_start") != F.col("lo")), "start").when(F.col("paragraph_start") > before + 1, "gap").when(F.col("paragraph_start") <= before, "overlap").when(after.isNull() & (F.col("paragraph_end") != F.col("hi")), "end")
+    judged = units.withColumn("error", error).where("error IS NOT NULL")
+    return judged.groupBy("segment_id").agg(F.min_by("error", F.struct("paragraph_start", "paragraph_end")).alias("error"))
+
+
 def unique_ids(rows: DataFrame, group: str, raw: str, position: str) -> DataFrame:
     """Adds unique_id: the trimmed id (record_<position> where it is blank), and for its repeats within a group how many came
     before and the position. Positions count from 0."""
     base = F.coalesce(F.nullif(F.trim(raw), F.lit("")), F.concat(F.lit("record_"), F.col(position).cast("string")))
-    before = F.row_number().over(Window.partitionBy(group, "base").orderBy(position)) - 1
-    named = rows.withColumn("base", base).withColumn("before", before)
-    return named.withColumn("unique_id", F.when(F.col("before") == 0, F.col("base")).otherwise(F.concat_ws("_", "base", F.lit("_dup"), "before", position))).drop("base", "before")
+    before = F.row_number().over(Window.partitionBy(group, "__base").orderBy(position)) - 1
+    named = rows.withColumn("__base", base).withColumn("__before", before)
+    return named.withColumn("unique_id", F.when(F.col("__before") == 0, F.col("__base")).otherwise(F.concat_ws("_", "__base", F.lit("_dup"), "__before", position))).drop("__base", "__before")
 
 
 def query_pool(queries: DataFrame, group: str, order: list[str], most: int = 8) -> DataFrame:
@@ -69,9 +96,9 @@ def with_slots(requests: DataFrame, owned: DataFrame, slots: int = 5) -> DataFra
 
 def guarded(demotions: DataFrame, holders: DataFrame, scope: str, order: str) -> DataFrame:
     """Demotions judged in order: the last holder of a role in its scope stays."""
-    left = holders.groupBy(scope).agg(F.count("*").alias("n"))
-    r = F.row_number().over(Window.partitionBy(scope).orderBy(order))
-    return demotions.withColumn("r", r).join(left, scope).withColumn("allowed", F.col("r") < F.col("n")).drop("r", "n")
+    left = holders.groupBy(scope).agg(F.count("*").alias("__held"))
+    nth = F.row_number().over(Window.partitionBy(scope).orderBy(order))
+    return demotions.withColumn("__nth", nth).join(left, scope).withColumn("allowed", F.col("__nth") < F.col("__held")).drop("__nth", "__held")
 
 
 def limited(requests: DataFrame, key: str, at: str, order: str, limit: int, seconds: int) -> DataFrame:
@@ -79,10 +106,11 @@ def limited(requests: DataFrame, key: str, at: str, order: str, limit: int, seco
     The window is part of the key, so a key's requests are spread over its windows."""
     epoch = F.unix_micros(F.col(at).cast("timestamp"))
     window = F.floor(epoch / (seconds * 1_000_000))
-    n = F.row_number().over(Window.partitionBy(key, "w").orderBy(at, order))
-    counted = requests.withColumn("w", window).withColumn("n", n)
-    wait = F.greatest(F.lit(1), F.ceil(((F.col("w") + 1) * seconds * 1_000_000 - epoch) / 1_000_000)).cast("int")
-    return counted.withColumn("allowed", F.col("n") <= limit).withColumn("remaining", F.greatest(F.lit(limit) - F.col("n"), F.lit(0))).withColumn("retry_after", F.when(F.col("n") <= limit, 0).otherwise(wait)).drop("w", "n")
+    n = F.row_number().over(Window.partitionBy(key, "__window").orderBy(at, order))
+    counted = requests.withColumn("__window", window).withColumn("__nth", n)
+    wait = F.greatest(F.lit(1), F.ceil(((F.col("__window") + 1) * seconds * 1_000_000 - epoch) / 1_000_000)).cast("int")
+    nth = F.col("__nth")
+    return counted.withColumn("allowed", nth <= limit).withColumn("remaining", F.greatest(F.lit(limit) - nth, F.lit(0))).withColumn("retry_after", F.when(nth <= limit, 0).otherwise(wait)).drop("__window", "__nth")
 
 
 def batch_after(rows: DataFrame, key: str, cursor: int, n: int) -> DataFrame:
@@ -90,6 +118,17 @@ def batch_after(rows: DataFrame, key: str, cursor: int, n: int) -> DataFrame:
     return rows.where(F.col(key) > cursor).orderBy(key).limit(n)
 
 
+def either_join(left: DataFrame, right: DataFrame, keys: tuple[list[str], list[str]], take: list[str]) -> DataFrame:
+    """left with the columns `take` of the rows of right that agree in all of the first or in all of the second keys: what a left
+    join on an OR of both gives where each is unique in right. An OR has no hash join; these are two equi joins. A left row that
+    both keys lead to the same right row comes once, to different ones twice, to none once with nulls."""
+    row = F.struct(*take)
+    by = [right.where(" AND ".join(f"`{k}` IS NOT NULL" for k in ks)).select(*ks, F.struct(F.struct(*sorted({*keys[0], *keys[1]})).alias("id"), row.alias("row")).alias(f"__r{i}")) for i, ks in enumerate(keys)]
+    both = left.join(by[0], keys[0], "left").join(by[1], keys[1], "left")
+    found = F.array_distinct(F.filter(F.array("__r0", "__r1"), lambda x: x.isNotNull()))
+    return both.withColumn("__m", F.explode_outer(found)).select(*left.columns, *(F.col(f"__m.row.{c}").alias(c) for c in take))
+
+
 def matching(rows: DataFrame, **wanted) -> DataFrame:
     """Filters by what is given: None or 0 asks for nothing, a list for any of its values, name_min and name_max for bounds."""
     for name, value in wanted.items():

@@ -108,3 +108,15 @@ def packed_segments(paras: DataFrame, budget: int = config.SEGMENT_TOKENS, overh
         return pd.DataFrame(out, columns=["doc_id", "paragraph_start", "paragraph_end"])
 
     return paras.select("doc_id", "paragraph_index", cost.alias("cost")).groupBy("doc_id").applyInPandas(fold, "doc_id long, paragraph_start int, paragraph_end int")
+
+
+def repaired_within(units: DataFrame, key: list[str]) -> DataFrame:
+    """units (key..., lo, hi, paragraph_start, paragraph_end, others...) of segments lo to hi, repaired as in `repaired`: the first
+    starts at lo, the last ends at hi, gaps go to the unit before, overlaps are trimmed from the start, swallowed units go. Adds
+    scene_index. Ends must not be over hi."""
+    order = Window.partitionBy(*key).orderBy("paragraph_start", "paragraph_end")
+    reach = F.greatest(F.col("lo") - 1, F.coalesce(F.max("paragraph_end").over(order.rowsBetween(Window.unboundedPreceding, -1)), F.col("lo") - 1))
+    kept = units.withColumn("__reach", reach).where("paragraph_end > __reach").withColumn("__s", F.greatest("paragraph_start", F.col("__reach") + 1))
+    by_start = Window.partitionBy(*key).orderBy("__s")
+    moved = kept.withColumns({"scene_index": F.row_number().over(by_start), "__after": F.lead("__s").over(by_start)})
+    return moved.withColumns({"paragraph_start": F.when(F.col("scene_index") == 1, F.col("lo")).otherwise(F.col("__s")), "paragraph_end": F.coalesce(F.col("__after") - 1, F.col("hi"))}).drop("__reach", "__s", "__after")

@@ -375,4 +375,4 @@ def parsers():
 @query()
 def page_blocks(spark, d):
     """Every block of every page, as an HTML chapter's."""
-    return parsers().html_blocks(read(spark, d, "pages"))
+    return parsers().html_blocks(read(spark, d, "pages")).drop("runs")
