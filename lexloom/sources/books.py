@@ -20,8 +20,8 @@ RUNS = "array<struct<text: string, marks: array<string>>>"
 SCHEMA = f"chapter int, chapter_title string, block int, type string, level int, text string, marks array<string>, runs {RUNS}, error string"
 
 
-#: A paragraph without end tag ends where one of these begins.
-ENDS_P = {"p", "li", "ul", "ol", "blockquote", "pre", "h1", "h2", "h3", "h4", "h5", "h6", "div", "table", "section", "article"}
+#: A paragraph without end tag ends where one of these begins or ends.
+ENDS_P = {"p", "li", "ul", "ol", "blockquote", "pre", "h1", "h2", "h3", "h4", "h5", "h6", "div", "table", "section", "article", "header", "footer", "main", "aside", "nav", "figure", "form", "td", "th", "body", "html"}
 
 
 def runs_of(pieces: list[tuple[str, tuple[str, ...]]]) -> list[tuple[str, list[str]]]:
@@ -61,6 +61,8 @@ class _Blocks(HTMLParser):
 
     def handle_starttag(self, tag, attrs):
         if tag in SKIPPED:
+            if self.open and self.tag == "p" and tag in ENDS_P:
+                self._end()
             self.skip += 1
             return
         if self.open and ((self.tag == "p" and tag in ENDS_P) or (self.tag == tag == "li" and not self.lists)):
@@ -80,6 +82,8 @@ class _Blocks(HTMLParser):
     def handle_endtag(self, tag):
         if tag in SKIPPED:
             self.skip = max(0, self.skip - 1)
+        elif self.open and self.tag == "p" and tag in ENDS_P - {"p", "li", "ul", "ol"}:
+            self._end()
         elif self.open and tag in MARKS:
             if tag in self.marks:  # the innermost of its kind ends
                 del self.marks[len(self.marks) - 1 - self.marks[::-1].index(tag)]
