@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from lexloom.functions import rules
-from lexloom.operators import intake
+from lexloom.operators import intake, planning
 from lexloom.plans.retrieval import PARA, PROPOSED, lengths, paras, parsers, proposals, read
 
 QUERIES: dict = {}
@@ -117,3 +117,68 @@ def account_export(spark, d):
     c = read(spark, d, "customer").join(read(spark, d, "nation"), F.col("n_nationkey") == F.col("c_nationkey")).join(orders, F.col("o_custkey") == F.col("c_custkey"), "left").join(events, F.col("user_id") == F.col("c_custkey"), "left")
     whole = F.struct(F.col("c_custkey").alias("id"), F.col("c_name").alias("name"), F.col("n_name").alias("nation"), empty(F.col("orders"), dict(orders.dtypes)["orders"]).alias("orders"), empty(F.col("events"), dict(events.dtypes)["events"]).alias("events"))
     return c.select(F.col("c_custkey").alias("id"), F.to_json(whole).alias("export"))
+
+
+#: Words that tell of a question's class in the invented languages of the tables.
+WORDS = {"talk": ("hello", "the an", "zu "), "book": ("ing", "cion", "heit"), "fact": ("is ", "est ", "who"), "complex": ("tion", "erung", "why")}
+
+
+def HAS(kind: str) -> str:  # noqa: N802
+    return "(" + " OR ".join(f"contains(q, '{w}')" for w in WORDS[kind]) + ")"
+
+
+@query(rf"""WITH s AS (SELECT conv_id, turn, lower(regexp_replace(coalesce(text, ''), '^\s+|\s+$', '', 'g')) AS q FROM conversations WHERE role = 'user'), f AS (SELECT *, length(q) AS n, length(q) <= 60 AND {HAS('talk')} AS small_talk FROM s),
+    b AS (SELECT *, {HAS('book')} OR (NOT small_talk AND n > 85) AS about_book, {HAS('complex')} OR n >= 140 AS hard FROM f)
+    SELECT conv_id, turn, small_talk, about_book, about_book AND NOT hard AND ({HAS('fact')} OR n <= 80) AS simple, about_book AND hard AS complex FROM b""")
+def question_classes(spark, d):
+    """Classes of the users' questions by parts of words and length."""
+    q = read(spark, d, "conversations").where("role = 'user'")
+    return q.select("conv_id", "turn", planning.question_class(F.col("text"), WORDS).alias("c")).select("conv_id", "turn", "c.*")
+
+
+@query("""WITH t AS (SELECT conv_id, count(*) AS n FROM conversations GROUP BY 1), s AS (SELECT conv_id, n, CASE WHEN conv_id % 4 > 0 THEN CAST((conv_id * 3) % (n + 2) AS INTEGER) END AS through FROM t),
+    a AS (SELECT *, CASE WHEN n < 6 THEN 'pass' WHEN through >= 1 AND through = n - 4 THEN 'exact' WHEN through >= 1 AND n - 4 - through BETWEEN 1 AND 3 THEN 'reuse' ELSE 'regenerate' END AS action FROM s),
+    c AS (SELECT *, CAST(CASE action WHEN 'pass' THEN 0 WHEN 'reuse' THEN through ELSE n - 4 END AS INTEGER) AS summary_through FROM a) SELECT conv_id, n, through, action, summary_through, summary_through + 1 AS inline_from FROM c""")
+def history_windows(spark, d):
+    """What of each conversation is summed up and what is said in full, given stored summaries that reach to places made from ids."""
+    n = read(spark, d, "conversations").groupBy("conv_id").agg(F.count("*").alias("n"))
+    stored = n.withColumn("through", F.when(F.col("conv_id") % 4 > 0, ((F.col("conv_id") * 3) % (F.col("n") + 2)).cast("int")))
+    return planning.compacted(stored)
+
+
+#: Plans made of a document's words: lists with blanks, repeats and more entries than are kept.
+PLANNED = """to_json(named_struct('normalizedQuestion', if(doc_id % 5 = 0, ' ', concat(w[0], '  ', w[1])), 'entityHints', slice(w, 1, 14), 'broadQueries', slice(w, 3, 9), 'focusedQueries', slice(w, 2, 12),
+    'searchQueries', transform(slice(w, 1, 6), x -> concat(' ', x, '\n', x)), 'queryGroups', transform(slice(w, 1, 8), (x, i) -> named_struct('part', if(i % 3 = 0, '', x), 'searchQueries', if(i % 3 < 2, array(' '), array(x, x)), 'focusedQueries', if(i % 2 = 0, array(), array(x, 'f'))))))"""
+
+
+@query(r"""WITH w AS (SELECT doc_id, list_filter(regexp_split_to_array(text, '\s+'), lambda x: x <> '')[1:20] AS w FROM documents), u AS (SELECT doc_id, w, CASE WHEN doc_id % 5 > 0 THEN coalesce(w[1], '') || ' ' || coalesce(w[2], '') ELSE '' END AS question FROM w WHERE len(w) >= 2),
+    q AS (SELECT doc_id, question, w, list_concat(list_transform(w[1:6], lambda x: x || ' ' || x), w[3:10], w[2:11]) AS q FROM u), r AS (SELECT doc_id, question, w, unnest(q) AS query, generate_subscripts(q, 1) AS i FROM q), f AS (SELECT doc_id, query, min(i) AS i FROM r GROUP BY ALL),
+    k AS (SELECT doc_id, string_agg(query, '|' ORDER BY i) AS queries FROM (SELECT * FROM f QUALIFY row_number() OVER (PARTITION BY doc_id ORDER BY i) <= 14) GROUP BY 1),
+    g AS (SELECT doc_id, unnest(w[1:8]) AS x, generate_subscripts(w[1:8], 1) - 1 AS i FROM u), h AS (SELECT doc_id, i, CASE WHEN i % 3 = 0 THEN '' ELSE x END AS part, list_concat(CASE WHEN i % 3 = 2 THEN [x] ELSE [] END, CASE WHEN i % 2 = 1 THEN list_filter([x, 'f'], lambda v: NOT (i % 3 = 2 AND v = x)) ELSE [] END) AS qs, x FROM g),
+    z AS (SELECT doc_id, string_agg(part || ':' || array_to_string(CASE WHEN i % 2 = 1 AND x = 'f' THEN ['f'] ELSE qs END, '+'), '|' ORDER BY i) AS groups FROM (SELECT * FROM h WHERE part <> '' OR len(qs) > 0 QUALIFY row_number() OVER (PARTITION BY doc_id ORDER BY i) <= 6) GROUP BY 1)
+    SELECT u.doc_id, question, array_to_string(w[1:12], '|') AS hints, queries, coalesce(groups, '') AS groups FROM u JOIN k ON k.doc_id = u.doc_id LEFT JOIN z ON z.doc_id = u.doc_id""")
+def search_plans(spark, d):
+    """Search plans of JSON texts that are made of each document's first words."""
+    words = F.slice(F.filter(F.split("text", r"\s+"), lambda x: x != ""), 1, 20)
+    docs = read(spark, d, "documents").select("doc_id", words.alias("w")).where("size(w) >= 2").withColumn("json", F.expr(PLANNED))
+    p = docs.select("doc_id", planning.search_plan(F.col("json")).alias("p"))
+    groups = F.transform("p.queryGroups", lambda g: F.concat(g.part, F.lit(":"), F.array_join(g.searchQueries, "+")))
+    return p.select("doc_id", F.col("p.normalizedQuestion").alias("question"), F.array_join("p.entityHints", "|").alias("hints"), F.array_join("p.searchQueries", "|").alias("queries"), F.array_join(groups, "|").alias("groups"))
+
+
+SHOWN = """to_json(named_struct('characters', transform(slice(w, 1, 14), (x, i) -> named_struct('name', if(i % 2 = 0, x, lower(x)), 'description', if(i % 5 = 4, ' ', concat('d', i)), 'rank', if(i % 3 = 0, null, cast(14 - i as string)))),
+    'events', transform(slice(w, 1, 16), (x, i) -> named_struct('title', x, 'description', concat('e', i), 'importance', element_at(array('Critical', 'high', 'low', ' medium '), cast(i % 4 + 1 as int))))))"""
+
+
+@query(r"""WITH w AS (SELECT doc_id, list_filter(regexp_split_to_array(text, '\s+'), lambda x: x <> '')[1:20] AS w FROM documents), c AS (SELECT doc_id, unnest(w[1:14]) AS x, generate_subscripts(w[1:14], 1) - 1 AS i FROM w),
+    p AS (SELECT doc_id, i, CASE WHEN i % 2 = 0 THEN x ELSE lower(x) END AS name, CASE WHEN i % 3 = 0 THEN i + 1 ELSE 14 - i END AS rank FROM c WHERE i % 5 < 4), u AS (SELECT * FROM p QUALIFY row_number() OVER (PARTITION BY doc_id, lower(name) ORDER BY rank, i) = 1),
+    n AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY rank, i) AS place FROM u), e AS (SELECT doc_id, unnest(w[1:16]) AS title, generate_subscripts(w[1:16], 1) - 1 AS i FROM w),
+    v AS (SELECT * FROM e WHERE i % 4 <> 2 QUALIFY row_number() OVER (PARTITION BY doc_id, lower(title) ORDER BY i) = 1), k AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY i) AS place FROM v)
+    SELECT w.doc_id, coalesce((SELECT string_agg(place || ':' || name || ':d' || i, '|' ORDER BY place) FROM n WHERE n.doc_id = w.doc_id AND place <= 8), '') AS characters,
+        coalesce((SELECT string_agg(title || ':' || CASE i % 4 WHEN 0 THEN 'critical' WHEN 1 THEN 'high' ELSE 'medium' END, '|' ORDER BY place) FROM k WHERE k.doc_id = w.doc_id AND place <= 8), '') AS events FROM w""")
+def showcases(spark, d):
+    """Characters and events of showcases that are made of each document's first words."""
+    docs = read(spark, d, "documents").select("doc_id", F.slice(F.filter(F.split("text", r"\s+"), lambda x: x != ""), 1, 20).alias("w")).withColumn("json", F.expr(SHOWN))
+    parts = planning.showcase(F.col("json"))
+    people = F.transform("characters", lambda x: F.concat_ws(":", x["rank"].cast("string"), x["name"], x.description))
+    return docs.select("doc_id", parts["characters"].alias("characters"), parts["events"].alias("events")).select("doc_id", F.array_join(people, "|").alias("characters"), F.array_join(F.transform("events", lambda x: F.concat_ws(":", x.title, x.importance)), "|").alias("events"))
