@@ -46,7 +46,7 @@ _NAMES = [re.compile(p, re.I) for p, _ in NAMES]
 FEATURES = ["bias_element", "bias_text", "landmark", *OTHER_TAGS, *(f"name{i}" for i in range(len(NAMES))), *(f"in_{t}" for t in TEXT_TAGS), "len1", "len2", "len3", "links", "stops", "copyright"]
 _AT = {n: i for i, n in enumerate(FEATURES)}
 #: The prior's mean: names and landmarks speak for themselves where no labelled page has them.
-PRIOR = np.array([{"bias_element": 0.0, "links": -2.0, "len3": 0.5, "copyright": -2.0, "landmark": 20.0}.get(n, -6.0 if n in OTHER_TAGS else 4.0 * NAMES[int(n[4:])][1] if re.fullmatch(r"name\d+", n) else 0.0) for n in FEATURES])
+PRIOR = np.array([{"bias_element": 0.0, "links": -2.0, "len3": 0.5, "copyright": -2.0, "landmark": 20.0}.get(n, -6.0 if n in OTHER_TAGS else (8.0, 4.0)[NAMES[int(n[4:])][1] > 0] * NAMES[int(n[4:])][1] if re.fullmatch(r"name\d+", n) else 0.0) for n in FEATURES])
 #: Log potentials by child kind (element, text), parent's and child's label.
 PRIOR_EDGES = np.array([[[1.0, -1.0], [0.0, 0.0]], [[2.0, -2.0], [-2.0, 2.0]]])
 #: The same where nothing can be trained: children of content lean to content.
@@ -79,18 +79,26 @@ def _named(attrs: str) -> set[int]:
         words = re.split(r"[-_:]+", re.sub(r"(?<=[a-z])(?=[A-Z])", "-", token))
         which = [{i for i, p in enumerate(_NAMES) if p.fullmatch(w)} for w in words]
         if all(x or BESIDE.fullmatch(w) for w, x in zip(words, which, strict=True)):
-            out.update(*which)
+            said = [i for x in which for i in sorted(x)]
+            # related-posts are what is related; content-sidebar may be the layout of both
+            out.update(i for i in said if NAMES[i][1] == NAMES[said[0]][1] or NAMES[said[0]][1] > 0)
     return out
 
 
-def _element(tag: str, attrs: str, inside: bool = False) -> list[int]:
-    """Features of an element; a header inside an article heads it (its title), one outside heads the page."""
-    out = [_AT["bias_element"]]
-    if tag in CONTENT_TAGS:
+#: Parts that hold articles of their own, which are not the page's: by name (without a name that speaks for content) or tag.
+APART_NAMES, APART_TAGS = frozenset((0, 1, 2, 3, 4, 5, 6)), frozenset("aside nav footer dialog menu".split())
+
+
+def _element(tag: str, attrs: str, inside: bool = False, apart: bool = False) -> tuple[list[int], bool]:
+    """Features of an element, and whether it and what is below it stand apart from the page's content. A header inside an
+    article heads it (its title), one outside heads the page; an article among comments or adverts is no landmark."""
+    out, names = [_AT["bias_element"]], _named(attrs) if attrs else set()
+    apart = apart or tag in APART_TAGS or bool(names & APART_NAMES and not any(NAMES[i][1] > 0 for i in names))
+    if tag in CONTENT_TAGS and not apart:
         out.append(_AT["landmark"])
     elif tag in OTHER_TAGS and not (inside and tag == "header"):
         out.append(_AT[tag])
-    return out + [_AT[f"name{i}"] for i in sorted(_named(attrs))] if attrs else out
+    return out + [_AT[f"name{i}"] for i in sorted(names)], apart
 
 
 def _run(tag: str, text: str, linked: int) -> list[int]:
@@ -132,15 +140,15 @@ class Parser:
     def __init__(self, source: str):
         self.source, self.page = source, Page()
         root = self.page.add(-1, [_AT["bias_element"]], None, False)
-        self.stack = [("#root", root, False, "#root")]  # tag, node of the nearest block, gold, its tag
+        self.stack = [("#root", root, False, "#root", False)]  # tag, node of the nearest block, gold, its tag, apart
         self.open: dict[str, int] = {}
         self.buffer: list[str] = []
         self.linked = self.anchors = 0
         self.held: list[tuple[int, list[str], int]] = []  # runs that go on behind an element: depth of the stack, buffer, linked
         self.ends: dict[str, dict[int, int]] = {}
 
-    def push(self, tag: str, node: int, gold: bool, block: str) -> None:
-        self.stack.append((tag, node, gold, block))
+    def push(self, tag: str, node: int, gold: bool, block: str, apart: bool) -> None:
+        self.stack.append((tag, node, gold, block, apart))
         self.open[tag] = self.open.get(tag, 0) + 1
 
     def cut(self, k: int, last: int | None = None) -> None:
@@ -152,7 +160,7 @@ class Parser:
         if self.buffer:
             text = " ".join(entities.unescape("".join(self.buffer)).split())
             if text:
-                _, node, gold, block = self.stack[-1]
+                _, node, gold, block, _ = self.stack[-1]
                 self.page.add(node, _run(block, text, self.linked), text, gold)
             self.buffer.clear()
         self.linked = 0
@@ -208,7 +216,7 @@ class Parser:
                 self.buffer.clear()
                 self.linked = 0
                 # a tree of its own: what a button is tells nothing of the paragraph around it
-                self.push(tag, self.page.add(-1, _element(tag, attrs), None, False), False, tag)
+                self.push(tag, self.page.add(-1, _element(tag, attrs)[0], None, False), False, tag, False)
             return at
         if tag in VOID:
             if tag in ("br", "hr"):
@@ -220,10 +228,10 @@ class Parser:
             self.buffer.append(" ")
         if tag in MATH and attrs.endswith("/"):
             return at
-        _, above, gold, block = self.stack[-1]
+        _, above, gold, block, apart = self.stack[-1]
         if tag in INLINE:
             self.anchors += tag == "a"
-            self.push(tag, above, gold, block)
+            self.push(tag, above, gold, block, apart)
             return at
         self.flush()
         self.anchors = 0
@@ -231,11 +239,14 @@ class Parser:
             self.close(CLOSES[tag], ("ul", "ol", "dl", "table", *HELD))
         for ended in ("option", "p"):
             self.close((ended,), ("td", "th", "li", "div", "article", "section", "body", *HELD))
-        features = _element(tag, attrs, any(self.open.get(t) for t in CONTENT_TAGS))
+        _, above, gold, block, apart = self.stack[-1]
+        if tag in ("html", "head", "body"):  # their names tell of the whole page
+            self.push(tag, above, gold, tag, apart)
+            return at
+        features, apart = _element(tag, attrs, any(self.open.get(t) for t in CONTENT_TAGS), apart)
         signs = [PRIOR[f] for f in features if abs(PRIOR[f]) > 3]
-        _, above, gold, block = self.stack[-1]
-        gold = (gold or tag in CONTENT_TAGS) and not any(s < 0 for s in signs)
-        self.push(tag, above if tag in ("html", "head", "body") else self.page.add(above, features, None, gold), gold, tag)
+        gold = (gold or (tag in CONTENT_TAGS and not apart)) and not any(s < 0 for s in signs)
+        self.push(tag, self.page.add(above, features, None, gold), gold, tag, apart)
         return at
 
     def run(self) -> Page:
@@ -337,11 +348,15 @@ def train(pages: list[Page], rounds: int = 60, rate: float = 0.3, pull: float =
     return Model(weights, edges)
 
 
-#: What is put into every third labelled page, so that content elements with other things inside are learnt too.
-_INSERTS = (
-    '<aside class="sidebar"><p>{0}</p></aside>', '<form><p>{0}</p><label>{1}</label></form>', '<div class="comments"><div class="comment"><p>{0}</p><p>{1}</p></div></div>',
-    '<div class="cookie-notice">{1}</div>', '<footer><p>{0}</p></footer>', '<div class="share"><a href="#">{1}</a></div>', '<nav><a href="#">{1}</a></nav>',
+#: What is put into every third labelled page, so that content elements with other things inside are learnt too: parts that
+#: are no content, each with several kinds of text in it.
+_PARTS = (
+    '<aside class="sidebar">{}</aside>', '<form>{}<label>Name</label></form>', '<div class="comments"><div class="comment">{}</div></div>', '<section class="comments">{}</section>', '<div class="cookie-notice">{}</div>', '<footer>{}</footer>',
+    '<div class="ad">{}</div>', '<div class="newsletter">{}</div>', '<div class="sidebar">{}</div>', '<nav>{}</nav>', '<div role="navigation">{}</div>', '<div class="share">{}</div>', '<div id="comments"><article class="comment">{}</article></div>',
+    '<div class="related">{}</div>', '<section class="promo">{}</section>', '<div class="footer">{}</div>', '<aside>{}</aside>',
 )
+_INSIDE = ("<h3>{1}</h3><p>{0}</p>", "<p>{0}</p>", "<h2>{2}</h2><p>{0}</p><p>{1}</p>", "<ul><li>{1}</li><li>{0}</li></ul>", "{1}", '<h3>{2}</h3><ul><li><a href="#">{1}</a></li></ul>', "<article><h4>{1}</h4><p>{0}</p></article>")
+_INSERTS = tuple(part.format(inside) for inside in _INSIDE for part in _PARTS)
 #: What is put into every third other one: parts of an article that pages may not have, which are content.
 _CONTENT = (
     "<table><thead><tr><th>{2}</th><th>{3}</th></tr></thead><tbody><tr><td>{1}</td><td>{2}</td></tr><tr><td>{3}</td><td>{0}</td></tr></tbody></table>", "<ul><li>{2}</li><li><p>{1}</p></li></ul>", "<header><h2>{1}</h2><p>{2}</p></header>",
@@ -359,7 +374,7 @@ def augmented(sources: list[str]) -> list[str]:
             said = [re.sub(r"<[^>]*>", " ", x) for x in parts[1:]]
             for k in range(3):
                 at, text = 2 + (7 * n + 5 * k) % (len(parts) - 2), said[k % len(said)]
-                parts.insert(at, made[(n // 3 + k) % len(made)].format(text, text[:20], text[:6], text[-3:]))
+                parts.insert(at, made[(n // 3 * 3 + k) % len(made)].format(text, text[:20], text[:6], text[-3:]))
             source = "".join(parts)
         out.append(source)
     return out

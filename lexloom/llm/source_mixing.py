@@ -44,26 +44,36 @@ def share(children: DataFrame, parents: list[str]) -> DataFrame:
     ).drop("rate", "full", "least", "given")
 
 
+def kept_leaves(leaves: DataFrame, levels: list[str], weights: DataFrame | None) -> DataFrame:
+    """The leaves that a mixture may take (levels..., tokens, and by depth __said1 to __saidN: the weight that `weights` names for
+    the node). Going down, siblings that are not named beside one that is fall away, and so do those of no weight."""
+    kept = leaves
+    for depth in range(1, len(levels) + 1):
+        said = f"__said{depth}"
+        if weights is None:
+            kept = kept.withColumn(said, F.lit(None).cast("double"))
+            continue
+        named = weights.groupBy(F.col("path").alias("__path")).agg(F.max(F.greatest(F.coalesce(F.col("weight").cast("double"), F.lit(0.0)), F.lit(0.0))).alias(said))
+        family = kept.join(named, F.concat_ws("/", *levels[:depth]) == F.col("__path"), "left").drop("__path")
+        any_named = F.max(F.col(said).isNotNull()).over(Window.partitionBy(*(levels[: depth - 1] or [F.lit(0)])))
+        kept = family.withColumn("__any", any_named).where(f"NOT __any OR {said} > 0").drop("__any")
+    return kept
+
+
 def leaf_budgets(leaves: DataFrame, levels: list[str], total: Column, exponent: float, epochs: float, weights: DataFrame | None = None) -> DataFrame:
-    """Token budget of each leaf (levels..., tokens). A leaf can supply `epochs` times its tokens.
+    """Token budget of each leaf that may be taken (levels..., budget). A leaf can supply `epochs` times its tokens, and a node
+    what its leaves can; leaves that may not be taken supply nothing, so a shortage goes to siblings that have more.
 
     A node's weight among its siblings is what `weights` (path, weight) says of its path, the names from the top joined by /.
     Siblings that are not named there beside one that is get nothing; nor does a weight that is null or not above 0. Where
     no sibling is named, the weight is the token count to the power `exponent`: 1 keeps the shares, 0 makes siblings equal.
     """
-    nodes = {}
-    for depth in range(len(levels), 0, -1):
-        nodes[depth] = leaves.groupBy(*levels[:depth]).agg(F.sum("tokens").cast("double").alias("size"))
-    top = leaves.agg(F.sum("tokens").cast("double").alias("all"))
-    above = top.select(F.least(total.cast("double"), F.col("all") * epochs).alias("given"))
+    kept = kept_leaves(leaves, levels, weights)
+    top = leaves.agg(F.sum("tokens").cast("double").alias("all")).crossJoin(kept.agg((F.sum("tokens").cast("double") * epochs).alias("most")))  # one row each
+    above = top.select(F.least(total.cast("double"), "most").alias("given"))
     for depth in range(1, len(levels) + 1):
-        here = nodes[depth].select(*levels[:depth], F.pow("size", F.lit(exponent)).alias("weight"), (F.col("size") * epochs).alias("capacity"))
-        if weights is not None:
-            said = weights.groupBy(F.col("path").alias("__path")).agg(F.max(F.greatest(F.coalesce(F.col("weight").cast("double"), F.lit(0.0)), F.lit(0.0))).alias("__said"))
-            family = Window.partitionBy(*(levels[: depth - 1] or [F.lit(0)]))
-            here = here.join(said, F.concat_ws("/", *levels[:depth]) == F.col("__path"), "left")
-            here = here.withColumn("__any", F.max(F.col("__said").isNotNull()).over(family))
-            here = here.withColumn("weight", F.expr("if(__any, coalesce(__said, 0D), weight)")).where("weight > 0").drop("__path", "__said", "__any")
+        here = kept.groupBy(*levels[:depth]).agg(F.sum("tokens").cast("double").alias("size"), F.max(f"__said{depth}").alias("said"))
+        here = here.select(*levels[:depth], F.coalesce("said", F.pow("size", F.lit(exponent))).alias("weight"), (F.col("size") * epochs).alias("capacity"))
         here = here.crossJoin(F.broadcast(above)) if depth == 1 else here.join(above, levels[: depth - 1])  # above the top there is one row
         shared = share(here, levels[: depth - 1] or [F.lit(0)])
         above = shared.select(*levels[:depth], F.col("budget").alias("given"))
@@ -73,7 +83,7 @@ def leaf_budgets(leaves: DataFrame, levels: list[str], total: Column, exponent:
 def mix(docs: DataFrame, share_of_tokens: float = 0.9, exponent: float = 0.7, epochs: float = 2.0, seed: int = 17, levels: dict[str, str] | None = None, weights: DataFrame | None = None) -> DataFrame:
     """doc_id, the levels, n_tokens and copies (how often the mixture takes the document, 0 if not at all) of every row.
 
-    The whole mixture has `share_of_tokens` of the tokens there are, less what named nodes cannot supply. Target weights of
+    The whole mixture has `share_of_tokens` of the tokens there are, or all that named nodes can supply if that is less. Target weights of
     domains, languages and sources come from `weights` (see leaf_budgets). Epoch e of a leaf is its documents in the order of
     md5(seed:e:doc_id); the last, partial epoch takes the longest head of it that fits the rest of the budget. Tokens
     are words between blanks; a document without any costs nothing and is taken while its turn comes within the budget,

@@ -592,23 +592,33 @@ def test_mixture_by_target_weights(spark):
     assert got[("en", "src1")] == 0 and abs(got[("en", "src3")] - 15_000) <= 10 and abs(got[("de", "src0")] - 2500) <= 10 and abs(got[("de", "src2")] - 2500) <= 10
 
 
-def mixed_reference(rows, total_share, exponent, epochs, seed):
-    """Copies by doc_id of distinct rows (doc_id, text, lang, source): budgets by bisection on the rate, in plain Python."""
+def mixed_reference(rows, total_share, exponent, epochs, seed, said=None):
+    """Copies by doc_id of distinct rows (doc_id, text, lang, source): budgets by bisection on the rate, in plain Python. `said` has
+    weights by path; what it leaves out beside what it names, or gives no weight, is not there at all."""
     name = lambda r: (f"d{int((re.search('[0-9]+', r[3] or '') or ['0'])[0]) % 4}", r[2] or "", r[3] or "")
     n = {r[0]: len(words(r[1])) for r in rows}
-    size = collections.Counter()
+    said, leaves = said or {}, collections.Counter()
     for r in rows:
+        leaves[name(r)] += n[r[0]]
+    every = sum(leaves.values())
+    for depth in range(1, 4):
+        there = {x[:depth] for x, t in leaves.items() if t}
+        named = {x[:-1] for x in there if "/".join(x) in said}
+        leaves = {x: t for x, t in leaves.items() if x[: depth - 1] not in named or said.get("/".join(x[:depth]), 0) > 0}
+    size = collections.Counter()
+    for x, t in leaves.items():
         for depth in range(4):
-            size[name(r)[:depth]] += n[r[0]]
-    budget = {(): min(total_share, epochs) * size[()]}
+            size[x[:depth]] += t
+    weigh = lambda k: said.get("/".join(k)) or size[k] ** exponent
+    budget = {(): min(total_share * every, epochs * size[()])}
     for depth in range(1, 4):
         for parent in [x for x in size if len(x) == depth - 1 and size[x]]:
             kids = [x for x in size if len(x) == depth and x[:-1] == parent and size[x]]
             lo, hi = 0.0, 1e12
             for _ in range(200):
                 rate = (lo + hi) / 2
-                lo, hi = (rate, hi) if sum(min(epochs * size[k], rate * size[k] ** exponent) for k in kids) < budget[parent] else (lo, rate)
-            budget |= {k: min(epochs * size[k], hi * size[k] ** exponent) for k in kids}
+                lo, hi = (rate, hi) if sum(min(epochs * size[k], rate * weigh(k)) for k in kids) < budget[parent] else (lo, rate)
+            budget |= {k: min(epochs * size[k], hi * weigh(k)) for k in kids}
     copies = {}
     for leaf in {name(r) for r in rows}:
         own = [r[0] for r in rows if name(r) == leaf]
@@ -620,6 +630,24 @@ def mixed_reference(rows, total_share, exponent, epochs, seed):
     return copies
 
 
+@pytest.mark.parametrize("said", [{"d0": 3.0, "d1": 1.0, "d0/en": 1.0}, {"d0": 0.0, "d1": 2.0, "d2": 1.0, "d2/fr": 0.0}, {"d3/de": 5.0, "d3/es": 1.0, "d1/en/src1": 1.0}, {"d9": 1.0}, {"d0": 0.0, "d1": 0.0, "d2": 0.0, "d3": 0.0}])
+def test_mixture_with_some_weights_by_brute_force(spark, said):
+    rows = [tuple(r) for r in spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("doc_id", "text", "lang", "source").collect()]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string")
+    weights = spark.createDataFrame(list(said.items()), "path string, weight double")
+    got = {r.doc_id: r.copies for r in source_mixing.mix(df, share_of_tokens=0.5, epochs=1.5, weights=weights).collect()}
+    assert got == mixed_reference(rows, 0.5, 0.7, 1.5, 17, said)
+
+
+def test_a_shortage_of_named_leaves_goes_to_siblings(spark):
+    rows = [(0, "w " * 100, "en", "s0"), (1, "w " * 900, "de", "s0")] + [(10 + i, "w " * 10, "en", "s1") for i in range(100)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string")
+    weights = spark.createDataFrame([("d0", 3.0), ("d1", 1.0), ("d0/en", 1.0)], "path string, weight double")
+    taken = source_mixing.mix(df, share_of_tokens=0.5, epochs=1.0, weights=weights).groupBy("domain").agg({"*": "count"}).count()
+    got = {r.domain: r.t for r in source_mixing.mix(df, share_of_tokens=0.5, epochs=1.0, weights=weights).selectExpr("domain", "n_tokens * copies AS t").groupBy("domain").sum("t").withColumnRenamed("sum(t)", "t").collect()}
+    assert taken == 2 and got == {"d0": 100, "d1": 900}
+
+
 def test_mixture_by_brute_force(spark):
     rows = [tuple(r) for r in spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("doc_id", "text", "lang", "source").collect()] + [(-1, None, None, None), (-2, "", "en", "zz"), (-3, "a b", None, "zz")]
     df = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string").withColumn("n_tokens", __import__("pyspark").sql.functions.lit("clash"))
