@@ -26,8 +26,8 @@ def lexical(text: Column) -> Column:
 
 def terms(text: Column, least: int = 2) -> Column:
     """The words of lexical(text): runs of letters, digits and hyphens, found in one pass over the text."""
-    runs = F.regexp_replace(F.replace(F.lower(text), F.lit("ё"), F.lit("е")), r"[^a-z0-9\p{L}\p{N}-]+", " ")
-    return F.filter(F.split(runs, " "), lambda x: F.length(x) >= least)
+    plain = F.replace(F.lower(text), F.lit("ё"), F.lit("е"))
+    return F.regexp_extract_all(plain, F.lit(rf"[a-z0-9\p{{L}}\p{{N}}-]{{{least},}}"), F.lit(0))
 
 
 def ngrams(text: Column, n: int = config.NGRAM) -> Column:

@@ -11,9 +11,10 @@ from lexloom.functions import text as T
 
 
 def tokens(paras: DataFrame) -> DataFrame:
-    """(doc_id, paragraph_index, len, term): a row for each term of a paragraph, made without a shuffle."""
+    """(doc_id, paragraph_index, len, term): a row for each term of a paragraph, made without a shuffle, and with an outer
+    explosion, so that the terms are found once (see segment.paragraphs)."""
     counted = paras.select("doc_id", "paragraph_index", T.terms(F.col("text")).alias("t")).withColumn("len", F.size("t"))
-    return counted.select("doc_id", "paragraph_index", "len", F.explode("t").alias("term"))
+    return counted.select("doc_id", "paragraph_index", "len", F.explode_outer("t").alias("term")).where("term IS NOT NULL")
 
 
 def postings(toks: DataFrame, wanted: DataFrame | None = None) -> DataFrame:
@@ -26,8 +27,8 @@ def postings(toks: DataFrame, wanted: DataFrame | None = None) -> DataFrame:
 def term_stats(paras: DataFrame) -> DataFrame:
     """(term, df, cf) over all paragraphs. A paragraph's terms are sorted and counted in its row, so only partial sums by
     term are shuffled."""
-    rows = paras.select(F.array_sort(T.terms(F.col("text"))).alias("t")).where(F.size("t") > 0)
-    at = rows.select(F.posexplode("t").alias("i", "term"), "t")
+    rows = paras.select(F.array_sort(T.terms(F.col("text"))).alias("t"))
+    at = rows.select(F.posexplode_outer("t").alias("i", "term"), "t").where("term IS NOT NULL")
     first = (F.col("i") == 0) | (F.element_at("t", F.greatest(F.col("i"), F.lit(1))) != F.col("term"))
     return at.groupBy("term").agg(F.sum(first.cast("long")).alias("df"), F.count("*").alias("cf"))
 

@@ -11,9 +11,13 @@ from lexloom import config
 
 
 def paragraphs(docs: DataFrame, split: str = "\n+", keep: tuple[str, ...] = ("source",)) -> DataFrame:
-    """One row for each non-empty part of a text, numbered from 1."""
-    parts = F.filter(F.transform(F.split("text", split), lambda x: F.regexp_replace(x, r"^\s+|\s+$", "")), lambda x: x != "")
-    return docs.select(*keep, "doc_id", F.posexplode(parts).alias("pos", "text")).select(*keep, "doc_id", (F.col("pos") + 1).alias("paragraph_index"), "text")
+    """One row for each non-empty part of a text, numbered from 1. The explosion is an outer one: from an inner one Spark infers
+    a filter on the parts' number, for which it would split every text twice."""
+    if split == "\n+":  # lines, each from its first to its last character that is no white space
+        parts = F.regexp_extract_all("text", F.lit(r"\S(?:[^\n]*\S)?"), F.lit(0))
+    else:
+        parts = F.filter(F.transform(F.split("text", split), lambda x: F.regexp_replace(x, r"^\s+|\s+$", "")), lambda x: x != "")
+    return docs.select(*keep, "doc_id", F.posexplode_outer(parts).alias("pos", "text")).where("pos IS NOT NULL").select(*keep, "doc_id", (F.col("pos") + 1).alias("paragraph_index"), "text")
 
 
 def sizes(paras: DataFrame) -> DataFrame:
