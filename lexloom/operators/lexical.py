@@ -10,18 +10,18 @@ from lexloom import config
 from lexloom.functions import text as T
 
 
-def tokens(paras: DataFrame) -> DataFrame:
+def tokens(paras: DataFrame, by: tuple[str, ...] = ()) -> DataFrame:
     """(doc_id, paragraph_index, len, term): a row for each term of a paragraph, made without a shuffle, and with an outer
-    explosion, so that the terms are found once (see segment.paragraphs)."""
-    counted = paras.select("doc_id", "paragraph_index", T.terms(F.col("text")).alias("t")).withColumn("len", F.size("t"))
-    return counted.select("doc_id", "paragraph_index", "len", F.explode_outer("t").alias("term")).where("term IS NOT NULL")
+    explosion, so that the terms are found once (see segment.paragraphs). `by` names further columns to keep."""
+    counted = paras.select(*by, "doc_id", "paragraph_index", T.terms(F.col("text")).alias("t")).withColumn("len", F.size("t"))
+    return counted.select(*by, "doc_id", "paragraph_index", "len", F.explode_outer("t").alias("term")).where("term IS NOT NULL")
 
 
-def postings(toks: DataFrame, wanted: DataFrame | None = None) -> DataFrame:
+def postings(toks: DataFrame, wanted: DataFrame | None = None, by: tuple[str, ...] = ()) -> DataFrame:
     """(doc_id, paragraph_index, term, tf, len) of tokens; with `wanted` (distinct terms) only theirs, so that no other token
     is shuffled. Spark broadcasts `wanted` or not by its size."""
-    some = toks if wanted is None else toks.join(wanted, "term")
-    return some.groupBy("doc_id", "paragraph_index", "term").agg(F.count("*").alias("tf"), F.first("len").alias("len"))
+    some = toks if wanted is None else toks.join(wanted, [*by, "term"])
+    return some.groupBy(*by, "doc_id", "paragraph_index", "term").agg(F.count("*").alias("tf"), F.first("len").alias("len"))
 
 
 def term_stats(paras: DataFrame) -> DataFrame:
@@ -33,20 +33,20 @@ def term_stats(paras: DataFrame) -> DataFrame:
     return at.groupBy("term").agg(F.sum(first.cast("long")).alias("df"), F.count("*").alias("cf"))
 
 
-def corpus_stats(paras: DataFrame) -> DataFrame:
-    """One row: paragraphs with a term, and their average number of terms (1 at least)."""
+def corpus_stats(paras: DataFrame, by: tuple[str, ...] = ()) -> DataFrame:
+    """One row (for each value of `by`): paragraphs with a term, and their average number of terms (1 at least)."""
     n = F.size(T.terms(F.col("text")))
-    return paras.select(n.alias("len")).where("len > 0").agg(F.greatest(F.count("*"), F.lit(1)).alias("n"), F.greatest(F.coalesce(F.avg("len"), F.lit(1.0)), F.lit(1.0)).alias("avgdl"))
+    return paras.select(*by, n.alias("len")).where("len > 0").groupBy(*by).agg(F.greatest(F.count("*"), F.lit(1)).alias("n"), F.greatest(F.coalesce(F.avg("len"), F.lit(1.0)), F.lit(1.0)).alias("avgdl"))
 
 
-def query_terms(queries: DataFrame) -> DataFrame:
+def query_terms(queries: DataFrame, by: tuple[str, ...] = ()) -> DataFrame:
     """(query_id, term, ord) of the distinct terms in order."""
-    return queries.select("query_id", F.posexplode(F.array_distinct(T.terms(F.col("query")))).alias("ord", "term"))
+    return queries.select("query_id", *by, F.posexplode(F.array_distinct(T.terms(F.col("query")))).alias("ord", "term"))
 
 
-def frequencies(posts: DataFrame) -> DataFrame:
+def frequencies(posts: DataFrame, by: tuple[str, ...] = ()) -> DataFrame:
     """(term, df). It reads all columns of posts, so that this use and the scores' have the same plan and share one shuffle."""
-    return posts.groupBy("term").agg(F.count(F.when((F.col("len") > 0) & (F.col("tf") > 0), 1)).alias("df"))
+    return posts.groupBy(*by, "term").agg(F.count(F.when((F.col("len") > 0) & (F.col("tf") > 0), 1)).alias("df"))
 
 
 def weight(tf: str = "tf"):
@@ -71,32 +71,35 @@ def top(scored: DataFrame, k: int, by: str = "score") -> DataFrame:
     return scored.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k)
 
 
-def fuzzy_vocabulary(vocabulary: DataFrame, queries: DataFrame) -> DataFrame:
+def fuzzy_vocabulary(vocabulary: DataFrame, queries: DataFrame, by: tuple[str, ...] = ()) -> DataFrame:
     """(query_id, qterm, term, similarity) of near but unequal terms: distance at most 2, lengths alike, similarity over the
     threshold. It runs over distinct terms, not postings; equal lengths (one apart, two apart) make it an equi join."""
-    asked = query_terms(queries).withColumnRenamed("term", "qterm").where("length(qterm) > 2")
+    asked = query_terms(queries, by).withColumnRenamed("term", "qterm").where("length(qterm) > 2")
     asked = asked.withColumn("size", F.explode(F.sequence(F.length("qterm") - config.FUZZY_DISTANCE, F.length("qterm") + config.FUZZY_DISTANCE)))
-    near = vocabulary.select("term").where("length(term) > 2").withColumn("size", F.length("term")).join(asked, "size").where("term <> qterm")
+    near = vocabulary.select(*by, "term").where("length(term) > 2").withColumn("size", F.length("term")).join(asked, [*by, "size"]).where("term <> qterm")
     d = F.levenshtein("term", "qterm", config.FUZZY_DISTANCE)
     found = near.withColumn("d", d).where("d >= 0").withColumn("similarity", 1 - F.col("d") / F.greatest(F.length("term"), F.length("qterm")))
-    return found.where(F.col("similarity") >= config.FUZZY_ACCEPT).select("query_id", "qterm", "term", T.half_up(F.col("similarity"), 6).alias("similarity"))
+    return found.where(F.col("similarity") >= config.FUZZY_ACCEPT).select("query_id", *by, "qterm", "term", T.half_up(F.col("similarity"), 6).alias("similarity"))
 
 
-def full_score(paras: DataFrame, queries: DataFrame, matched: bool = False) -> DataFrame:
+def full_score(paras: DataFrame, queries: DataFrame, matched: bool = False, scope: str | None = None) -> DataFrame:
     """(query_id, doc_id, paragraph_index, score): BM25 weighted by coverage, phrase, fuzzy terms and n-gram overlap; kept
     if the signal is over the least for the query's length, or with the phrase. n-grams are made of kept rows only.
     Only tokens equal or near to a query's term are counted; a term's exact hit in a paragraph rules out its fuzzy ones.
-    With `matched`, the query's terms that a paragraph has, or has a near one of, come along in the query's order."""
-    toks = tokens(paras)
-    asked = query_terms(queries)
-    near = fuzzy_vocabulary(toks.select("term").distinct(), queries)
-    wanted = asked.select("query_id", F.col("term").alias("qterm"), "term", F.lit(None).cast("double").alias("similarity")).unionByName(near)
+    With `matched`, the query's terms that a paragraph has, or has a near one of, come along in the query's order. With `scope`,
+    a column of both tables, a query searches the paragraphs of its own value only, by that part's statistics."""
+    by = (scope,) if scope else ()
+    toks = tokens(paras, by)
+    asked = query_terms(queries, by)
+    near = fuzzy_vocabulary(toks.select(*by, "term").distinct(), queries, by)
+    wanted = asked.select("query_id", *by, F.col("term").alias("qterm"), "term", F.lit(None).cast("double").alias("similarity")).unionByName(near)
     # the terms' own partitioning is small; what matches is kept by paragraph from here on
-    posts = postings(toks, wanted.select("term").distinct())
-    df = frequencies(posts).withColumnRenamed("term", "qterm")
+    posts = postings(toks, wanted.select(*by, "term").distinct(), by)
+    df = frequencies(posts, by).withColumnRenamed("term", "qterm")
     is_exact = F.col("similarity").isNull()
-    per_term = posts.join(wanted, "term").groupBy("query_id", "doc_id", "paragraph_index", "qterm").agg(F.max("len").alias("len"), F.max(F.when(is_exact, F.col("tf"))).alias("tf"), F.max("similarity").alias("s"))
-    scored = per_term.join(df, "qterm", "left").crossJoin(F.broadcast(corpus_stats(paras)))  # one row
+    per_term = posts.join(wanted, [*by, "term"]).groupBy("query_id", *by, "doc_id", "paragraph_index", "qterm").agg(F.max("len").alias("len"), F.max(F.when(is_exact, F.col("tf"))).alias("tf"), F.max("similarity").alias("s"))
+    known = per_term.join(df, [*by, "qterm"], "left")
+    scored = known.join(corpus_stats(paras, by), list(by)) if by else known.crossJoin(F.broadcast(corpus_stats(paras)))  # one row
     found = [F.collect_list("qterm").alias("found")] if matched else []
     both = scored.groupBy("query_id", "doc_id", "paragraph_index").agg(
         F.coalesce(F.sum(weight()), F.lit(0.0)).alias("bm25"), F.count("tf").alias("exact"), F.coalesce(F.sum(F.when(F.col("tf").isNull(), F.col("s"))), F.lit(0.0)).alias("fuzzy"), *found
