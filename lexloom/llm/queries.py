@@ -11,44 +11,54 @@ PROBE = "</s>[INST] ok [/INST]"
 
 
 def op1_chat_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All conversations and a probe as windows for training, as digests."""
     probe = spark.createDataFrame([(-7, 0, "user", PROBE), (-7, 1, "assistant", PROBE)], "conv_id long, turn long, role string, text string")
     turns = read(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text").unionByName(probe)
     return chat_format.digest(chat_format.format_conversations(turns))
 
 
 def op2_pattern_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents as token pieces with their places in sequences."""
     return pattern_packing.packed_report(read(spark, sf_dir, "documents"))
 
 
 def op3_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The main text of every page."""
     return html_extract.extract(read(spark, sf_dir, "pages"))
 
 
 def op4_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Counts and verdicts of the quality rules for every document."""
     return quality_rules.quality_report(read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels"))
 
 
 def op5_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What every document keeps once repeated passages go."""
     return suffix_dedup.repeats_report(read(spark, sf_dir, "documents"))
 
 
 def op6_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How often the mixture takes every document."""
     return source_mixing.mix(read(spark, sf_dir, "documents"))
 
 
 def op7_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """License labels of every document."""
     return license_scan.scan_licenses(read(spark, sf_dir, "documents"))
 
 
 def op8_pii_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The personal data of every document."""
     return pii.span_report(read(spark, sf_dir, "documents"))
 
 
 def op9_simhash_components(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's fingerprint and component."""
     return simhash_dedup.simhash_report(read(spark, sf_dir, "documents"))
 
 
 def op10_maxscore_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The five best vectors for every fiftieth one."""
     return maxscore_topk.top_k(read(spark, sf_dir, "embeddings"))
 
 
@@ -68,13 +78,36 @@ def op13_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All stages of the pipeline over the documents."""
     import corpus_pipeline
 
     return corpus_pipeline.run(spark, sf_dir)
 
 
+def base_quality_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The counts of the quality rules and the base rule, without the fitted cutoffs."""
+    counted = quality_rules.with_counts(read(spark, sf_dir, "documents"))
+    return counted.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed")
+
+
+def base_license_places(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The places of the base phrases of licenses."""
+    return license_scan.scan_licenses(read(spark, sf_dir, "documents")).select("doc_id", "n_words", "n_base", "first_word", "last_word", "base_labels")
+
+
+def base_pii_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How much personal data the base patterns find, with a model that adds nothing."""
+    nothing = pii.SpanModel("0D", {k: 1e9 for k in pii.GENERATORS})
+    return pii.span_report(read(spark, sf_dir, "documents"), nothing).select("doc_id", *(f"n_{k}" for k in pii.BASE))
+
+
+def base_secret_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How many secrets the base patterns find, with a field that adds nothing."""
+    return secret_scan.secret_report(read(spark, sf_dir, "documents"), secret_scan.silent()).select("doc_id", "n_assign", "n_access", "n_hex")
+
+
 QUERIES = {f.__name__: f for f in (
-    op1_chat_windows, op2_pattern_packing, op3_html_extraction, op4_quality_rules, op5_suffix_dedup, op6_source_mixing, op7_license_scan, op8_pii_spans, op9_simhash_components, op10_maxscore_topk, op11_fill_middle, op12_secret_spans, op13_spelling_variants, pipeline,
+    op1_chat_windows, op2_pattern_packing, op3_html_extraction, op4_quality_rules, op5_suffix_dedup, op6_source_mixing, op7_license_scan, op8_pii_spans, op9_simhash_components, op10_maxscore_topk, op11_fill_middle, op12_secret_spans, op13_spelling_variants, pipeline, base_quality_counts, base_license_places, base_pii_counts, base_secret_counts,
 )}
 
 SQL = {
@@ -110,4 +143,26 @@ SQL = {
               FROM v a JOIN v b ON a.vec_id % 50 = 0 AND a.vec_id <> b.vec_id),
         r AS (SELECT query_id, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS INTEGER) AS rank, vec_id, CAST(score AS BIGINT) AS score FROM s)
         SELECT * FROM r WHERE rank <= 5""",
+    "base_quality_counts": r"""
+        WITH d AS (SELECT doc_id, coalesce(text, '') AS t FROM documents), w AS (SELECT doc_id, t, regexp_extract_all(t, '[^\x20\x09-\x0D]+') AS w, list_filter(string_split(t, chr(10)), lambda x: regexp_matches(x, '[^\x20\x09-\x0D]')) AS l FROM d),
+        g AS (SELECT doc_id, i, w[i] || ' ' || w[i + 1] || ' ' || w[i + 2] AS s FROM w, unnest(range(1, len(w) - 1)) AS r(i)), many AS (SELECT doc_id, s FROM g GROUP BY ALL HAVING count(*) > 1),
+        c AS (SELECT doc_id, count(DISTINCT i + k) AS n FROM g JOIN many USING (doc_id, s), (VALUES (0), (1), (2)) AS v(k) GROUP BY 1)
+        SELECT w.doc_id, len(w) AS n_words, CAST(coalesce(list_sum(list_transform(w, lambda x: length(x))), 0) AS BIGINT) AS word_chars, length(regexp_replace(t, '[^#*$%&|<>]', '', 'g')) AS n_symbols, len(l) - len(list_distinct(l)) AS n_dup_lines,
+            coalesce(c.n, 0) AS n_repeat_words, len(w) < 50 OR 100 * coalesce(c.n, 0) > 50 * len(w) AS base_failed FROM w LEFT JOIN c ON c.doc_id = w.doc_id""",
+    "base_license_places": r"""
+        WITH w AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM documents),
+        p AS (SELECT doc_id, i, CASE WHEN w[i + 1] = 'license' AND w[i] = 'mit' THEN 'mit' WHEN w[i + 1] = 'license' AND w[i] = 'apache' THEN 'apache' WHEN w[i] = 'general' AND w[i + 1] = 'public' AND w[i + 2] = 'license' THEN 'gpl' END AS label FROM w, unnest(range(1, len(w) + 1)) AS r(i)),
+        f AS (SELECT doc_id, count(*) AS n, min(i) - 1 AS a, max(i) - 1 AS b, string_agg(DISTINCT label, ',' ORDER BY label) AS labels FROM p WHERE label IS NOT NULL GROUP BY 1)
+        SELECT w.doc_id, len(w) AS n_words, coalesce(n, 0) AS n_base, a AS first_word, b AS last_word, coalesce(labels, '') AS base_labels FROM w LEFT JOIN f ON f.doc_id = w.doc_id""",
+    "base_pii_counts": r"""
+        WITH d AS (SELECT doc_id, coalesce(text, '') AS t FROM documents),
+        m AS (SELECT doc_id, 'email' AS kind, unnest(regexp_extract_all(t, '[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+')) AS m FROM d UNION ALL SELECT doc_id, 'ip', unnest(regexp_extract_all(t, '[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)')) FROM d
+            UNION ALL SELECT doc_id, 'card', unnest(regexp_extract_all(t, '[0-9]([\x20-]?[0-9])+')) FROM d UNION ALL SELECT doc_id, 'phone', unnest(regexp_extract_all(t, '\+[0-9][\x20().0-9-]+[0-9]')) FROM d),
+        x AS (SELECT *, regexp_replace(m, '[^0-9]', '', 'g') AS g FROM m),
+        l AS (SELECT *, list_sum(list_transform(range(1, length(g) + 1), lambda i: CASE WHEN (length(g) - i) % 2 = 1 THEN [0, 2, 4, 6, 8, 1, 3, 5, 7, 9][CAST(substr(g, i, 1) AS INTEGER) + 1] ELSE CAST(substr(g, i, 1) AS INTEGER) END)) AS luhn FROM x WHERE kind <> 'card' OR length(g) BETWEEN 16 AND 19),
+        k AS (SELECT * FROM l WHERE kind = 'email' OR (kind = 'ip' AND list_max(list_transform(string_split(m, '.'), lambda y: coalesce(TRY_CAST(y AS BIGINT), 999))) <= 255) OR (kind = 'card' AND luhn % 10 = 0) OR (kind = 'phone' AND length(g) BETWEEN 8 AND 15))
+        SELECT d.doc_id, count(CASE WHEN kind = 'email' THEN 1 END) AS n_email, count(CASE WHEN kind = 'ip' THEN 1 END) AS n_ip, count(CASE WHEN kind = 'card' THEN 1 END) AS n_card, count(CASE WHEN kind = 'phone' THEN 1 END) AS n_phone FROM d LEFT JOIN k ON k.doc_id = d.doc_id GROUP BY 1""",
+    "base_secret_counts": r"""
+        SELECT doc_id, len(list_filter(regexp_extract_all(coalesce(text, ''), '([pP][aA][sS][sS][wW][oO][rR][dD]|[pP][aA][sS][sS][wW][dD]|[sS][eE][cC][rR][eE][tT]|[tT][oO][kK][eE][nN]|[aA][pP][iI]_?[kK][eE][yY])["'']?\x20*[:=]\x20*["'']?([A-Za-z0-9+/_.=-]+)', 2), lambda x: length(x) >= 6)) AS n_assign,
+            len(list_filter(regexp_extract_all(coalesce(text, ''), 'AKIA[A-Z0-9]+'), lambda x: length(x) >= 20)) AS n_access, len(list_filter(regexp_extract_all(coalesce(text, ''), '[0-9a-f]+'), lambda x: length(x) >= 24)) AS n_hex FROM documents""",
 }
