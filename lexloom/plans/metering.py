@@ -4,8 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from lexloom.functions import text as T
 from lexloom.operators import metering
-from lexloom.plans.retrieval import LISTS, read, second_list
+from lexloom.plans.retrieval import HALF, LISTS, read, second_list
 
 QUERIES: dict = {}
 SQL: dict[str, str] = {}
@@ -28,8 +29,8 @@ USAGE = "SELECT l_orderkey AS run, l_linenumber AS line, concat(' ', l_returnfla
 @query(f"""WITH u AS ({USAGE} FROM lineitem), c AS (SELECT lower(trim(p)) AS p, place, i, o FROM (VALUES {ENTRIES}) AS v(p, place, i, o)), m AS (SELECT DISTINCT lower(trim(model)) AS m FROM u),
     f AS (SELECT m, i, o FROM m JOIN c ON c.p = m.m OR (c.p LIKE '%*' AND starts_with(m.m, left(c.p, length(c.p) - 1))) QUALIFY row_number() OVER (PARTITION BY m ORDER BY c.p <> m.m, place) = 1),
     p AS (SELECT u.*, CASE WHEN i >= 0 THEN i ELSE 0.5E0 END AS ip, CASE WHEN o >= 0 THEN o ELSE 1E0 END AS op FROM u LEFT JOIN f ON f.m = lower(trim(u.model))),
-    x AS (SELECT trim(model) AS model, (greatest(input, 0) - least(greatest(cached, 0), greatest(input, 0))) / 1E6 * ip + least(greatest(cached, 0), greatest(input, 0)) / 1E6 * ip * 0.1E0 + greatest(output, 0) / 1E6 * op AS usd FROM p)
-    SELECT model, count(*) AS calls, round(sum(usd), 6) AS usd, round(sum(usd) * 0.92E0, 6) AS eur, round(sum(usd) * 0.92E0 * 107, 4) AS rub FROM x GROUP BY 1""")
+    x AS (SELECT trim(model) AS model, (greatest(input, 0) - least(greatest(cached, 0), greatest(input, 0))) / 1E6 * ip + least(greatest(cached, 0), greatest(input, 0)) / 1E6 * ip * 0.1E0 + greatest(output, 0) / 1E6 * op AS usd FROM p),
+    s AS (SELECT model, count(*) AS calls, CAST(sum(CAST(floor(usd * 1E9 + 0.5) AS BIGINT)) AS BIGINT) / 1E9 AS usd FROM x GROUP BY 1) SELECT model, calls, {HALF('usd')} AS usd, {HALF('usd * 0.92E0')} AS eur, {HALF('usd * 0.92E0 * 107')} AS rub FROM s""")
 def model_costs(spark, d):
     """Costs of calls by model, with cached input at its discount, in three currencies."""
     u = read(spark, d, "lineitem").select(
@@ -37,8 +38,10 @@ def model_costs(spark, d):
     catalogue = spark.createDataFrame(CATALOGUE, "pattern string, place int, input_price double, output_price double")
     p = metering.priced(u, catalogue, (0.5, 1.0))
     usd = metering.cost(*(F.col(c) for c in ("input", "cached", "output", "input_price", "output_price")))
-    g = p.groupBy(F.trim("model").alias("model")).agg(F.count("*").alias("calls"), F.sum(usd).alias("usd"))
-    return g.select("model", "calls", F.round("usd", 6).alias("usd"), F.round(F.col("usd") * metering.USD_EUR, 6).alias("eur"), F.round(F.col("usd") * metering.USD_EUR * metering.EUR_RUB, 4).alias("rub"))
+    nanos = F.floor(usd * 1e9 + 0.5).cast("long")  # whole numbers, so that no order of addition changes the sum
+    g = p.groupBy(F.trim("model").alias("model")).agg(F.count("*").alias("calls"), (F.sum(nanos) / 1e9).alias("usd"))
+    eur = F.col("usd") * metering.USD_EUR
+    return g.select("model", "calls", T.half_up(F.col("usd"), 6).alias("usd"), T.half_up(eur, 6).alias("eur"), T.half_up(eur * metering.EUR_RUB, 6).alias("rub"))
 
 
 CHAPTERS = """l_orderkey AS run, element_at(array('paragraphs', 'scenes', 'scene_embeddings', 'fragments', 'other'), cast(l_linenumber % 5 + 1 as int)) AS stage, l_partkey AS chapter, l_suppkey AS supplier, cast(l_quantity as bigint) AS tokens,
