@@ -403,7 +403,7 @@ def main_texts(sources: list[str | None], model: Model, at_once: int = 200) -> l
 
 def extract(pages: DataFrame, model: Model | None = None) -> DataFrame:
     """page_id, url, text (empty if none) and n_chars (code points) of every row. A null or empty page has no text; pages
-    are read whole; repeated rows are extracted alike; other columns are ignored."""
+    are read whole; repeated rows are extracted alike; an empty table gives no rows; other columns are ignored."""
     model = model or fit(pages)
 
     def batches(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -112,7 +112,8 @@ def scan_licenses(docs: DataFrame) -> DataFrame:
     Words are runs of digits, letters (A-Z lower-cased) and characters beyond ASCII. base_labels come from the BASE
     phrases; labels add the signatures' of which no part lies wholly inside a detection of higher priority. score is 1
     with a base phrase, else the chance that some detection is right, taking them as independent. A null or empty text
-    has no words, no labels (empty strings) and score 0.
+    has no words, no labels (empty strings) and score 0. Repeated rows are scanned one by one and alike; an empty table gives
+    no rows; columns besides doc_id and text are not read.
     """
 
     def batches(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

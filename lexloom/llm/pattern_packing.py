@@ -233,7 +233,8 @@ def pack(made: DataFrame, size: int = SIZE) -> DataFrame:
     """made (doc_id, piece, length, ...) with sequence_id (from 0, without gaps) and offset (without gaps in each sequence).
 
     Pieces are ranked among those of their length in groups by a hash of doc_id and piece, more of them the more pieces
-    there are. Rows that repeat both are packed one by one. Lengths must be 1 to `size`.
+    there are. Rows that repeat both are packed one by one. Lengths must be 1 to `size`. An empty table gives no rows.
+    Columns named __salt, __rank, __first or __at are overwritten and lost.
     """
     salts = max(SALTS, made.count() // PER_SALT)
     salted = made.withColumn("__salt", F.expr(f"cast(pmod(xxhash64(doc_id, piece, start), {salts}) as int)"))

@@ -249,6 +249,8 @@ def near_duplicates(docs: DataFrame, shingle: int = 3, words64: int = 1, radius:
 
 
 def simhash_report(docs: DataFrame) -> DataFrame:
+    """doc_id, fingerprint (16 hexadecimal digits) and component_id of every row. Null and empty texts have fingerprint 0, linked
+    like any other; repeated rows are all returned; an empty table gives no rows; other columns are not read."""
     return near_duplicates(docs).select("doc_id", F.lower(F.hex("fp")).alias("fingerprint"), F.col("component_id").cast("long").alias("component_id"))
 
 

@@ -388,4 +388,6 @@ def remove_repeats(docs: DataFrame, buckets: int | None = None) -> DataFrame:
 
 
 def repeats_report(docs: DataFrame) -> DataFrame:
+    """remove_repeats without the bytes that stay: doc_id, n_bytes, n_removed, n_spans and kept_sha256 of every document. Nulls,
+    empty texts and empty tables as there."""
     return remove_repeats(docs).drop("kept")
