@@ -9,27 +9,32 @@ from lexloom.llm.common import checkpointed, read
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The documents that the quality rules keep."""
+    """The documents that the quality rules keep. Null and empty texts fail the base rule; repeated rows are judged alike; columns
+    named __quality_* are overwritten; an empty table stays empty, as in all stages."""
     return quality_rules.keep_good(docs, read(spark, sf_dir, "labels"))
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of copies and near copies, that of the smallest doc_id."""
+    """One document of each group of copies and near copies, that of the smallest doc_id. Texts without words are one group; of
+    rows that repeat a doc_id one stays; rows without doc_id all stay."""
     return simhash_dedup.keep_one(docs)
 
 
 def personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The documents with found personal data replaced by its kind."""
+    """The documents with found personal data replaced by its kind. A null text stays null; repeated rows are redacted alike;
+    columns named __pii_* are overwritten."""
     return pii.redact(docs)
 
 
 def mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The documents as often as the mixture of sources takes them."""
+    """The documents as often as the mixture of sources takes them. Null languages and sources count as empty names; rows without
+    doc_id are left out; rows that repeat one are taken alike."""
     return source_mixing.mixture(docs)
 
 
 def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pieces of the documents with their places in sequences of at most 4096 tokens."""
+    """Pieces of the documents with their places in sequences of at most 4096 tokens. A null text is an empty one, its end token
+    alone; repeated rows are packed one by one."""
     return pattern_packing.packed_report(docs)
 
 
