@@ -684,7 +684,7 @@ def test_queries_with_sql(spark, name):
     import duckdb
 
     con = duckdb.connect()
-    for t in ("conversations", "embeddings"):
+    for t in ("conversations", "documents", "embeddings"):
         con.sql(f"create view {t} as select * from '/root/testdata/sf0.001/{t}.parquet'")
     df = queries.QUERIES[name](spark, "/root/testdata/sf0.001")
     res = con.sql(queries.SQL[name])
