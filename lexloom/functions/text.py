@@ -31,8 +31,12 @@ def terms(text: Column, least: int = 2) -> Column:
 
 
 def ngrams(text: Column, n: int = config.NGRAM) -> Column:
-    """The set of character n-grams; a text of at most n characters is its own."""
-    many = F.array_distinct(F.transform(F.sequence(F.lit(1), F.greatest(F.length(text) - n + 1, F.lit(1))), lambda i: F.substring(text, i, F.lit(n))))
+    """The set of character n-grams; a text of at most n characters is its own. A lookahead finds them in one pass, where each
+    substring would count its place from the text's start; it counts UTF-16 units, so other texts than of the basic plane
+    are cut one by one."""
+    one_by_one = F.transform(F.sequence(F.lit(1), F.greatest(F.length(text) - n + 1, F.lit(1))), lambda i: F.substring(text, i, F.lit(n)))
+    in_one = F.regexp_extract_all(text, F.lit(f"(?s)(?=(.{{{n}}}))"), F.lit(1))
+    many = F.array_distinct(F.when(F.regexp_like(text, F.lit(r"[\x{10000}-\x{10FFFF}]")), one_by_one).otherwise(in_one))
     return F.when(F.length(text) == 0, F.array().cast("array<string>")).when(F.length(text) <= n, F.array(text)).otherwise(many)
 
 

@@ -92,3 +92,11 @@ def test_groups_merge_within_the_bound_and_split(spark):
     got = sorted((r.query_id, r.doc_id, r.paragraph_start, r.paragraph_end, r.score, r.confidence) for r in g.collect())
     assert got == [(1, 1, 1, 4, 0.7, "high"), (1, 1, 5, 8, 0.2, "low"), (1, 2, 10, 13, 0.9, "high"), (1, 2, 14, 17, 0.9, "high"), (1, 2, 18, 19, 0.9, "high"), (2, 1, 3, 3, 0.1, "low")]
     assert groups.merged(g.limit(0).withColumn("rank", F.lit(1))).count() == 0
+
+
+@pytest.mark.parametrize("text", ["", "a", "abc", "abcd", "aaaaaa", "é\nb cd", "a\U0001f333b\U0001f333c", "x" * 50 + "yz"])
+def test_ngrams_of_any_plane(spark, text):
+    from lexloom.functions import text as T
+
+    want = [text] if 0 < len(text) <= 3 else list(dict.fromkeys(text[i : i + 3] for i in range(len(text) - 2)))
+    assert one(spark, text, T.ngrams) == want
