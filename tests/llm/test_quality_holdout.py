@@ -20,3 +20,9 @@ def many(spark):
 def test_report_uses_all_labels(many):
     got = {r.doc_id: r.kept for r in quality_rules.quality_report(*many).where("doc_id < 190").collect()}
     assert not got.pop(-1) and len(got) == 190 and all(got.values())
+
+
+def test_pipeline_stage_uses_all_labels(many):
+    docs, labels = many
+    got = {r.doc_id for r in quality_rules.keep_good(docs, labels).where("doc_id < 190").collect()}
+    assert got == set(range(190))
