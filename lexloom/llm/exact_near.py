@@ -31,6 +31,8 @@ WORDS64, RADIUS = 4, 40
 SKETCH = 512
 #: Most shingles whose counts order them; this many rows are broadcast. It changes what is compared, never what is linked.
 FREQUENT = 500_000
+#: Bits (8 MB) that mark the documents whose sets are compared. They change which texts are hashed again, never what is linked.
+MARKS = 1 << 26
 #: Share of the hashes, from zero on, that are counted.
 COUNTED = 0.4
 #: Documents that a task turns into sets at a time.
@@ -62,29 +64,49 @@ def prefix(h: np.ndarray, frequent: np.ndarray, counts: np.ndarray) -> np.ndarra
     return h[np.lexsort((h, count))[: len(h) - -(-len(h) * NUM // DEN) + 1]]
 
 
-def _sets(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """doc_id, class, size, fingerprint, sketch and the set itself; the last three only where a class is first met in the
-    task, so that copies cost no more than their names."""
+def _new(it: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.RecordBatch, list[tuple[int, np.ndarray, bool]]]]:
+    """Batches of rows whose last column is a text, and of each text its class, its set and whether the class is new in the task."""
     seen: set[int] = set()
-    kinds = (pa.int64(), pa.int64(), pa.binary(), pa.binary(), pa.list_(pa.int64()))
     for b in (whole.slice(i, AT_ONCE) for whole in it for i in range(0, len(whole), AT_ONCE)):
         rows = []
-        for t in b.column(1).to_pylist():
+        for t in b.column(b.num_columns - 1).to_pylist():
             h = distinct(t)
             cid = class_id(h)
-            rows.append((cid, len(h), None, None, None) if cid in seen else (cid, len(h), simhash_dedup.majority(h, WORDS64), sketch(h), h.view(np.int64)))
+            rows.append((cid, h, cid not in seen))
             seen.add(cid)
-        yield pa.RecordBatch.from_arrays([b.column(0), *(pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True))], names=["doc_id", "cid", "n", "fp", "sketch", "hashes"])
+        yield b, rows
+
+
+def _sets(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """doc_id, class, size, fingerprint and sketch; the last two only where a class is first met in the task, so that copies
+    cost no more than their names. The set itself is made anew where it is needed: written, it takes more than the text."""
+    kinds = (pa.int64(), pa.int64(), pa.binary(), pa.binary())
+    for b, sets in _new(it):
+        rows = [(cid, len(h), simhash_dedup.majority(h, WORDS64), sketch(h)) if new else (cid, len(h), None, None) for cid, h, new in sets]
+        yield pa.RecordBatch.from_arrays([b.column(0), *(pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True))], names=["doc_id", "cid", "n", "fp", "sketch"])
+
 
+def _hashes(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Classes and their sets, each class once in a task."""
+    for _, sets in _new(it):
+        rows = [(cid, h.view(np.int64)) for cid, h, new in sets if new]
+        yield pa.RecordBatch.from_arrays([pa.array([c for c, _ in rows], pa.int64()), pa.array([h for _, h in rows], pa.list_(pa.int64()))], names=["cid", "hashes"])
 
-def _frequent(sets: DataFrame) -> tuple[np.ndarray, np.ndarray]:
+
+def _counted(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Shingles in the lower COUNTED of all hashes, of each class once in a task."""
+    for _, sets in _new(it):
+        h = np.concatenate([np.zeros(0, np.int64), *(h.view(np.int64) for _, h, new in sets if new)])
+        yield pa.RecordBatch.from_arrays([pa.array(h[(h >= 0) & (h < int(COUNTED * 2**64))])], names=["token"])
+
+
+def _frequent(texts: DataFrame) -> tuple[np.ndarray, np.ndarray]:
     """The most frequent shingles of all sets and their counts: those over the least power of two that leaves at most FREQUENT.
 
     Only shingles whose hash is in the lower COUNTED of all hashes are counted, over all documents: prefixes are the lower
     fifth of a set and what takes the place of frequent ones in it, so others hardly ever come into one.
     """
-    tokens = sets.select(F.explode(F.expr(f"filter(hashes, h -> h >= 0 and h < {int(COUNTED * 2**64)}L)")).alias("token"))
-    counts = written(tokens.groupBy("token").count().where("count > 3"))
+    counts = written(texts.mapInArrow(_counted, "token long").groupBy("token").count().where("count > 3"))
     sizes = sorted(((r["p"], r["n"]) for r in counts.groupBy(F.floor(F.log2("count")).alias("p")).agg(F.count("*").alias("n")).collect()), reverse=True)  # at most 64
     total, least = 0, 64
     for p, n in sizes:
@@ -98,33 +120,61 @@ def _frequent(sets: DataFrame) -> tuple[np.ndarray, np.ndarray]:
 
 
 def _filed(frequent: np.ndarray, counts: np.ndarray):
+    """token, cid, n and left of the prefix of each class once in a task: left is how many shingles of the set come from this
+    one on in the common order, itself included."""
+
     def batches(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in (whole.slice(i, AT_ONCE) for whole in it for i in range(0, len(whole), AT_ONCE)):
-            ends, values = b.column(1).offsets.to_numpy(), b.column(1).values.to_numpy().view(np.uint64)
-            first = [prefix(values[i:j], frequent, counts) for i, j in zip(ends[:-1].tolist(), ends[1:].tolist())]
-            cid = np.repeat(b.column(0).to_numpy(), [len(x) for x in first])
-            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate([np.zeros(0, np.uint64), *first]).view(np.int64)), pa.array(cid)], names=["token", "cid"])
+        for _, sets in _new(it):
+            own = [(cid, len(h), prefix(h, frequent, counts)) for cid, h, new in sets if new and len(h)]
+            sizes = [len(x) for _, _, x in own]
+            cid, n = (np.repeat(np.array([row[k] for row in own], np.int64), sizes) for k in (0, 1))
+            left = n - np.concatenate([np.zeros(0, np.int64), *(np.arange(k) for k in sizes)])
+            token = np.concatenate([np.zeros(0, np.uint64), *(x for _, _, x in own)]).view(np.int64)
+            yield pa.RecordBatch.from_arrays([pa.array(token), pa.array(cid), pa.array(n.astype(np.int32)), pa.array(left.astype(np.int32))], names=["token", "cid", "n", "left"])
 
     return batches
 
 
+def _partnered(n: np.ndarray, left: np.ndarray, starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """Which rows of the groups (all small) have another that they may be linked to by a first common shingle here: all that
+    two sets share then lies in what is left of either."""
+    ends = np.repeat(starts + sizes, sizes)
+    at = np.arange(sizes.sum()) - np.repeat(np.cumsum(sizes) - sizes, sizes) + np.repeat(starts, sizes)
+    found = np.zeros(len(n), bool)
+    for step in range(1, int(sizes.max(initial=0))):
+        i = at[ends - at > step]
+        j = i + step
+        fits = np.minimum(left[i], left[j]) * (NUM + DEN) >= NUM * (n[i] + n[j])
+        found[i[fits]] = found[j[fits]] = True
+    return found
+
+
 def _shared(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Of rows sorted by token and class those of tokens with several classes, each once; a single row is held."""
+    """token and cid of rows sorted by token and class: of tokens with several classes, each once; a single row is held. Of
+    small groups that lie whole in a batch only the rows that have a partner are given out."""
     last, given = None, False  # the row before this batch, and whether it was given out
     for b in it:
         if not b.num_rows:
             continue
-        token, cid = b.column(0).to_numpy(), b.column(1).to_numpy()
-        if last is not None:
-            token, cid = np.append(last[0], token), np.append(last[1], cid)
+        token, cid, n, left = (b.column(c).to_numpy().astype(np.int64) for c in ("token", "cid", "n", "left"))
+        begun = last is not None
+        if begun:
+            token, cid, n, left = (np.append(x, y) for x, y in zip(last, (token, cid, n, left), strict=True))
         new = np.append(True, (token[1:] != token[:-1]) | (cid[1:] != cid[:-1]))
-        token, cid = token[new], cid[new]
+        token, cid, n, left = token[new], cid[new], n[new], left[new]
         alike = token[1:] == token[:-1]
         keep = np.append(False, alike) | np.append(alike, False)
         if given:
             keep[0] = False
         given = bool(keep[-1]) or (given and len(token) == 1)
-        last = (token[-1], cid[-1])
+        last = (token[-1], cid[-1], n[-1], left[-1])
+        starts = np.flatnonzero(np.append(True, ~alike))
+        sizes = np.diff(starts, append=len(token))
+        whole = (sizes > 1) & (sizes <= SMALL)
+        whole[-1] = False
+        whole[0] &= not begun
+        inside = np.repeat(whole, sizes)
+        keep[inside] = _partnered(n, left, starts[whole], sizes[whole])[inside]
         yield pa.RecordBatch.from_arrays([pa.array(token[keep]), pa.array(cid[keep])], names=["token", "cid"])
 
 
@@ -188,24 +238,46 @@ def _pairs(it: Iterator[pa.RecordBatch], closest: bool = False) -> Iterator[pa.R
     yield from simhash_dedup.by_group(it, ["token", "low", "high"], paired)
 
 
-def _settled(pairs: DataFrame, sets: DataFrame) -> DataFrame:
-    """The pairs (a, b) of classes that are links, by their sets."""
-    pairs = written(pairs.select("a", "b").distinct())
+def _marked(texts: DataFrame, ids: DataFrame) -> DataFrame:
+    """texts whose doc_id is among ids, and few others: by MARKS bits, broadcast, so that no other text is moved or hashed."""
+    bit = f"pmod(xxhash64(doc_id), {MARKS}L)"
+    maps = ids.select(F.expr(bit).alias("bit")).groupBy(F.expr("bit div 32768").alias("part")).agg(F.expr("bitmap_construct_agg(bit % 32768)").alias("map"))
+    near = texts.withColumn("bit", F.expr(bit)).withColumn("part", F.expr("bit div 32768")).join(F.broadcast(maps), "part")
+    return near.where("getbit(cast(conv(hex(substring(map, cast(bit % 32768 div 8 as int) + 1, 1)), 16, 10) as int), cast(bit % 8 as int)) = 1").select(*texts.columns)
+
+
+def _settled(pairs: DataFrame, sets: DataFrame, texts: DataFrame) -> DataFrame:
+    """The pairs (a, b) of classes that are links, by their sets, which are made again from a text of each class."""
+    sized = sets.where("sketch is not null").select("cid", "n", "sketch").dropDuplicates(["cid"])
+    pairs = pairs.select("a", "b").distinct().join(sized.toDF("a", "n", "sketch"), "a").join(sized.toDF("b", "m", "other"), "b")
+    pairs = written(pairs.mapInArrow(_unlike, "a long, b long"))
     wanted = pairs.select(F.col("a").alias("cid")).union(pairs.select("b")).distinct()
-    own = sets.where("hashes is not null").select("cid", "hashes").join(wanted, "cid", "left_semi").dropDuplicates(["cid"])
+    ids = sets.join(wanted, "cid", "left_semi").groupBy("cid").agg(F.min("doc_id").alias("doc_id")).select("doc_id")
+    own = _marked(texts, ids).mapInArrow(_hashes, "cid long, hashes array<long>").join(wanted, "cid", "left_semi").dropDuplicates(["cid"])
     both = pairs.join(own.toDF("a", "x"), "a").join(own.toDF("b", "y"), "b")
     shared = f"size(array_intersect(x, y)) * {NUM + DEN} >= {NUM} * (size(x) + size(y))"
     return written(both.where(shared).select("a", "b"))
 
 
+def _unlike(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The pairs whose sizes and sketches allow a link."""
+    for b in it:
+        k = b.num_rows
+        n = np.append(b.column("n").to_numpy(), b.column("m").to_numpy())
+        cells = np.frombuffer(b"".join(b.column("sketch").to_pylist() + b.column("other").to_pylist()), np.uint64).reshape(2 * k, -1)
+        i = _possible(n, cells, np.arange(k), np.arange(k, 2 * k))[0]
+        yield pa.RecordBatch.from_arrays([b.column("a").take(pa.array(i)), b.column("b").take(pa.array(i))], names=["a", "b"])
+
+
 def near_classes(docs: DataFrame) -> DataFrame:
     """doc_id and component_id, the smallest doc_id reachable over links (its own included), of every row with a doc_id.
 
     Null texts and texts without words have no shingles and are one class; texts of fewer words than a shingle are one
-    shingle. Repeated rows are all returned; other columns are ignored; an empty table gives an empty result.
+    shingle. Repeated rows are all returned; other columns are ignored; an empty table gives an empty result. docs is read
+    several times, as sets of hashes would take more disk than the texts.
     """
     named = docs.where("doc_id is not null").select("doc_id", "text")
-    sets = written(named.mapInArrow(_sets, f"doc_id {dict(docs.dtypes)['doc_id']}, cid long, n long, fp binary, sketch binary, hashes array<long>"))
+    sets = written(named.mapInArrow(_sets, f"doc_id {dict(docs.dtypes)['doc_id']}, cid long, n long, fp binary, sketch binary"))
     rows = sets.count()
 
     # SimHash: keys of as many bits as tell the corpus' texts apart, so that buckets stay small whatever its size
@@ -215,7 +287,7 @@ def near_classes(docs: DataFrame) -> DataFrame:
     close = simhash_dedup.close_pairs(prints, RADIUS, 4 * digits * blocks, blocks, 1)
 
     # what the bands miss
-    filed = sets.where("hashes is not null").select("cid", "hashes").mapInArrow(_filed(*_frequent(sets)), "token long, cid long")
+    filed = named.select("text").mapInArrow(_filed(*_frequent(named.select("text"))), "token long, cid long, n int, left int")
     filed = written(filed.repartition("token").sortWithinPartitions("token", "cid").mapInArrow(_shared, "token long, cid long"))
     blocked = filed.join(filed.groupBy("token").agg(F.expr(f"cast(ceil(count(*) / {BLOCK}) as int)").alias("k")), "token")
     blocked = blocked.withColumn("block", F.expr("cast(pmod(xxhash64(cid), k) as int)")).withColumn("other", F.explode(F.expr("sequence(0, k - 1)")))
@@ -230,10 +302,10 @@ def near_classes(docs: DataFrame) -> DataFrame:
     pairs = candidates(ready.withColumn("label", F.col("cid")), True)
     ends = pairs.select("a", "b", "apart").union(pairs.select("b", "a", "apart"))
     closest = ends.groupBy("a").agg(F.min_by("b", F.struct("apart", "b")).alias("b")).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
-    links = _settled(close.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).union(closest), sets)
+    links = _settled(close.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).union(closest), sets, named)
     found = components(links)
     # then all that are not connected yet
-    more = _settled(candidates(ready.join(found, ready.cid == found.id, "left").select(*ready.columns, F.coalesce("component", "cid").alias("label")), False), sets)
+    more = _settled(candidates(ready.join(found, ready.cid == found.id, "left").select(*ready.columns, F.coalesce("component", "cid").alias("label")), False), sets, named)
     if not more.isEmpty():
         found = components(links.unionByName(more))
     named_by = sets.join(found, sets.cid == found.id, "left").select("doc_id", F.coalesce("component", "cid").alias("component"))
