@@ -107,13 +107,9 @@ def _frequent(texts: DataFrame) -> tuple[np.ndarray, np.ndarray]:
     fifth of a set and what takes the place of frequent ones in it, so others hardly ever come into one.
     """
     counts = written(texts.mapInArrow(_counted, "token long").groupBy("token").count().where("count > 3"))
-    sizes = sorted(((r["p"], r["n"]) for r in counts.groupBy(F.floor(F.log2("count")).alias("p")).agg(F.count("*").alias("n")).collect()), reverse=True)  # at most 64
-    total, least = 0, 64
-    for p, n in sizes:
-        if (total := total + n) > FREQUENT:
-            break
-        least = p
-    rows = (counts.where(F.col("count") >= 2**least) if least < 64 else counts.limit(0)).toArrow()
+    over = counts.agg(*(F.expr(f"count_if(count >= {2**p}L)") for p in range(63))).first()  # one row; by group it would be a task for each partition
+    least = next(2**p for p, n in enumerate(over) if n <= FREQUENT)
+    rows = counts.where(F.col("count") >= least).toArrow()
     tokens, n = (rows.column(c).to_numpy() for c in ("token", "count"))
     order = np.argsort(tokens.view(np.uint64))
     return tokens.view(np.uint64)[order], n[order]
@@ -300,15 +296,15 @@ def near_classes(docs: DataFrame) -> DataFrame:
 
     # first each class with the one that is closest to it, together with the index's pairs
     pairs = candidates(ready.withColumn("label", F.col("cid")), True)
-    ends = pairs.select("a", "b", "apart").union(pairs.select("b", "a", "apart"))
+    ends = pairs.selectExpr("inline(array(named_struct('a', a, 'b', b, 'apart', apart), named_struct('a', b, 'b', a, 'apart', apart)))")  # a union would compare all twice
     closest = ends.groupBy("a").agg(F.min_by("b", F.struct("apart", "b")).alias("b")).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
     links = _settled(close.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).union(closest), sets, named)
     found = components(links)
     # then all that are not connected yet
     more = _settled(candidates(ready.join(found, ready.cid == found.id, "left").select(*ready.columns, F.coalesce("component", "cid").alias("label")), False), sets, named)
     if not more.isEmpty():
-        found = components(links.unionByName(more))
-    named_by = sets.join(found, sets.cid == found.id, "left").select("doc_id", F.coalesce("component", "cid").alias("component"))
+        found = components(found.select(F.col("id").alias("a"), F.col("component").alias("b")).union(more.select("a", "b")))  # stars say what links say
+    named_by = written(sets.join(found, sets.cid == found.id, "left").select("doc_id", F.coalesce("component", "cid").alias("component")))
     least = named_by.groupBy("component").agg(F.min("doc_id").alias("component_id"))
     return named_by.join(least, "component").select("doc_id", "component_id")
 
@@ -317,6 +313,5 @@ def keep_one(docs: DataFrame) -> DataFrame:
     """docs without those that have a near duplicate of smaller doc_id in their component. doc_id names documents: of rows
     that repeat it one stays; rows without doc_id all stay."""
     gone = near_classes(docs).where("doc_id <> component_id").select(F.col("doc_id").alias("__gone")).distinct()
-    stays = docs.join(gone, docs.doc_id == F.col("__gone"), "left_anti")
-    named, unnamed = stays.where("doc_id is not null"), stays.where("doc_id is null")
-    return named.dropDuplicates(["doc_id"]).unionByName(unnamed)
+    named = docs.where("doc_id is not null").join(gone, docs.doc_id == F.col("__gone"), "left_anti")
+    return named.dropDuplicates(["doc_id"]).unionByName(docs.where("doc_id is null"))
