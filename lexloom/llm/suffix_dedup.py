@@ -4,7 +4,8 @@ A suffix (here: the `SPAN` bytes from a position on) is filed under the least ha
 suffixes meet in one bucket. Neighbouring suffixes with the same least string form a run, about one in nineteen bytes.
 
 1. Runs go to buckets by their key. Runs of equal bytes are settled by a hash of the run: all but those of the smallest
-   document are repeats. Those of the smallest document stay open where runs of other bytes share their key.
+   document are repeats. Those of the smallest document stay open where a run of another document shares their key and
+   short hashes of what stands before or behind the least string say that the two can have an equal suffix.
 2. The bytes of open runs go to the buckets, and each bucket's suffixes are sorted, one bucket at a time: by words of 8
    bytes first; the long ties that remain are resolved by ranks precomputed at the positions of a difference cover.
 3. The covered ranges meet their documents again.
@@ -32,9 +33,12 @@ COVER_MOD, COVER = 7, (0, 1, 3)
 BLOCK, NEAREST = 24, 18
 _ODD = [np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0xD6E8FEB86659FD93)]  # fixed values: odd multipliers
 _ODD_INVERSE = np.uint64(pow(int(_ODD[2]), -1, 2**64))
-RUN = np.dtype([("key", "<u8"), ("seg", "<u8"), ("doc", "<u4"), ("at", "<u4"), ("n", "<u4")])  # n windows from `at` on
-RANGE = np.dtype([("key", "<u8"), ("doc", "<u4"), ("at", "<u4"), ("n", "<u4"), ("open", "u1")])
-DOC = np.dtype([("id", "<i8"), ("crc", "<u4")])  # the crc tells rows apart that repeat a doc_id
+#: An equal suffix with LEFT bytes or more before its least string has the K bytes from there on in common; any other one the K
+#: bytes that start _W - LEFT behind.
+LEFT, SHORT, SEG = _W // 2, np.uint64(4095), np.uint64(2**56 - 1)
+RUN = np.dtype([("key", "<u4"), ("seg", "<u8"), ("left", "<u2"), ("right", "<u2"), ("doc", "<u4"), ("at", "<u4"), ("n", "<u4")])  # n windows from `at` on
+RANGE = np.dtype([("key", "<u4"), ("doc", "<u4"), ("at", "<u4"), ("n", "<u4")])
+DOC = np.dtype([("id", "<i8"), ("crc", "<u4")])  # the crc, 0 if no doc_id is repeated, tells rows apart that repeat one
 
 
 def _mixed(x: np.ndarray) -> np.ndarray:
@@ -50,25 +54,37 @@ def words(data: np.ndarray) -> np.ndarray:
 
 
 def runs_of(data: bytes) -> np.ndarray:
-    """The runs of a text; `doc` is left 0. Equal suffixes have equal keys wherever they stand; equal runs, equal segs."""
+    """The runs of a text; `doc` is left 0. Equal suffixes have equal keys wherever they stand; equal runs, equal segs. `left` and
+    `right` are 0 where no suffix of the run needs them, and both where the least string stands more than once."""
     if len(data) < SPAN:
         return np.zeros(0, RUN)
     w = words(np.frombuffer(data, np.uint8))
     n = len(w) - K + 1
     h = _mixed(w[:n] * _ODD[1] ^ _mixed(w[8 : n + 8]))
-    least, reach = h, 1
+    leasts, reach = [h], 1
     while 2 * reach <= _W:
-        least, reach = np.minimum(least[:-reach], least[reach:]), 2 * reach
+        leasts.append(np.minimum(leasts[-1][:-reach], leasts[-1][reach:]))
+        reach *= 2
+    least = leasts[-1]
     if reach < _W:
         least = np.minimum(least[: len(least) - (_W - reach)], least[_W - reach :])
     at = np.flatnonzero(np.concatenate([[True], least[1:] != least[:-1]]))
     end = np.concatenate([at[1:], [len(least)]])
+    first, behind = at.copy(), end + _W - 1  # of the places of the least string, by halving: the first, and the one behind the last
+    for m in reversed(leasts):
+        size = n - len(m) + 1
+        first += size * ((first < len(m)) & (m[np.minimum(first, len(m) - 1)] > least[at]))
+        behind -= size * ((behind >= size) & (m[np.maximum(behind - size, 0)] > least[at]))
+    once = first + 1 == behind
+    del leasts
     powers = np.cumprod(np.concatenate([[np.uint64(1)], np.full(n, _ODD[2])]))
     inverse = np.cumprod(np.concatenate([[np.uint64(1)], np.full(n, _ODD_INVERSE)]))
     sums = np.concatenate([[np.uint64(0)], np.cumsum(h * powers[:n])])
     out = np.zeros(len(at), RUN)
-    out["key"], out["at"], out["n"] = least[at], at, end - at
-    out["seg"] = _mixed((sums[end + _W - 1] - sums[at]) * inverse[at] + (end - at).astype(np.uint64) * _ODD[0])
+    out["key"], out["at"], out["n"] = least[at] & np.uint64(2**32 - 1), at, end - at  # low bits: least hashes have small high ones
+    out["left"] = np.where(once & (first - at >= LEFT), h[np.maximum(first - LEFT, 0)] % SHORT + np.uint64(1), 0)
+    out["right"] = np.where(once & (first - end < LEFT - 1), h[np.minimum(first + _W - LEFT, n - 1)] % SHORT + np.uint64(1), 0)
+    out["seg"] = _mixed((sums[end + _W - 1] - sums[at]) * inverse[at] + (end - at).astype(np.uint64) * _ODD[0]) & SEG
     return out
 
 
@@ -80,24 +96,34 @@ def stretch(data: bytes) -> bytes:
     return zstandard.decompress(data)
 
 
+def _planes(column: np.ndarray) -> bytes:
+    """Numbers as their lowest bytes, then their next, and so on: bytes that are zero throughout are squeezed away."""
+    return np.ascontiguousarray(np.ascontiguousarray(column).view(np.uint8).reshape(len(column), column.dtype.itemsize).T).tobytes()
+
+
+def _from_planes(data: bytes, kind: np.dtype, n: int, at: int) -> np.ndarray:
+    return np.ascontiguousarray(np.frombuffer(data, np.uint8, n * kind.itemsize, at).reshape(kind.itemsize, n).T).view(kind).ravel()
+
+
 def _pack(docs: np.ndarray, rows: np.ndarray, extra: bytes = b"") -> bytes:
-    """Rows and the documents they name, column by column, squeezed."""
+    """Rows and the documents they name, column by column, squeezed. Documents are told by steps, small ones if rows are in their order."""
     used, own = np.unique(rows["doc"], return_inverse=True)
-    rows = rows.copy()
-    rows["doc"] = own
-    columns = b"".join(np.ascontiguousarray(rows[c]).tobytes() for c in rows.dtype.names)
-    return squeeze(np.array([len(used), len(rows), len(extra)], "<i8").tobytes() + docs[used].tobytes() + columns + extra)
+    rows, named = rows.copy(), docs[used]
+    rows["doc"] = np.diff(own.astype(np.uint32), prepend=np.uint32(0))
+    named["id"] = np.diff(named["id"], prepend=0)
+    columns = b"".join(_planes(t[c]) for t in (named, rows) for c in t.dtype.names)
+    return squeeze(np.array([len(used), len(rows), len(extra)], "<i8").tobytes() + columns + extra)
 
 
 def _unpack(blob: bytes, kind: np.dtype) -> tuple[np.ndarray, np.ndarray, bytes]:
     data = stretch(blob)
     n_docs, n, n_extra = np.frombuffer(data, "<i8", 3).tolist()
-    docs = np.frombuffer(data, DOC, n_docs, at := 24)
-    at += n_docs * DOC.itemsize
-    rows = np.zeros(n, kind)
-    for c in kind.names:
-        rows[c] = np.frombuffer(data, kind[c], n, at)
-        at += n * kind[c].itemsize
+    docs, rows, at = np.zeros(n_docs, DOC), np.zeros(n, kind), 24
+    for t in (docs, rows):
+        for c in t.dtype.names:
+            t[c] = _from_planes(data, t.dtype[c], len(t), at)
+            at += len(t) * t.dtype[c].itemsize
+    docs["id"], rows["doc"] = np.cumsum(docs["id"]), np.cumsum(rows["doc"], dtype=np.uint32)
     return docs, rows, data[at : at + n_extra]
 
 
@@ -122,7 +148,7 @@ def _spans(starts: np.ndarray, n: int) -> Iterator[tuple[int, int]]:
 
 
 def _dealt(docs: np.ndarray, rows: np.ndarray, to: np.ndarray) -> Iterator[tuple[int, bytes]]:
-    order = np.argsort(to, kind="stable")
+    order = np.lexsort((rows["at"], rows["doc"], to))
     for a, b in _spans(np.flatnonzero(np.diff(to[order], prepend=-1)), len(to)):
         yield int(to[order[a]]), _pack(docs, rows[order[a:b]])
 
@@ -135,6 +161,11 @@ def _bucket_of(ids: np.ndarray, buckets: int) -> np.ndarray:
     return (_mixed(ids.astype(np.int64).view(np.uint64)) % np.uint64(buckets)).astype(np.int64)
 
 
+def _key_bucket(keys: np.ndarray, buckets: int) -> np.ndarray:
+    """By the high bits, so that the keys of a bucket have them in common."""
+    return (keys.astype(np.uint64) * np.uint64(buckets) >> np.uint64(32)).astype(np.int64)
+
+
 def _first_in(rows: np.ndarray, names: tuple[str, ...]) -> np.ndarray:
     """True at the first row of each group; rows are sorted by the names."""
     new = np.ones(len(rows), bool)
@@ -143,7 +174,18 @@ def _first_in(rows: np.ndarray, names: tuple[str, ...]) -> np.ndarray:
     return new
 
 
-def _find_runs(buckets: int, at_once: int = 24_000_000):
+def _apart(ids: np.ndarray, *columns: np.ndarray) -> np.ndarray:
+    """True at rows of which another with equal columns has another id."""
+    out = np.zeros(len(ids), bool)
+    if len(ids):
+        order = np.lexsort(columns)
+        starts = np.flatnonzero(np.concatenate([[True], np.logical_or.reduce([c[order][1:] != c[order][:-1] for c in columns])]))
+        of = np.repeat(np.arange(len(starts)), np.diff(starts, append=len(ids)))
+        out[order] = (np.minimum.reduceat(ids[order], starts) < np.maximum.reduceat(ids[order], starts))[of]
+    return out
+
+
+def _find_runs(buckets: int, repeated: bool = True, at_once: int = 24_000_000):
     """Runs by key bucket (blob of RUN). Of equal runs in one task only those of the smallest document travel; the others
     are known to be repeats, and go to a bucket of their document, marked by a seg of 0 and a key of 0."""
 
@@ -157,9 +199,10 @@ def _find_runs(buckets: int, at_once: int = 24_000_000):
         new = _first_in(rows, ("key", "seg"))
         least = ids[new][np.cumsum(new) - 1]
         repeat = ids > least
-        to = (rows["key"] % np.uint64(buckets)).astype(np.int64)
+        to = _key_bucket(rows["key"], buckets)
         to[repeat] = _bucket_of(ids[repeat], buckets)
-        rows["key"][repeat] = rows["seg"][repeat] = 0
+        for c in ("key", "seg", "left", "right"):
+            rows[c][repeat] = 0
         return _batch(list(_dealt(known, rows, to)))
 
     def partition(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -169,7 +212,7 @@ def _find_runs(buckets: int, at_once: int = 24_000_000):
                 data = text.encode("utf-8", "surrogatepass")
                 if len(rows := runs_of(data)):
                     rows["doc"] = len(docs)
-                    docs.append((i, zlib.crc32(data)))
+                    docs.append((i, zlib.crc32(data) if repeated else 0))
                     parts.append(rows)
                     if (held := held + len(data)) > at_once:
                         yield settle(docs, parts)
@@ -212,15 +255,18 @@ def _settle_runs(buckets: int):
         apart = (np.minimum.reduceat(ids, starts) < np.maximum.reduceat(ids, starts))[of_key] if len(starts) else several
         # of runs of equal bytes only those of the smallest document stay open, all of them: the others are repeats as they
         # are. Rows that repeat doc_id and text have the same ranges, so one stands for all
-        is_open = ~repeat & several & apart & _first_in(rows, ("key", "seg", "doc", "at"))
-        out = np.zeros(len(rows), RANGE)
-        for c in ("key", "doc", "at", "n"):
-            out[c] = rows[c]
-        out["open"] = is_open
-        out = out[repeat | is_open]
-        out["key"][out["open"] == 0] = 0
-        if len(out):
-            yield _batch(list(_dealt(docs, out, _bucket_of(docs["id"][out["doc"]], buckets))))
+        maybe = np.flatnonzero(~repeat & several & apart & _first_in(rows, ("key", "seg", "doc", "at")))
+        left, right, of = rows["left"][maybe], rows["right"][maybe], of_key[maybe]
+        any_place = np.zeros(len(starts), bool)  # keys of a run whose least string stands more than once
+        any_place[of[(left == 0) & (right == 0)]] = True
+        meets = any_place[of] | ((left > 0) & _apart(ids[maybe], left, of)) | ((right > 0) & _apart(ids[maybe], right, of))
+        for is_open, chosen in ((False, np.flatnonzero(repeat)), (True, maybe[meets])):
+            out = np.zeros(len(chosen), RANGE)
+            for c in ("doc", "at", "n", *(("key",) if is_open else ())):
+                out[c] = rows[c][chosen]
+            if len(out):
+                dealt = _batch(list(_dealt(docs, out, _bucket_of(docs["id"][out["doc"]], buckets))))
+                yield dealt.append_column("open", pa.array([is_open] * dealt.num_rows))
 
     return _by_bucket(work)
 
@@ -232,10 +278,9 @@ def _fetch(buckets: int):
         out: list[tuple[int, bytes]] = []
         if texts.num_rows and ranges.num_rows:
             docs, rows = _gathered(ranges.column("blob").to_pylist(), RANGE)
-            rows = rows[rows["open"] == 1]
             data = {(i, c): t for i, c, t in zip(*(texts.column(c).to_pylist() for c in ("doc_id", "crc", "text")), strict=True)}
-            rows = rows[np.argsort(to := rows["key"] % np.uint64(buckets), kind="stable")]
-            to = (rows["key"] % np.uint64(buckets)).astype(np.int64)
+            rows = rows[np.lexsort((rows["at"], rows["doc"], _key_bucket(rows["key"], buckets)))]
+            to = _key_bucket(rows["key"], buckets)
             kept: dict[int, bytes] = {}
             for a, b in _spans(np.flatnonzero(np.diff(to, prepend=-1)), len(to)):
                 part, body = rows[a:b], []
@@ -330,7 +375,6 @@ def _cut(texts: pa.Table, ranges: pa.Table) -> pa.Table:
     found: dict[tuple[int, int], list] = {}
     if ranges.num_rows:
         docs, rows = _gathered(ranges.column("blob").to_pylist(), RANGE)
-        rows = rows[rows["open"] == 0]
         rows = rows[np.argsort(rows["doc"], kind="stable")]
         for a, b in _spans(np.flatnonzero(_first_in(rows, ("doc",))), len(rows)):
             d = docs[rows["doc"][a]]
@@ -351,12 +395,12 @@ def _cut(texts: pa.Table, ranges: pa.Table) -> pa.Table:
     return pa.Table.from_pylist([dict(zip(RESULT.names, r, strict=True)) for r in out], schema=RESULT)
 
 
-def _texts(buckets: int):
+def _texts(buckets: int, repeated: bool):
     def partition(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in it:
             ids = b.column(0).to_numpy(zero_copy_only=False)
             data = [t.encode("utf-8", "surrogatepass") for t in b.column(1).to_pylist()]
-            columns = [pa.array(_bucket_of(ids, buckets), pa.int32()), b.column(0), pa.array([zlib.crc32(d) for d in data], pa.int64()), pa.array([squeeze(d) for d in data], pa.binary())]
+            columns = [pa.array(_bucket_of(ids, buckets), pa.int32()), b.column(0), pa.array([zlib.crc32(d) if repeated else 0 for d in data], pa.int64()), pa.array([squeeze(d) for d in data], pa.binary())]
             yield pa.RecordBatch.from_arrays(columns, names=["bucket", "doc_id", "crc", "text"])
 
     return partition
@@ -376,12 +420,14 @@ def remove_repeats(docs: DataFrame, buckets: int | None = None) -> DataFrame:
     base = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
     named, blobs = base.where("doc_id is not null"), "bucket int, blob binary"
     dealt = lambda df: df.repartition("bucket").sortWithinPartitions("bucket")
-    ranges = written(dealt(named.mapInArrow(_find_runs(buckets), blobs)).mapInArrow(_settle_runs(buckets), blobs))
-    texts = named.mapInArrow(_texts(buckets), "bucket int, doc_id long, crc long, text binary").groupBy("bucket")
-    fetched = texts.cogroup(ranges.groupBy("bucket")).applyInArrow(_fetch(buckets), blobs)
+    repeated = bool(named.groupBy("doc_id").count().where("count > 1").head(1))  # crcs are as long as runs' keys: only if needed
+    ranges = written(dealt(named.mapInArrow(_find_runs(buckets, repeated), blobs)).mapInArrow(_settle_runs(buckets), f"{blobs}, open boolean"))
+    texts = named.mapInArrow(_texts(buckets, repeated), "bucket int, doc_id long, crc long, text binary").groupBy("bucket")
+    of_kind = lambda kind: ranges.where(kind).select("bucket", "blob")
+    fetched = texts.cogroup(of_kind("open").groupBy("bucket")).applyInArrow(_fetch(buckets), blobs)
     resolved = dealt(fetched).mapInArrow(_resolve(buckets), blobs)
     result = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept binary"
-    cut = texts.cogroup(ranges.unionByName(resolved).groupBy("bucket")).applyInArrow(_cut, result)
+    cut = texts.cogroup(of_kind("NOT open").unionByName(resolved).groupBy("bucket")).applyInArrow(_cut, result)
     whole = base.where("doc_id is null").selectExpr(
         "doc_id", "cast(octet_length(text) as long) as n_bytes", "0L as n_removed", "0L as n_spans", "sha2(text, 256) as kept_sha256", "cast(text as binary) as kept")
     return cut.unionByName(whole)
