@@ -11,9 +11,14 @@ from lexloom.functions.text import half_up
 def recall(ranked: DataFrame, expected: DataFrame) -> DataFrame:
     """(query_id, recall_5, recall_10, mrr) of (query_id, ref, rank) against (query_id, ref)."""
     n = expected.groupBy("query_id").agg(F.count("*").alias("expected"))
-    found = ranked.join(expected.withColumn("hit", F.lit(1)), ["query_id", "ref"], "left").join(n, "query_id")
-    share = lambda k: half_up(F.count(F.when((F.col("hit") == 1) & (F.col("rank") <= k), 1)) / F.first("expected"), 6)
-    first = half_up(1 / F.min(F.when(F.col("hit") == 1, F.col("rank"))), 6)
+    return recall_of(ranked.join(expected.withColumn("hit", F.lit(True)), ["query_id", "ref"], "left"), n)
+
+
+def recall_of(marked: DataFrame, expected: DataFrame) -> DataFrame:
+    """recall of (query_id, ref, rank, hit) where each query's number of expected refs is known: (query_id, expected)."""
+    found = marked.join(expected, "query_id")
+    share = lambda k: half_up(F.count(F.when(F.col("hit") & (F.col("rank") <= k), 1)) / F.first("expected"), 6)
+    first = half_up(1 / F.min(F.when(F.col("hit"), F.col("rank"))), 6)
     return found.groupBy("query_id").agg(share(5).alias("recall_5"), share(10).alias("recall_10"), F.coalesce(first, F.lit(0.0)).alias("mrr"))
 
 
